@@ -1,4 +1,4 @@
-"""Latest row per key."""
+"""First rows of each key in a given order."""
 
 from __future__ import annotations
 
@@ -6,14 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """First row of each key in ``order``.
+def first_per_key(
+    rows: DataFrame, keys: list[str], order: list[Column], n: int = 1, number: str | None = None
+) -> DataFrame:
+    """The first ``n`` rows of each key in ``order``, with their place as ``number`` if named.
 
-    The ``row_number() = 1`` filter lets Spark cut every key to one row per task
+    The filter on ``row_number()`` lets Spark cut every key to ``n`` rows per task
     before the shuffle, so a hot key sends no more rows than a rare one.
     """
+    place = number or "_place"
     at = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(at)).filter("_n = 1").drop("_n")
+    first = rows.withColumn(place, F.row_number().over(at)).filter(F.col(place) <= n)
+    return first if number else first.drop(place)
+
+
+def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """First row of each key in ``order``."""
+    return first_per_key(rows, keys, order, 1)
 
 
 def latest_per_source(summaries: DataFrame) -> DataFrame:
