@@ -43,7 +43,6 @@ HOT_ITEMS = 1000
 HOT_BITS = 4
 
 _MARK = "\u0001"
-_ORDER = [F.desc, F.desc, F.asc]
 
 
 def _best_first(score: str = "relevance_score") -> list[Column]:
@@ -174,7 +173,7 @@ def _rare_hits(wishes: DataFrame, item_phrases: DataFrame, masks: DataFrame | No
     pairs = hits.groupBy("wish", "id", "published", "fresh", "mask", "item_mask").agg(
         *[F.count(F.when(kind == k, 1)).alias(k) for k in KINDS]
     )
-    shared = _shared_counts(F.col("mask").bitwiseAND("item_mask"))
+    shared = _shared_counts(F.col("mask").bitwiseAND(F.col("item_mask")))
     return pairs.select(
         "wish", "id", "published", "fresh", _points({k: F.col(k) + shared[k] for k in KINDS}).alias("points")
     )
@@ -194,7 +193,7 @@ def _hot_hits(wishes: DataFrame, masks: DataFrame, top_n: int) -> DataFrame:
     asked = wishes.filter("mask != 0").select("mask").distinct()
     kept = newest.select("item_mask").distinct()
     pairs = by_bit(asked, "mask").join(by_bit(kept, "item_mask"), "bit").select("mask", "item_mask").distinct()
-    points = _points(_shared_counts(F.col("mask").bitwiseAND("item_mask")))
+    points = _points(_shared_counts(F.col("mask").bitwiseAND(F.col("item_mask"))))
     scored = pairs.join(newest, "item_mask").withColumn("points", points)
     scored = scored.withColumn("relevance_score", total_score(F.col("points"), F.col("fresh")))
     best = first_per_key(scored, ["mask"], _best_first(), top_n)
