@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.functions.jsonld import listed_urls
 from gleanery.functions.urls import (
@@ -39,7 +40,7 @@ def ld_scripts(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(_LD_SCRIPT), F.lit(1))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def structured_urls(scripts: pd.Series) -> pd.Series:
     return scripts.map(listed_urls)
 

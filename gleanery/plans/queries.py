@@ -224,20 +224,26 @@ def rss_items(spark, sf_dir):
 
 
 def _atom_files(spark, sf_dir):
+    """The items landed as channel feeds; every fourth is a short clip."""
     number = F.regexp_extract("id", r"(\d+)", 1).cast("long")
     link = F.when(number % 4 == 0, F.concat(F.lit("https://v.example.com/shorts/"), "id")).otherwise(
         F.concat(F.lit("https://v.example.com/watch?v="), "id")
     )
-    entries = views.items(spark, sf_dir).select(
-        F.col("id").alias("yt:videoId"),
-        text.clean_text(F.col("title")).alias("title"),
-        F.struct(link.alias("_href")).alias("link"),
-        F.concat(F.date_format("published_date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).alias("published"),
-        F.struct(text.clean_text(F.col("description")).alias("media:description")).alias("media:group"),
-    )
+    stamp = F.concat(F.date_format("published_date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+    def inside(tag, value):
+        return F.concat(F.lit(f"<{tag}>"), text.html_escape(text.clean_text(value)), F.lit(f"</{tag}>"))
+
+    entry = F.concat(
+        F.lit("<entry>"),
+        inside("yt:videoId", F.col("id")),
+        inside("title", F.col("title")),
+        F.lit('<link rel="alternate" href="'), link, F.lit('"/>'),
+        inside("published", stamp),
+        F.lit("<media:group>"), inside("media:description", F.col("description")), F.lit("</media:group></entry>"),
+    )
     path = scratch_path(spark, "atom")
-    root = 'feed xmlns:yt="http://www.youtube.com/xml/schemas/2015" xmlns:media="http://search.yahoo.com/mrss/"'
-    entries.write.format("xml").option("rootTag", root).option("rowTag", "entry").save(path)
+    views.items(spark, sf_dir).select(entry.alias("value")).write.text(path)
     return path
 
 
@@ -378,7 +384,7 @@ def _supplied(spark, sf_dir):
     """Scores as a model might give them, from the events: some out of range."""
     return _table(spark, sf_dir, "events").select(
         F.concat(F.lit("u"), "user_id").alias("profile_id"),
-        F.sha2(F.concat(F.lit("rss\u0001d"), (F.col("event_id") % 1200).cast("string")), 256).alias("summary_id"),
+        F.sha2(F.concat(F.lit("rss\u0001d"), F.col("event_id").cast("string")), 256).alias("summary_id"),
         (F.col("value") / 10).alias("relevance_score"),
         (F.col("event_id") % 97).cast("int").alias("rank"),
         F.col("event_type").alias("reasoning"),
@@ -435,16 +441,14 @@ def run_funnel(spark, sf_dir):
 
 
 def stream_first_seen(spark, sf_dir):
-    """Events landed twice in two files; each event is kept once."""
-    landing = scratch_path(spark, "landing")
+    """Events landed twice, in two runs of the stream; each event is kept once."""
+    landing, out = scratch_path(spark, "landing"), scratch_path(spark, "seen")
+    progress = scratch_path(spark, "progress")
     events = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     for _ in range(2):
-        events.coalesce(1).write.mode("append").parquet(landing)
-    stream = ingest.landed_stream(spark, landing, events.schema, files_per_batch=1)
-    out = scratch_path(spark, "seen")
-    ingest.append_stream(
-        ingest.first_seen(stream, ["event_id"], "ts", 24 * 60), out, scratch_path(spark, "progress")
-    ).awaitTermination()
+        events.write.mode("append").parquet(landing)
+        stream = ingest.landed_stream(spark, landing, events.schema)
+        ingest.append_stream(ingest.first_seen(stream, ["event_id"], "ts"), out, progress).awaitTermination()
     return spark.read.schema(events.schema).parquet(out)
 
 

@@ -1,0 +1,33 @@
+import os
+import sys
+
+import pytest
+from pyspark.sql import SparkSession
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+
+
+def make_session():
+    spark = (
+        SparkSession.builder.master("local[8]")
+        .appName("gleanery-tests")
+        .config("spark.driver.memory", "8g")
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .getOrCreate()
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return make_session()
+
+
+@pytest.fixture(scope="session")
+def small():
+    return "/root/testdata/sf0.001"
