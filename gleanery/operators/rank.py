@@ -276,7 +276,11 @@ def rank_all(summaries: DataFrame, profile: dict, as_of=None) -> DataFrame:
     ).withColumns(given)
     found = found_phrases(all_phrases(), F.col("title"), F.col("summary_text"))
     rows = rows.select("id", "published", found.alias("found"))
-    counts = {k: F.size(F.filter("found", lambda p, k=k: p.startswith(f"{k}:"))) for k in KINDS}
+
+    def hits(kind: str) -> Column:
+        return F.size(F.filter("found", lambda p: p.startswith(f"{kind}:")))
+
+    counts = {kind: hits(kind) for kind in KINDS}
     score = total_score(_points(counts), recency(F.col("published"), as_of))
     scored = rows.select("id", "published", score.alias("relevance_score"), reasoning(F.col("found")).alias("reasoning"))
     return with_global_rank(scored, _best_first()).select("id", "rank", "relevance_score", "reasoning")

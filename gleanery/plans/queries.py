@@ -229,21 +229,15 @@ def _atom_files(spark, sf_dir):
     link = F.when(number % 4 == 0, F.concat(F.lit("https://v.example.com/shorts/"), "id")).otherwise(
         F.concat(F.lit("https://v.example.com/watch?v="), "id")
     )
-    stamp = F.concat(F.date_format("published_date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
-
-    def inside(tag, value):
-        return F.concat(F.lit(f"<{tag}>"), text.html_escape(text.clean_text(value)), F.lit(f"</{tag}>"))
-
-    entry = F.concat(
-        F.lit("<entry>"),
-        inside("yt:videoId", F.col("id")),
-        inside("title", F.col("title")),
-        F.lit('<link rel="alternate" href="'), link, F.lit('"/>'),
-        inside("published", stamp),
-        F.lit("<media:group>"), inside("media:description", F.col("description")), F.lit("</media:group></entry>"),
-    )
+    entries = views.items(spark, sf_dir).select(
+        F.col("id").alias("videoId"),
+        text.clean_text(F.col("title")).alias("title"),
+        F.struct(F.lit("alternate").alias("_rel"), link.alias("_href")).alias("link"),
+        F.concat(F.date_format("published_date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).alias("published"),
+        F.struct(text.clean_text(F.col("description")).alias("description")).alias("group"),
+    )
     path = scratch_path(spark, "atom")
-    views.items(spark, sf_dir).select(entry.alias("value")).write.text(path)
+    entries.write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path)
     return path
 
 

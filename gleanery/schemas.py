@@ -78,7 +78,7 @@ RANKED_COLUMNS = [
     "reasoning",
 ]
 
-# RSS and Atom entries as the XML source delivers them.
+# RSS and Atom entries as the XML source delivers them; Atom without name prefixes.
 RSS_ENTRY = T.StructType(
     [
         T.StructField(
@@ -99,7 +99,7 @@ RSS_ENTRY = T.StructType(
 
 ATOM_ENTRY = T.StructType(
     [
-        T.StructField("yt:videoId", T.StringType()),
+        T.StructField("videoId", T.StringType()),
         T.StructField("title", T.StringType()),
         T.StructField(
             "link", T.StructType([T.StructField("_href", T.StringType())])
@@ -107,8 +107,8 @@ ATOM_ENTRY = T.StructType(
         T.StructField("published", T.StringType()),
         T.StructField("summary", T.StringType()),
         T.StructField(
-            "media:group",
-            T.StructType([T.StructField("media:description", T.StringType())]),
+            "group",
+            T.StructType([T.StructField("description", T.StringType())]),
         ),
     ]
 )

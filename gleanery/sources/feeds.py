@@ -23,10 +23,10 @@ def source_list(spark: SparkSession, rows: list[tuple[str, str]], feed_prefix: s
     return sources.withColumn("landed_from", F.coalesce(landed, "address"))
 
 
-def _entries(spark: SparkSession, paths: str | list[str], tag: str, schema) -> DataFrame:
+def _entries(spark: SparkSession, paths: str | list[str], tag: str, schema, **options) -> DataFrame:
     return (
         spark.read.format("xml")
-        .option("rowTag", tag)
+        .options(rowTag=tag, **options)
         .schema(schema)
         .load(paths)
         .select("*", F.col("_metadata.file_path").alias("feed_file"))
@@ -66,10 +66,10 @@ def atom_items(
     dropped_in_url: str = "shorts",
 ) -> DataFrame:
     """Entries of channel feeds, one file per channel; an empty channel adds nothing."""
-    entries = _entries(spark, paths, "entry", schemas.ATOM_ENTRY).select(
-        F.trim("`yt:videoId`").alias("id"),
+    entries = _entries(spark, paths, "entry", schemas.ATOM_ENTRY, ignoreNamespace="true").select(
+        F.trim("videoId").alias("id"),
         "title",
-        F.coalesce("`media:group`.`media:description`", "summary", F.lit("")).alias("description"),
+        F.coalesce("group.description", "summary", F.lit("")).alias("description"),
         F.col("link._href").alias("url"),
         feed_datetime(F.col("published")).alias("published_date"),
         "feed_file",
