@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleanery.functions.once import bound
 from gleanery.functions.text import clean_text
 
 # Date shapes looked for in pages.
@@ -32,22 +33,30 @@ def _literal_map(values: dict[str, int]) -> Column:
 
 def _shift(local: Column, offset: Column) -> Column:
     """``local`` minus an offset text like ``+05:30``; an empty offset is UTC."""
-    sign = F.when(offset.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    hours = F.regexp_extract(offset, r"^[+-](\d{2}):?(\d{2})$", 1).try_cast("int")
-    minutes = F.regexp_extract(offset, r"^[+-](\d{2}):?(\d{2})$", 2).try_cast("int")
-    total = F.when(offset == "", F.lit(0)).otherwise(sign * (hours * 60 + minutes))
-    valid = F.abs(total) < 24 * 60
-    return F.when(valid, local - F.make_dt_interval(F.lit(0), F.lit(0), total))
+
+    def minutes(text: Column) -> Column:
+        sign = F.when(text.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+        part = [F.regexp_extract(text, r"^[+-](\d{2}):?(\d{2})$", n).try_cast("int") for n in (1, 2)]
+        return F.when(text == "", F.lit(0)).otherwise(sign * (part[0] * 60 + part[1]))
+
+    def shifted(total: Column) -> Column:
+        return F.when(F.abs(total) < 24 * 60, local - F.make_dt_interval(F.lit(0), F.lit(0), total))
+
+    return bound(bound(offset, minutes), shifted)
 
 
 def iso_datetime(text: Column) -> Column:
     """First ISO date-time inside ``text``; without a zone it is UTC."""
-    found = F.regexp_extract(F.replace(text, F.lit("Z"), F.lit("+00:00")), f"({ISO_DATE})", 1)
-    parts = r"^(\S{19})(?:\.(\d{1,6})\d*)?([+-].*)?$"
-    fraction = F.regexp_extract(found, parts, 2)
-    local = F.concat_ws(".", F.regexp_extract(found, parts, 1), F.nullif(fraction, F.lit("")))
-    offset = F.regexp_extract(found, parts, 3)
-    return F.when(found != "", _shift(local.try_cast("timestamp_ntz"), offset))
+    shape = r"^(\S{19})(?:\.(\d{1,6})\d*)?([+-].*)?$"
+
+    def parsed(found: Column) -> Column:
+        fraction = F.regexp_extract(found, shape, 2)
+        local = F.concat_ws(".", F.regexp_extract(found, shape, 1), F.nullif(fraction, F.lit("")))
+        offset = F.regexp_extract(found, shape, 3)
+        return F.when(found != "", _shift(local.try_cast("timestamp_ntz"), offset))
+
+    whole = F.replace(text, F.lit("Z"), F.lit("+00:00"))
+    return bound(F.regexp_extract(whole, f"({ISO_DATE})", 1), parsed)
 
 
 def text_datetime(text: Column) -> Column:
@@ -74,13 +83,12 @@ def text_datetime(text: Column) -> Column:
 
 def parse_datetime(value: Column) -> Column:
     """ISO date inside the text, else the whole text in one of four written forms, else null."""
-    text = clean_text(value)
-    return F.coalesce(iso_datetime(text), text_datetime(text))
+    return bound(clean_text(value), lambda text: F.coalesce(iso_datetime(text), text_datetime(text)))
 
 
-def first_datetime(*values: Column) -> Column:
-    """First value that parses."""
-    return F.coalesce(*[parse_datetime(v) for v in values])
+def first_datetime(values: Column) -> Column:
+    """First value of an array of texts that parses."""
+    return F.get(F.filter(F.transform(values, parse_datetime), lambda d: d.isNotNull()), F.lit(0))
 
 
 def feed_datetime(value: Column) -> Column:

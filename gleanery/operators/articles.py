@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.functions.dates import first_datetime, iso_datetime, parse_datetime
+from gleanery.functions.dates import first_datetime, iso_datetime
 from gleanery.functions.html import PageRules
 from gleanery.functions.text import after_marker, clean_text, first_non_empty
 from gleanery.functions.urls import normalise_url, url_id
@@ -35,7 +35,7 @@ def article_description() -> Column:
 def article_date() -> Column:
     """Structured dates (modified before published), meta tags, ``time`` tags, visible text;
     last, any ISO date in the structured article object."""
-    stated = first_datetime(
+    stated = F.array(
         F.col("ld.modified"),
         F.col("ld.published"),
         _meta("property", "article:modified_time"),
@@ -44,9 +44,8 @@ def article_date() -> Column:
         _meta("itemprop", "dateModified"),
         _meta("itemprop", "datePublished"),
     )
-    listed = F.transform(F.concat("times", "visible_dates"), parse_datetime)
-    first_listed = F.get(F.filter(listed, lambda d: d.isNotNull()), F.lit(0))
-    return F.coalesce(stated, first_listed, iso_datetime(F.col("ld.any_date")))
+    given = first_datetime(F.concat(stated, "times", "visible_dates"))
+    return F.coalesce(given, iso_datetime(F.col("ld.any_date")))
 
 
 def article_content() -> Column:
@@ -87,11 +86,12 @@ def page_articles(
             article_content().alias("content"),
         )
         .withColumn("id", url_id(F.col("url")))
-        .filter((F.col("title") != "") & F.col("published_date").isNotNull())
     )
-    if hours is not None:
-        articles = articles.filter(F.col("published_date") >= cutoff(as_of, hours))
-    return articles.select(
+    if hours is None:
+        dated = F.col("published_date").isNotNull()
+    else:
+        dated = F.col("published_date") >= cutoff(as_of, hours)
+    return articles.filter((F.col("title") != "") & dated).select(
         "source_type", "id", "title", "description", "url", "published_date", "content"
     )
 

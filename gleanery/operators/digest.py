@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.dates import date_label
+from gleanery.functions.once import bound
 from gleanery.functions.text import html_escape, strip
-from gleanery.operators.rank import all_phrases, found_phrases, reasoning
+from gleanery.operators.rank import all_phrases, found_phrases, padded_form, reasoning
 from gleanery.schemas import RANKED_COLUMNS
 from gleanery.session import ntz
 
@@ -35,13 +36,16 @@ def ranked_records(ranked: DataFrame, summaries: DataFrame, items: DataFrame, pr
     told = summaries.select(
         "id", "title", F.col("summary_text").alias("summary"), "source_id", "source_type", "article_created_at"
     )
+    if profiles is not None:
+        # Once per summary, before the join repeats it for each profile that ranks it.
+        told = told.withColumn("padded", padded_form(F.col("title"), F.col("summary")))
     urls = items.select("source_type", F.col("id").alias("source_id"), "url")
     full = ranked.join(told, "id").join(urls, ["source_type", "source_id"], "left")
     full = full.withColumn("url", F.coalesce("url", F.lit("")))
     if profiles is not None:
         asked = profiles.select("profile_id", all_phrases().alias("phrases"))
-        found = found_phrases(F.col("phrases"), F.col("title"), F.col("summary"))
-        full = full.join(asked, "profile_id").withColumn("reasoning", reasoning(found))
+        found = found_phrases(F.col("phrases"), F.col("padded"))
+        full = full.join(asked, "profile_id").withColumn("reasoning", bound(found, reasoning))
     return full.select(*RANKED_COLUMNS)
 
 
@@ -107,7 +111,7 @@ def digests(
     label = date_label(ntz(as_of))
     item = F.struct("rank", "id", "title", "summary", "url")
     grouped = records.groupBy("profile_id").agg(
-        F.array_sort(F.collect_list(item)).alias("listed"), F.count("*").cast("int").alias("n_items")
+        F.sort_array(F.collect_list(item)).alias("listed"), F.count("*").cast("int").alias("n_items")
     )
     named = grouped.join(profiles.select("profile_id", "name"), "profile_id", "left").select(
         "profile_id",

@@ -77,9 +77,11 @@ def page_links(
         F.when(F.size("listed") > 0, F.col("listed")).otherwise(usable(anchor_urls(F.col("html")))).alias("urls"),
     )
     from_anchors = known.filter(~has_data).select("url", usable(anchor_urls(F.col("html"))).alias("urls"))
-    return from_data.unionByName(from_anchors).select(
-        F.col("url").alias("page_url"), F.posexplode("urls").alias("pos", "url")
+    # The outer form, as for the plain one Spark would find the links once more to filter on them.
+    found = from_data.unionByName(from_anchors).select(
+        F.col("url").alias("page_url"), F.posexplode_outer("urls").alias("pos", "url")
     )
+    return found.filter(F.col("url").isNotNull())
 
 
 def linked_pages(links: DataFrame, pages: DataFrame, base: str, site: str, host_match: str = "contains") -> DataFrame:

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.once import bound
 from gleanery.functions.text import match_form
 from gleanery.operators.latest import first_per_key
 from gleanery.session import freeze_table, ntz
@@ -95,9 +96,13 @@ def _form(phrase: Column) -> Column:
     return F.substring(phrase, 3, 2**31 - 1)
 
 
-def found_phrases(phrases: Column, *texts: Column) -> Column:
-    """Phrases (marked) that occur as whole words in the texts."""
-    padded = F.concat(F.lit(" "), match_form(F.concat_ws(" ", *texts)), F.lit(" "))
+def padded_form(*texts: Column) -> Column:
+    """Match form of the texts between blanks, so that whole phrases are substrings."""
+    return F.concat(F.lit(" "), match_form(F.concat_ws(" ", *texts)), F.lit(" "))
+
+
+def found_phrases(phrases: Column, padded: Column) -> Column:
+    """Phrases (marked) that occur in ``padded``, a plain column holding a padded form."""
     return F.filter(phrases, lambda p: F.contains(padded, F.concat(F.lit(" "), _form(p), F.lit(" "))))
 
 
@@ -122,8 +127,9 @@ def _item_phrases(items: DataFrame, phrases: DataFrame) -> DataFrame:
         return F.transform(starts, lambda s: F.array_join(F.slice("words", s, n), " "))
 
     every = [runs(r["n"]) for r in sizes] or [F.array().cast("array<string>")]
+    # The outer form, as for the plain one Spark would build the runs once more to filter on them.
     found = worded.select(
-        "id", "published", "fresh", F.explode(F.array_distinct(F.concat(*every))).alias("form")
+        "id", "published", "fresh", F.explode_outer(F.array_distinct(F.concat(*every))).alias("form")
     )
     return found.join(listed, "form").select("id", "published", "fresh", "phrase")
 
@@ -271,11 +277,12 @@ def rank_all(summaries: DataFrame, profile: dict, as_of=None) -> DataFrame:
     """(id, rank, relevance_score, reasoning): every summary ranked for one profile."""
     given = {column: F.array(*[F.lit(v) for v in profile.get(column) or []]).cast("array<string>")
              for column, _, _ in KINDS.values()}
-    rows = summaries.select(
-        "id", "title", "summary_text", F.col("article_created_at").alias("published")
-    ).withColumns(given)
-    found = found_phrases(all_phrases(), F.col("title"), F.col("summary_text"))
-    rows = rows.select("id", "published", found.alias("found"))
+    padded = padded_form(F.col("title"), F.col("summary_text"))
+    rows = summaries.select("id", F.col("article_created_at").alias("published"), padded.alias("padded"))
+    asked = rows.sparkSession.range(1).select(F.lit(1).alias("one")).withColumns(given)
+    phrases = asked.select(all_phrases()).first()[0]
+    listed = F.array(*[F.lit(p) for p in phrases]).cast("array<string>")
+    rows = rows.select("id", "published", bound(F.col("padded"), lambda t: found_phrases(listed, t)).alias("found"))
 
     def hits(kind: str) -> Column:
         return F.size(F.filter("found", lambda p: p.startswith(f"{kind}:")))

@@ -327,8 +327,8 @@ def summaries_default(spark, sf_dir):
 
 def embed_default(spark, sf_dir):
     made = embed.embed(_summaries(spark, sf_dir))
-    slots = made.select("id", F.posexplode("summary_vector").alias("slot", "weight"))
-    return slots.select("id", "slot", F.round("weight", 6).alias("weight"))
+    slots = made.select("id", F.posexplode_outer("summary_vector").alias("slot", "weight"))
+    return slots.filter("slot is not null").select("id", "slot", F.round("weight", 6).alias("weight"))
 
 
 STORY = 0.9

@@ -38,8 +38,18 @@ PROFILES_SQL = f"""profiles as (
   from customer)"""
 
 
+# Tables whose texts are costly to work on.
+_TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table. Text tables in fewer pieces than there are cores (the test files have one
+    row group each) are spread over all cores; larger ones stay as they are read."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _TEXT_TABLES and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores)
+    return rows
 
 
 def source_type(number) -> F.Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def _joined(snippets: DataFrame, keys: list[str], position: str) -> DataFrame:
     """Texts of each key joined without a separator, in order of ``position``."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(position), F.col("text"))))
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(position), F.col("text"))))
     text = F.array_join(F.transform(ordered, lambda s: s["text"]), "")
     return snippets.groupBy(*keys).agg(text.alias("text"))
 
