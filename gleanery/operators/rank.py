@@ -241,12 +241,21 @@ def rank_for_profiles(
     if bits:
         found = found.unionByName(_hot_hits(wishes, masks, top_n))
     newest = items.select("id", "published", "fresh").orderBy(F.desc("published"), F.asc("id")).limit(top_n)
-    newest = newest.agg(F.collect_list(F.struct("id", "published", "fresh")).alias("newest"))  # top_n entries
-    slots = wishes.select("wish", F.lit(1).alias("one")).join(newest.withColumn("one", F.lit(1)), "one")
-    filler = slots.select("wish", F.inline("newest")).withColumn("points", F.lit(0.0))
+    newest = newest.collect()  # top_n rows
+    if newest:
+        slots = F.array(
+            *[
+                F.struct(
+                    F.lit(r["id"]).alias("id"), ntz(r["published"]).alias("published"), F.lit(r["fresh"]).alias("fresh")
+                )
+                for r in newest
+            ]
+        )
+        filler = wishes.select("wish", F.inline(slots)).withColumn("points", F.lit(0.0))
+        found = found.unionByName(filler)
 
     best = (
-        found.unionByName(filler)
+        found
         .groupBy("wish", "id", "published", "fresh")
         .agg(F.max("points").alias("points"))
         .withColumn("relevance_score", total_score(F.col("points"), F.col("fresh")))
