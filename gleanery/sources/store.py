@@ -59,27 +59,34 @@ def upsert_items(spark: SparkSession, path: str, batch: DataFrame, as_of=None) -
 
     Keys are looked up in the whole table, but from two columns only; item texts are
     read and written for the touched days. Applying a batch again, also after a run
-    that died half-way, gives the same table.
+    that died half-way, gives the same table. A table takes one writer at a time.
     """
     as_of = as_of_time(as_of)
     create_table(spark, path)
-    columns = [*schemas.ITEM_BATCH.names, "batch_pos"]
-    batch = freeze_table(batch.select(*columns), "batch")
-    table = _stored_items(spark, path)
     keys = schemas.ITEM_KEYS
-    found = freeze_table(table.select(*keys, DAY).join(batch.select(*keys), keys, "left_semi"), "found")
-    counts = freeze_table(upsert_counts(found.select(*keys).distinct(), batch), "counts")
+    batch = freeze_table(batch.select(*schemas.ITEM_BATCH.names, "batch_pos"), "batch")
+    batch_keys = batch.select(*keys)
+    table = _stored_items(spark, path)
+    # Frozen, as the write below changes what the table would answer.
+    found = freeze_table(table.select(*keys, DAY).join(batch_keys, keys, "left_semi"), "found")
+    counts = upsert_counts(found.select(*keys).distinct(), batch)
 
     last = last_in_batch(batch).withColumn(DAY, F.to_date("published_date"))
-    touched = _days(last) | _days(found)
+    both = last.select(DAY, F.lit(True).alias("new")).unionByName(found.select(DAY, F.lit(False).alias("new")))
+    days = both.groupBy(DAY).agg(F.max("new").alias("new")).collect()  # one row per touched folder
+    touched = {d[DAY] for d in days}
     if not touched:
         return counts
+    # Days that only lose rows stay as they were when nothing is written to them.
+    emptied = {d[DAY] for d in days if not d["new"]}
+    if emptied:
+        losing = table.filter(F.col(DAY).isin(*emptied)).select(*keys, DAY)
+        emptied -= _days(losing.join(batch_keys, keys, "left_anti"))
     # A key lies in two days only after a run that died while the key moved.
     old = latest_per_key(
         table.filter(F.col(DAY).isin(*touched)), keys, [F.asc("created_at"), F.desc(DAY)]
     )
     merged = merge_items(old, batch, as_of).withColumn(DAY, F.to_date("published_date"))
-    emptied = touched - _days(merged)
     (
         merged.hint("rebalance", DAY)
         .sortWithinPartitions(DAY, "published_date")
