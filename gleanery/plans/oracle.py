@@ -16,10 +16,10 @@ def _form(x: str) -> str:
 
 
 def _plain(x: str) -> str:
-    """Tags out, entities resolved, white space collapsed."""
+    """Tags out, entities resolved (the closing mark may be missing), white space collapsed."""
     x = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
-        x = f"replace({x}, '{entity}', '{char}')"
+        x = f"regexp_replace({x}, '{entity}?', '{char}', 'g')"
     return f"trim(regexp_replace({x}, {_SPACES}))"
 
 
