@@ -10,7 +10,7 @@ from gleanery.functions.once import bound
 from gleanery.functions.text import html_escape, strip
 from gleanery.operators.rank import all_phrases, found_phrases, padded_form, reasoning
 from gleanery.schemas import RANKED_COLUMNS
-from gleanery.session import ntz
+from gleanery.session import freeze_table, ntz
 
 TITLE = "News Daily Summary"
 HEADING = "News Articles"
@@ -39,8 +39,13 @@ def ranked_records(ranked: DataFrame, summaries: DataFrame, items: DataFrame, pr
     if profiles is not None:
         # Once per summary, before the join repeats it for each profile that ranks it.
         told = told.withColumn("padded", padded_form(F.col("title"), F.col("summary")))
-    urls = items.select("source_type", F.col("id").alias("source_id"), "url")
-    full = ranked.join(told, "id").join(urls, ["source_type", "source_id"], "left")
+    # Ranked rows are few beside the item table: the items are cut to the sources that are
+    # wanted (a broadcast where that side is small) before the join that keeps missing ones.
+    ranked = freeze_table(ranked, "ranked")
+    source = ["source_type", "source_id"]
+    wanted = summaries.join(ranked.select("id"), "id", "left_semi").select(*source).distinct()
+    urls = items.select("source_type", F.col("id").alias("source_id"), "url").join(wanted, source, "left_semi")
+    full = ranked.join(told, "id").join(urls, source, "left")
     full = full.withColumn("url", F.coalesce("url", F.lit("")))
     if profiles is not None:
         asked = profiles.select("profile_id", all_phrases().alias("phrases"))

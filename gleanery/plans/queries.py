@@ -345,12 +345,13 @@ def story_dedup(spark, sf_dir):
 # --- ranking and digests -----------------------------------------------------------------
 
 
-def _ranked(spark, sf_dir):
-    return rank.rank_for_profiles(_summaries(spark, sf_dir), views.profiles(spark, sf_dir), AS_OF)
+def _stored_summaries(spark, sf_dir):
+    return freeze_table(_summaries(spark, sf_dir), "summaries")
 
 
 def rank_topk(spark, sf_dir):
-    ranked = _ranked(spark, sf_dir)
+    made = _stored_summaries(spark, sf_dir)
+    ranked = rank.rank_for_profiles(made, views.profiles(spark, sf_dir), AS_OF)
     return ranked.withColumn("band", rank.band(F.col("relevance_score")))
 
 
@@ -362,8 +363,9 @@ def _records(spark, sf_dir):
     """Top-n with URLs; sources that lack a label row count as not stored."""
     known = _table(spark, sf_dir, "labels").select(F.concat(F.lit("d"), "doc_id").alias("id"))
     stored = views.items(spark, sf_dir).join(known, "id", "left_semi")
-    profiles_ = views.profiles(spark, sf_dir)
-    return digest.ranked_records(_ranked(spark, sf_dir), _summaries(spark, sf_dir), stored, profiles_)
+    made, people = _stored_summaries(spark, sf_dir), views.profiles(spark, sf_dir)
+    ranked = rank.rank_for_profiles(made, people, AS_OF)
+    return digest.ranked_records(ranked, made, stored, people)
 
 
 def enriched_topk(spark, sf_dir):

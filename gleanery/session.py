@@ -52,18 +52,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gleanery/{name}-{uuid.uuid4().hex}"
 
 
-def freeze(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and cut its lineage there.
+def freeze_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and go on from there.
 
-    Values that may differ when a lost task is run again (sampled sort bounds,
-    generated ids) must be frozen before another job relies on them.
+    This cuts the lineage. Values that may differ when a lost task is run again
+    (sampled sort bounds, generated ids) must be frozen before another job relies
+    on them; results that several jobs read are frozen so as to be computed once.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def freeze_table(df: DataFrame, name: str) -> DataFrame:
-    """As ``freeze``, as a parquet table, so that later jobs can prune columns and filter."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
