@@ -57,7 +57,7 @@ def page_links(
     """(page_url, pos, url): article URLs of each page (url, html), duplicates kept.
 
     Structured data counts if any of its URLs passes the filter, anchors otherwise.
-    Only the structured-data scripts go to Python, and only for pages that have one.
+    Pages are read once, and only their structured-data scripts go to Python.
     """
 
     def usable(urls: Column) -> Column:
@@ -67,21 +67,17 @@ def page_links(
             lambda u: u.isNotNull() & is_article_url(u, prefix, excluded_prefixes, excluded_slugs),
         )
 
-    known = pages.filter(F.col("html").isNotNull()).withColumn("scripts", ld_scripts(F.col("html")))
-    has_data = F.size("scripts") > 0
-    from_data = known.filter(has_data).select(
-        "url", "html", usable(structured_urls("scripts")).alias("listed")
+    found = (
+        pages.filter(F.col("html").isNotNull())
+        .select("url", ld_scripts(F.col("html")).alias("scripts"), anchor_urls(F.col("html")).alias("anchors"))
+        .select("url", "anchors", usable(structured_urls("scripts")).alias("listed"))
     )
-    from_data = from_data.select(
-        "url",
-        F.when(F.size("listed") > 0, F.col("listed")).otherwise(usable(anchor_urls(F.col("html")))).alias("urls"),
-    )
-    from_anchors = known.filter(~has_data).select("url", usable(anchor_urls(F.col("html"))).alias("urls"))
+    urls = F.when(F.size("listed") > 0, F.col("listed")).otherwise(usable(F.col("anchors")))
     # The outer form, as for the plain one Spark would find the links once more to filter on them.
-    found = from_data.unionByName(from_anchors).select(
+    links = found.select("url", urls.alias("urls")).select(
         F.col("url").alias("page_url"), F.posexplode_outer("urls").alias("pos", "url")
     )
-    return found.filter(F.col("url").isNotNull())
+    return links.filter(F.col("url").isNotNull())
 
 
 def linked_pages(links: DataFrame, pages: DataFrame, base: str, site: str, host_match: str = "contains") -> DataFrame:

@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.functions import dates, text, urls, vectors
+from gleanery.functions import text, urls, vectors
 from gleanery.operators import digest, embed, latest, links, merge, neardup, pending, rank, similar, summarise
 from gleanery.operators.articles import page_articles, with_page_content
-from gleanery.operators.metrics import funnel
 from gleanery.plans import daily, views
 from gleanery.plans.views import AS_OF
 from gleanery.session import cutoff, freeze_table, ntz, scratch_path
