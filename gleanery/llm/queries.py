@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import exact_dedup, mixing, quality_rules, sharding
+from gleanery.llm import bpe, exact_dedup, mixing, quality_rules, sharding, token_files
 from gleanery.llm.oracle import ORACLE  # noqa: F401  the SQL twins, by query name
+from gleanery.session import scratch_path
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +30,23 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "tokens")
+    token_files.write_tokens(read(spark, sf_dir, "documents"), folder, TOKENIZER)
+    back = token_files.read_tokens(spark, folder)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.coded_texts(read(spark, sf_dir, "documents"), TOKENIZER, keep=["doc_id"])
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_columns(read(spark, sf_dir, "documents"))
 
@@ -46,6 +67,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_mixing": op4_mixing,
+    "op6_token_files": op6_token_files,
+    "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op10_sharding": op10_sharding,
 }
