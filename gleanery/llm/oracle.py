@@ -88,6 +88,15 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     or 100 * n_dup_lines > 50 * n_lines) as kept
 from m"""
 
+# Without a function for SHA-1 in older versions, the twin needs DuckDB with sha1().
+OP9 = """
+with p as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, ''))::bigint as payload_bytes from pages),
+g as (select html, max(page_id) as kept from p where payload_bytes >= 1000 group by html)
+select page_id, payload_bytes, sha1(p.html) as payload_digest,
+  case when kept is not null and page_id is distinct from kept then 'revisit' else 'response' end as record_type,
+  case when kept is not null and page_id is distinct from kept then kept end as refers_to
+from p left join g on p.html = g.html"""
+
 # Checksums bit by bit from the fixed polynomial of CRC-32, reflected.
 _CRC_STEP = "case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end"
 
@@ -132,5 +141,6 @@ ORACLE: dict[str, str] = {
     "op2_exact_dedup": OP2,
     "op4_mixing": OP4,
     "op8_quality_rules": OP8,
+    "op9_warc": OP9,
     "op10_sharding": _op10(),
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, exact_dedup, mixing, quality_rules, sharding, token_files
+from gleanery.llm import bpe, exact_dedup, mixing, quality_rules, sharding, token_files, warc
 from gleanery.llm.oracle import ORACLE  # noqa: F401  the SQL twins, by query name
 from gleanery.session import scratch_path
 
@@ -51,6 +51,26 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_columns(read(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    warc.write_pages(read(spark, sf_dir, "pages"), folder)
+    # Each kind of record by its own scan: the type is judged by headers, and payloads of
+    # records that the scan does not return are passed by.
+    responses = warc.read_archives(spark, folder).filter(F.col("record_type") == "response")
+    revisits = warc.read_archives(spark, folder, payload=False).filter(F.col("record_type") == "revisit")
+    measured = responses.withColumns(
+        {"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")}
+    )
+    number = r"urn:gleanery:page:(-?[0-9]+)$"
+    return measured.unionByName(revisits).select(
+        F.regexp_extract("record_id", number, 1).try_cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.regexp_extract("refers_to", number, 1).try_cast("long").alias("refers_to"),
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_rows(read(spark, sf_dir, "documents"))
     return placed.select(
@@ -70,5 +90,6 @@ QUERIES: dict[str, Query] = {
     "op6_token_files": op6_token_files,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
 }
