@@ -7,6 +7,28 @@ from gleanery.llm import sharding
 _WHITE = r"[\x20\x09-\x0D]"
 _INK = r"[^\x20\x09-\x0D]"
 
+# Every pair of documents that share a word run, counted.
+OP1 = rf"""
+with recursive d as materialized (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_INK}+') as w
+  from documents),
+u as (select doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) as pos from d where len(w) > 0),
+s as materialized (select distinct doc_id, array_to_string(w[pos:pos + 3], ' ') as run from u),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as hits
+  from s a join s b on a.run = b.run and a.doc_id < b.doc_id group by 1, 2),
+e as materialized (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b
+  where 100 * hits >= 80 * (x.n + y.n - hits)),
+edges2 as materialized (select a, b from e union all select b, a from e),
+r(doc_id, other) as (
+  select doc_id, doc_id from d union select r.doc_id, b from r join edges2 on other = a),
+c as (select doc_id, min(other) as component_id from r group by doc_id)
+select c.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, component_id = c.doc_id as kept
+from c left join n on c.doc_id = n.doc_id"""
+
 OP2 = rf"""
 with t as (
   select doc_id, regexp_replace(coalesce(text, ''), '{_WHITE}+', ' ', 'g') as norm from documents),
@@ -138,6 +160,7 @@ from n join p using (number)"""
 
 
 ORACLE: dict[str, str] = {
+    "op1_minhash_dedup": OP1,
     "op2_exact_dedup": OP2,
     "op4_mixing": OP4,
     "op8_quality_rules": OP8,

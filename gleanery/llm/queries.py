@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, exact_dedup, mixing, quality_rules, sharding, token_files, warc
+from gleanery.llm import bpe, exact_dedup, minhash, mixing, quality_rules, sharding, token_files, warc
 from gleanery.llm.oracle import ORACLE  # noqa: F401  the SQL twins, by query name
 from gleanery.session import scratch_path
 
@@ -21,6 +21,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(read(spark, sf_dir, "documents"), width=4)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_mixing": op4_mixing,
     "op6_token_files": op6_token_files,
