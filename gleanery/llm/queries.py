@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, exact_dedup, minhash, mixing, quality_rules, sharding, token_files, warc
+from gleanery.llm import bpe, exact_dedup, lang_id, minhash, mixing, quality_rules, sharding, token_files, warc
 from gleanery.llm.oracle import ORACLE  # noqa: F401  the SQL twins, by query name
 from gleanery.session import scratch_path
 
@@ -29,6 +29,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def _fold(folds: int) -> Column:
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(folds))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = _fold(5) == 0
+    model = lang_id.learned_from(docs.filter(~held_out).select("text", "lang"))
+    labelled = lang_id.label_texts(docs, model)
+    return labelled.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -91,6 +103,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_language": op3_language,
     "op4_mixing": op4_mixing,
     "op6_token_files": op6_token_files,
     "op7_bpe": op7_bpe,
