@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, exact_dedup, lang_id, minhash, mixing, quality_rules, sharding, token_files, warc
+from gleanery.llm import bpe, exact_dedup, lang_id, minhash, mixing, quality_model, quality_rules, sharding, token_files, warc
 from gleanery.llm.oracle import ORACLE  # noqa: F401  the SQL twins, by query name
 from gleanery.session import scratch_path
 
@@ -46,6 +46,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = _fold(4) == 2
+    labels = read(spark, sf_dir, "labels").filter(~held_out)
+    scored = quality_model.score_texts(read(spark, sf_dir, "documents"), labels, keep=["doc_id"])
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "tokens")
     token_files.write_tokens(read(spark, sf_dir, "documents"), folder, TOKENIZER)
@@ -105,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language": op3_language,
     "op4_mixing": op4_mixing,
+    "op5_quality_model": op5_quality_model,
     "op6_token_files": op6_token_files,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
