@@ -13,6 +13,7 @@ from its path, which must hold on every executor; nothing of it is copied.
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.llm.word_table import WordTable
-from gleanery.llm.words import whole
+from gleanery.llm.word_table import WordTable, letters_apart
+from gleanery.llm.words import unused, whole
 
 # Bytes of output handed over at once.
 OUTPUT_BYTES = 8 << 20
@@ -46,6 +47,11 @@ def byte_letters() -> list[str]:
     return letters
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian numbers of four bytes."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Bpe:
     """One tokenizer file: normaliser, pre-tokenizer and merges."""
 
@@ -81,7 +87,7 @@ class Bpe:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks[vocab[left] * self.base + vocab[right]] = rank
             self.merged.append(vocab[left + right])
-        self.words = WordTable(lambda words: list(map(self.word, words)))
+        self.words = WordTable(lambda words: list(map(self.word, words)), letters_apart(spec))
 
     @staticmethod
     def _parts(spec: dict, name: str) -> list[dict]:
@@ -155,8 +161,7 @@ class Bpe:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(self.path)
-        ids = self.library.encode(word, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        return _packed(self.library.encode(word, add_special_tokens=False).ids)
 
     def word(self, word: str) -> bytes:
         """Ids of one run without white space, as little-endian numbers of four bytes."""
@@ -167,7 +172,7 @@ class Bpe:
         else:
             parts = self.special.split(word)
             ids = list(chain.from_iterable([self.added[p]] if p in self.added else self._piece(p) for p in parts))
-        return np.array(ids, dtype="<u4").tobytes()
+        return _packed(ids)
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         return self.words.ids(texts)
@@ -202,13 +207,19 @@ def _mapped(rows: DataFrame, schema: T.StructType, of_batch, weight) -> DataFram
     return rows.mapInArrow(run, schema)
 
 
+def _kept(docs: DataFrame, text_column: str, keep: list[str] | None) -> list[str]:
+    chosen = [c for c in docs.columns if c != text_column] if keep is None else keep
+    return [c for c in chosen if c not in ("n_tokens", "token_ids", "decoded")]
+
+
 def encode_texts(docs: DataFrame, path: str, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` (all by default but the text), ``n_tokens`` and ``token_ids``,
     the ids as little-endian numbers of four bytes. A missing text counts as an empty one;
     an empty one has no ids. Rows stay as they are otherwise, repeated ones too. A column of
-    ``docs`` named as a new one must be left out by ``keep``."""
-    keep = [c for c in docs.columns if c != text_column] if keep is None else keep
-    rows = docs.select(*keep, whole(text_column).alias("_text"))
+    ``docs`` named as a new one is left out."""
+    keep = _kept(docs, text_column, keep)
+    text = unused(keep, "_text")
+    rows = docs.select(*keep, whole(text_column).alias(text))
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())]
     schema = T.StructType([*rows.schema.fields, *new])
 
@@ -216,13 +227,13 @@ def encode_texts(docs: DataFrame, path: str, text_column: str = "text", keep: li
         ids = tokenizer(path).encode(texts)
         return [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
 
-    return _mapped(rows, schema, of_batch, lambda v: 3 * len(v.as_buffer() or b"")).drop("_text")
+    return _mapped(rows, schema, of_batch, lambda v: 3 * len(v.as_buffer() or b"")).drop(text)
 
 
 def decode_ids(rows: DataFrame, path: str, ids_column: str = "token_ids") -> DataFrame:
     """``rows`` with ``decoded``, the strings of the ids; missing ids decode to an empty text.
     An id that the file does not have is an error."""
-    others = [c for c in rows.columns if c != ids_column]
+    others = [c for c in rows.columns if c not in (ids_column, "decoded")]
     ordered = rows.select(*others, F.coalesce(ids_column, F.lit(b"")).alias(ids_column))
     schema = T.StructType([*ordered.schema.fields, T.StructField("decoded", T.StringType())])
 
@@ -234,8 +245,9 @@ def decode_ids(rows: DataFrame, path: str, ids_column: str = "token_ids") -> Dat
 
 def coded_texts(docs: DataFrame, path: str, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
     """`encode_texts`, and `decode_ids` of what it gives, in one pass over the rows."""
-    keep = [c for c in docs.columns if c != text_column] if keep is None else keep
-    rows = docs.select(*keep, whole(text_column).alias("_text"))
+    keep = _kept(docs, text_column, keep)
+    text = unused(keep, "_text")
+    rows = docs.select(*keep, whole(text_column).alias(text))
     new = "n_tokens long, token_ids binary, decoded string"
     schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(new).fields])
 
@@ -244,4 +256,4 @@ def coded_texts(docs: DataFrame, path: str, text_column: str = "text", keep: lis
         decoded = list(map(tokenizer(path).decode, ids))
         return [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
 
-    return _mapped(rows, schema, of_batch, lambda v: 6 * len(v.as_buffer() or b"")).drop("_text")
+    return _mapped(rows, schema, of_batch, lambda v: 6 * len(v.as_buffer() or b"")).drop(text)

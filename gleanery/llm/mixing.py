@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleanery.llm.words import word_count, whole
+from gleanery.llm.words import unused, whole, word_count
 from gleanery.session import freeze_table
 
 WEIGHTS = (3, 1, 2)
@@ -253,7 +253,8 @@ def mix(
 def mixed_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as it is taken, all columns. Rows with
     a missing id are not taken, as a choice could not be told from others."""
+    copies, copy = unused(docs.columns, "_copies"), unused(docs.columns, "_copy")
     chosen = mix(docs, id_column=id_column, text_column=text_column, **options)
-    chosen = chosen.filter(F.col("copies") > 0).groupBy(id_column).agg(F.max("copies").alias("_copies"))
+    chosen = chosen.filter(F.col("copies") > 0).groupBy(id_column).agg(F.max("copies").alias(copies))
     joined = docs.join(chosen, id_column)
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)

@@ -88,10 +88,12 @@ with t as materialized (
     regexp_extract_all(coalesce(text, ''), '{_INK}+') as w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{_INK}')) as lines
   from documents),
-u as (
-  select doc_id, unnest(range(1, len(w) - 3)) as pos, w from t where len(w) >= 5),
-v as (
-  select doc_id, pos, count(*) over (partition by doc_id, array_to_string(w[pos:pos + 4], ' ')) as n from u),
+u as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from t where len(w) >= 5),
+l as (
+  select doc_id, pos, word || ' ' || lead(word, 1) over p || ' ' || lead(word, 2) over p || ' ' ||
+    lead(word, 3) over p || ' ' || lead(word, 4) over p as run
+  from u window p as (partition by doc_id order by pos)),
+v as (select doc_id, pos, count(*) over (partition by doc_id, run) as n from l where run is not null),
 r as (
   select doc_id, sum(least(5, coalesce(later, pos + 5) - pos)) as n_repeat from (
     select doc_id, pos, lead(pos) over (partition by doc_id order by pos) as later from v where n > 1)

@@ -20,6 +20,7 @@ per file, is written by Spark, so files of lost or repeated tasks are never read
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleanery.llm.word_table import WordTable
+from gleanery.llm.word_table import WordTable, letters_apart
 from gleanery.llm.words import whole
 
 MAGIC = b"GLTOKEN1"
@@ -45,6 +46,7 @@ CHECK = struct.Struct("<I")
 DOC = struct.Struct("<?q")
 ENTRY = np.dtype([("offset", "<u8"), ("before", "<u8")])
 END_ID = 1
+JOINED_WORDS = 2048  # words that the library encodes in one call
 RECORDS_READ = 2048  # records that one row of a read plan stands for
 OUTPUT_BYTES = 8 << 20
 
@@ -98,12 +100,26 @@ class Encoder:
         self.model.no_truncation()
         self.by_word = by_word
         self.dtype = np.dtype("<u2") if self.model.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words = WordTable(self._plain)
+        self.words = WordTable(self._joined, letters_apart(json.loads(self.model.to_str())))
 
     def _plain(self, texts: Sequence[str]) -> list[bytes]:
         coded = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(c.ids, dtype=self.dtype).tobytes() for c in coded]
 
+    def _joined(self, words: Sequence[str]) -> list[bytes]:
+        """Ids of each word, many words in one text; where a token starts tells its word."""
+        out: list[bytes] = []
+        width = self.dtype.itemsize
+        for at in range(0, len(words), JOINED_WORDS):
+            some = words[at : at + JOINED_WORDS]
+            coded = self.model.encode(" ".join(some), add_special_tokens=False)
+            begins = np.fromiter((start for start, _ in coded.offsets), dtype=np.int64)
+            starts = np.cumsum([0, *(len(w) + 1 for w in some)])
+            cuts = (np.searchsorted(begins, starts) * width).tolist()
+            raw = np.array(coded.ids, dtype=self.dtype).tobytes()
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.words.ids(texts) if self.by_word else self._plain(texts)
 

@@ -13,6 +13,8 @@ LONGEST_KEPT = 64
 # str.split() parts at these four, which are no white space to tokenizers.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
+MARKS = ".,;:!?"
+
 
 def words_of(text: str) -> list[str]:
     """Runs without Unicode white space."""
@@ -21,16 +23,51 @@ def words_of(text: str) -> list[str]:
     return text.split()
 
 
+def letters_apart(spec: dict) -> bool:
+    """Whether a tokenizer file lower-cases text and parts letters from the marks behind them."""
+    normalizer, splitter = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = normalizer.get("normalizers", [normalizer])
+    splits = [s for s in splitter.get("pretokenizers", [splitter]) if s.get("type") == "Split"]
+    patterns = [s["pattern"].get("Regex", "").split("|") for s in splits]
+    return any(s.get("type") == "Lowercase" for s in steps) and any(
+        r"[\p{L}]+" in parts and r"[^\s\p{L}\p{N}]+" in parts for parts in patterns
+    )
+
+
+def core_and_mark(word: str) -> tuple[str, str]:
+    """A plain word in lower case and the one mark behind it, if that is all there is."""
+    body, mark = (word[:-1], word[-1]) if word[-1] in MARKS else (word, "")
+    if body.isascii() and body.isalpha():
+        return body.lower(), mark
+    return word, ""
+
+
 class WordTable:
     """Joins the ids of a text's words. A full generation becomes the old one and the one
-    before is let go, so frequent words stay known and memory is bounded on any text."""
+    before is let go, so frequent words stay known and memory is bounded on any text.
+
+    With ``apart``, for files of which `letters_apart` holds, the forms of a word that differ
+    in case or by a mark at the end share its ids.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[bytes]], kept: int = WORDS_KEPT):
+    def __init__(self, encode: Callable[[list[str]], Sequence[bytes]], apart: bool = False, kept: int = WORDS_KEPT):
         self.encode = encode
+        self.apart = apart
         self.kept = kept
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _new(self, words: list[str]) -> Sequence[bytes]:
+        if not self.apart:
+            return self.encode(words)
+        parts = list(map(core_and_mark, words))
+        known = {**{c: self.young.get(c) or self.old.get(c) for c, _ in parts}, **dict.fromkeys(m for _, m in parts)}
+        known[""] = b""
+        unknown = [w for w, ids in known.items() if ids is None]
+        known.update(zip(unknown, self.encode(unknown)))
+        self.young.update((w, known[w]) for w in unknown if len(w) <= LONGEST_KEPT)
+        return [known[c] + known[m] for c, m in parts]
+
     def ids(self, texts: Sequence[str]) -> list[bytes]:
         split = [words_of(t) for t in texts]
         if len(self.young) > self.kept:
@@ -43,7 +80,7 @@ class WordTable:
                 new.append(word)
             else:
                 young[word] = known
-        young.update(zip(new, self.encode(new)))
+        young.update(zip(new, self._new(new)))
         out = [b"".join(map(young.__getitem__, words)) for words in split]
         for word in new:
             if len(word) > LONGEST_KEPT:

@@ -27,3 +27,11 @@ def ink_only(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words, as a long, without building them."""
     return F.regexp_count(text, F.lit(INK + "+")).cast("long")
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,0 +1,50 @@
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from gleanery.llm import exact_dedup
+from tests.llm.helpers import TEXTS, fixture
+
+
+def brute_force(rows):
+    norm = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t, _, _ in rows]
+    groups = {}
+    for i, t in norm:
+        groups.setdefault(t, []).append(i)
+    out = []
+    for i, t in norm:
+        ids = [x for x in groups[t] if x is not None]
+        keep = min(ids) if ids else None
+        kept = i is not None and i == keep
+        out.append((i, keep, len(groups[t]), kept, hashlib.sha256(t.encode()).hexdigest()))
+    return sorted(map(str, out))
+
+
+def one_byte(chunk):
+    return F.unhex(F.substring(F.sha2(chunk, 256), 1, 1))
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.digest, one_byte])
+def test_groups(spark, digest):
+    # With a digest of four bits, chunks clash and are told by their content.
+    rows = [*TEXTS, *[(100 + i, f"text number {i % 30}", "en", "a") for i in range(60)]]
+    got = exact_dedup.exact_groups(fixture(spark, rows), digest=digest).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute_force(rows)
+
+
+def test_chunks_join_up(spark):
+    long_ = "ab cd. " * 3000 + "x" * 10_000
+    parts = spark.createDataFrame([(long_,)], "t string").select(exact_dedup.chunks(F.col("t"))).first()[0]
+    assert "".join(parts) == long_ and len(parts) > 3 and max(map(len, parts)) <= exact_dedup.MOST
+
+
+def test_dropping_copies(spark):
+    docs = fixture(spark)
+    kept = exact_dedup.drop_exact_copies(docs)
+    assert kept.columns == docs.columns
+    ids = sorted(str(r.doc_id) for r in kept.collect())
+    # 2 and 3 equal 1, 6 equals 5; the repeated row 12 stays twice; the row without id stays.
+    assert ids == sorted(["1", "4", "5", "7", "8", "9", "None", "11", "12", "12", "13", "14"])
+    assert exact_dedup.exact_groups(docs.limit(0)).collect() == []

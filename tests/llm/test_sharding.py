@@ -1,0 +1,52 @@
+import zlib
+
+import numpy as np
+import pytest
+
+from gleanery.llm import sharding
+from tests.llm.helpers import TEXTS, fixture
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 40, 257, 1000, 4097])
+def test_permutation_is_one_and_has_an_inverse(rows):
+    p = sharding.Permutation(rows)
+    out = p.position(np.arange(rows))
+    assert sorted(out) == list(range(rows))
+    assert (p.number(out) == np.arange(rows)).all()
+
+
+def test_large_domain_and_bounds():
+    p = sharding.Permutation(3 * 10**10)
+    some = np.array([0, 1, 12345678901, 3 * 10**10 - 1])
+    assert (p.number(p.position(some)) == some).all()
+    with pytest.raises(ValueError):
+        p.position(np.array([3 * 10**10]))
+
+
+def test_shards_slots_and_place(spark):
+    docs = fixture(spark)
+    rows = sharding.shard_rows(docs, shards=4).collect()
+    assert len(rows) == len(TEXTS)
+    want = sorted((i is not None, i or 0, zlib.crc32((t or "").encode()), len((t or "").encode()) + 16) for i, t, _, _ in TEXTS)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.text_crc32, r["size"]) for r in rows)
+    assert got == want
+    by_shard = {}
+    for r in rows:
+        by_shard.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
+    counts = [len(by_shard.get(s, [])) for s in range(4)]
+    assert max(counts) - min(counts) <= 1
+    p = sharding.Permutation(len(TEXTS))
+    for r in rows:
+        assert sharding.place(p, r.row_number, 4) == (r.shard, r.slot)
+        assert sharding.row_of(p, r.shard, r.slot, 4) == r.row_number
+    # Numbers follow the order of ids, whatever the partitions.
+    numbered = sorted(rows, key=lambda r: r.row_number)
+    ids = [r.doc_id for r in numbered if r.doc_id is not None]
+    assert ids == sorted(ids)
+    again = sharding.shard_rows(docs.repartition(7), shards=4).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+
+
+def test_empty_table(spark):
+    assert sharding.shard_rows(fixture(spark).limit(0)).collect() == []
