@@ -45,6 +45,7 @@ class _Text:
     def __init__(self, skip: bool = False):
         self.parts: list[str] = []
         self.skip = skip
+        self.live = True  # until its element ends
 
     def value(self) -> str:
         return _SPACE.sub(" ", " ".join(self.parts)).strip()
@@ -67,6 +68,11 @@ class PageReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rules = rules
         self.open: list[tuple[str, list]] = []
+        # Where each tag is open, so that no step walks over all that is open.
+        self.places: dict[str, list[int]] = {}
+        self.hidden = 0
+        self.skipped = 0
+        self.listening: list[_Text] = []
         self.buffer: list[str] = []
         self.visible = _Text()
         self.meta: dict[str, str | None] = {}
@@ -109,17 +115,33 @@ class PageReader(HTMLParser):
             self.script = []
         if tag in VOID_TAGS:
             return
-        self.open.append((tag, self._listeners(tag, named.get("class", ""))))
+        self._push(tag, self._listeners(tag, named.get("class", "")))
 
     def handle_endtag(self, tag):
         self._flush()
         if tag == "script" and self.script is not None:
             self.scripts.append("".join(self.script))
             self.script = None
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                del self.open[at:]
-                return
+        if self.places.get(tag):
+            self._pop_to(self.places[tag][-1])
+
+    def _push(self, tag, listeners):
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.hidden += tag in HIDDEN_TAGS
+        self.skipped += tag in SKIPPED_PARENTS
+        self.listening.extend(listeners)
+        self.open.append((tag, listeners))
+
+    def _pop_to(self, size):
+        while len(self.open) > size:
+            tag, listeners = self.open.pop()
+            self.places[tag].pop()
+            self.hidden -= tag in HIDDEN_TAGS
+            self.skipped -= tag in SKIPPED_PARENTS
+            for text in listeners:
+                text.live = False
+            if listeners:
+                del self.listening[-len(listeners) :]
 
     def finish(self) -> PageReader:
         self.close()
@@ -139,13 +161,11 @@ class PageReader(HTMLParser):
             self._end_open("li", frozenset(("ul", "ol", "menu")))
 
     def _end_open(self, tag, scope):
-        for at in range(len(self.open) - 1, -1, -1):
-            name = self.open[at][0]
-            if name == tag:
-                del self.open[at:]
-                return
-            if name in scope:
-                return
+        """End the innermost ``tag`` unless a tag of ``scope`` was opened inside it."""
+        if self.places.get(tag):
+            at = self.places[tag][-1]
+            if all(not self.places.get(name) or self.places[name][-1] < at for name in scope):
+                self._pop_to(at)
 
     def _add_meta(self, named):
         for kind in ("name", "property", "itemprop"):
@@ -159,9 +179,7 @@ class PageReader(HTMLParser):
             self.h1 = _Text()
             added.append(self.h1)
         if tag in ("p", "li"):
-            skip = any(name in SKIPPED_PARENTS for name, _ in self.open) or any(
-                SKIPPED_CLASS in name.lower() for name in classes.split()
-            )
+            skip = self.skipped > 0 or any(SKIPPED_CLASS in name.lower() for name in classes.split())
             for container in self._open_containers():
                 block = _Text(skip)
                 container.blocks.append(block)
@@ -181,27 +199,60 @@ class PageReader(HTMLParser):
         return added
 
     def _open_containers(self):
-        live = {id(text) for _, texts in self.open for text in texts}
-        return [
-            c
-            for c in (self.by_class, self.by_article, self.by_main)
-            if c is not None and id(c.text) in live
-        ]
+        return [c for c in (self.by_class, self.by_article, self.by_main) if c is not None and c.text.live]
 
     def _flush(self):
         if not self.buffer:
             return
         text = "".join(self.buffer).strip()
         self.buffer.clear()
-        if not text or any(name in HIDDEN_TAGS for name, _ in self.open):
+        if not text or self.hidden:
             return
         self.visible.parts.append(text)
-        for _, texts in self.open:
-            for target in texts:
-                target.parts.append(text)
+        for target in self.listening:
+            target.parts.append(text)
 
 
 def read_page(html: str, rules: PageRules) -> PageReader:
     reader = PageReader(rules)
     reader.feed(html)
     return reader.finish()
+
+
+class LinkReader(HTMLParser):
+    """What the link job needs: anchors and structured data, outside comments and scripts."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.anchors: list[str] = []
+        self.scripts: list[str] = []
+        self.script: list[str] | None = None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            named = dict(attrs)
+            if named.get("href"):
+                self.anchors.append(named["href"])
+        elif tag == "script" and dict(attrs).get("type") == "application/ld+json":
+            self.script = []
+
+    def handle_data(self, data):
+        if self.script is not None:
+            self.script.append(data)
+
+    def handle_endtag(self, tag):
+        if tag == "script" and self.script is not None:
+            self.scripts.append("".join(self.script))
+            self.script = None
+
+    def finish(self) -> LinkReader:
+        self.close()
+        if self.script is not None:
+            self.scripts.append("".join(self.script))
+        return self
+
+
+def read_links(html: str) -> LinkReader:
+    reader = LinkReader()
+    reader.feed(html)
+    return reader.finish()

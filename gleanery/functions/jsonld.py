@@ -12,26 +12,44 @@ from gleanery.functions.dates import ISO_DATE
 # Object types that describe an article.
 ARTICLE_TYPES = ("NewsArticle", "Article", "ReportageNewsArticle")
 
-# Fixed value: the shortest brace-to-brace snippet, for scripts that are not valid JSON.
-_SNIPPET = re.compile(r"\{.*?\}", re.DOTALL)
 _ISO = re.compile(ISO_DATE)
 
 
+# A half of a character that escapes in the text spelled without its other half.
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def writable(text: str) -> str:
+    """``text`` with lone surrogates replaced: no table can hold them."""
+    return _LONE.sub("\ufffd", text) if _LONE.search(text) else text
+
+
+def _parsed(text: str) -> list[Any]:
+    """The JSON value, if it is one; text nested beyond what the parser takes is none."""
+    try:
+        return [json.loads(text)]
+    except (ValueError, RecursionError):
+        return []
+
+
+def _snippets(text: str) -> Iterator[str]:
+    """Shortest brace-to-brace snippets, for scripts that are not valid JSON, in one pass."""
+    start = text.find("{")
+    while start >= 0:
+        end = text.find("}", start)
+        if end < 0:
+            return
+        yield text[start : end + 1]
+        start = text.find("{", end + 1)
+
+
 def documents(scripts: Iterable[str]) -> Iterator[Any]:
     """Every JSON value found in the script bodies, in page order."""
     for script in scripts:
         body = (script or "").strip()
         if not body:
             continue
-        try:
-            found = [json.loads(body)]
-        except ValueError:
-            found = []
-            for snippet in _SNIPPET.findall(body):
-                try:
-                    found.append(json.loads(snippet))
-                except ValueError:
-                    pass
+        found = _parsed(body) or [value for part in _snippets(body) for value in _parsed(part)]
         yield from found
 
 
@@ -55,7 +73,7 @@ def listed_urls(scripts: Iterable[str]) -> list[str]:
             item = node.get("item")
             candidates = [node.get("url"), node.get("@id")]
             candidates.append(item.get("url") if isinstance(item, dict) else None)
-            urls.extend(c for c in candidates if isinstance(c, str))
+            urls.extend(writable(c) for c in candidates if isinstance(c, str))
     return urls
 
 
@@ -67,7 +85,7 @@ def article_fields(scripts: Iterable[str]) -> dict[str, str | None] | None:
             kinds = kinds if isinstance(kinds, list) else [kinds]
             if not any(kind in ARTICLE_TYPES for kind in kinds if isinstance(kind, str)):
                 continue
-            any_date = _ISO.search(str(node))
+            any_date = _ISO.search(_printed(node))
             return {
                 "headline": _text(node.get("headline")),
                 "description": _text(node.get("description")),
@@ -80,8 +98,16 @@ def article_fields(scripts: Iterable[str]) -> dict[str, str | None] | None:
 
 
 def _text(value: Any) -> str | None:
-    return value if isinstance(value, str) else None
+    return writable(value) if isinstance(value, str) else None
 
 
 def _scalar(value: Any) -> str | None:
-    return None if value is None else str(value)
+    return None if value is None else writable(_printed(value))
+
+
+def _printed(value: Any) -> str:
+    """The value as text; one nested too deeply for that as its scalars."""
+    try:
+        return str(value)
+    except RecursionError:
+        return " ".join(str(v) for node in objects(value) for v in node.values() if isinstance(v, (str, int, float)))

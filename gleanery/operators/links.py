@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.functions.jsonld import listed_urls
+from gleanery.functions.html import read_links
+from gleanery.functions.jsonld import listed_urls, writable
 from gleanery.functions.urls import (
     ARTICLE_PREFIX,
     EXCLUDED_PREFIXES,
@@ -18,31 +19,21 @@ from gleanery.functions.urls import (
     normalise_url,
 )
 
-_LD_SCRIPT = r"""(?is)<script\s[^>]*?type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script\s*>"""
-_NO_MARKUP = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
-_ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-
-
-def _unescape(text: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
-
-
-def anchor_urls(html: Column) -> Column:
-    """``href`` of every anchor outside scripts, styles and comments, in page order."""
-    found = F.regexp_extract_all(F.regexp_replace(html, _NO_MARKUP, " "), F.lit(_ANCHOR), F.lit(1))
-    return F.transform(found, lambda u: _unescape(F.regexp_replace(u, r"""^["']|["']$""", "")))
-
-
-def ld_scripts(html: Column) -> Column:
-    """Bodies of the page's structured-data scripts."""
-    return F.regexp_extract_all(html, F.lit(_LD_SCRIPT), F.lit(1))
+_FOUND = T.StructType(
+    [T.StructField("listed", T.ArrayType(T.StringType())), T.StructField("anchors", T.ArrayType(T.StringType()))]
+)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def structured_urls(scripts: pd.Series) -> pd.Series:
-    return scripts.map(listed_urls)
+@F.pandas_udf(_FOUND)
+def found_urls(html: pd.Series) -> pd.DataFrame:
+    """URLs in a page's structured data, and ``href`` of its anchors, in page order."""
+    pages = [read_links(text) for text in html]
+    return pd.DataFrame(
+        {
+            "listed": [listed_urls(page.scripts) for page in pages],
+            "anchors": [[writable(url) for url in page.anchors] for page in pages],
+        }
+    )
 
 
 def page_links(
@@ -57,7 +48,7 @@ def page_links(
     """(page_url, pos, url): article URLs of each page (url, html), duplicates kept.
 
     Structured data counts if any of its URLs passes the filter, anchors otherwise.
-    Pages are read once, and only their structured-data scripts go to Python.
+    Pages are read once, by the same parser that reads articles.
     """
 
     def usable(urls: Column) -> Column:
@@ -69,8 +60,8 @@ def page_links(
 
     found = (
         pages.filter(F.col("html").isNotNull())
-        .select("url", ld_scripts(F.col("html")).alias("scripts"), anchor_urls(F.col("html")).alias("anchors"))
-        .select("url", "anchors", usable(structured_urls("scripts")).alias("listed"))
+        .select("url", found_urls("html").alias("found"))
+        .select("url", F.col("found.anchors").alias("anchors"), usable(F.col("found.listed")).alias("listed"))
     )
     urls = F.when(F.size("listed") > 0, F.col("listed")).otherwise(usable(F.col("anchors")))
     # The outer form, as for the plain one Spark would find the links once more to filter on them.

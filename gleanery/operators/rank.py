@@ -43,7 +43,6 @@ BANDS = ((9.0, "high"), (7.0, "very relevant"), (5.0, "moderate"), (3.0, "some")
 HOT_ITEMS = 1000
 HOT_BITS = 4
 
-_MARK = "\u0001"
 
 
 def _best_first(score: str = "relevance_score") -> list[Column]:

@@ -73,7 +73,7 @@ def _greedy(vectors: str, threshold: float) -> str:
     """Greedy leaders over ``vectors`` (i from 0, key, e); ends with g(i, kept)."""
     return f"""v as materialized ({vectors}),
 e as materialized (
-  select a.i as i, b.i as j from v a join v b on b.i < a.i and list_cosine_similarity(a.e, b.e) >= {threshold}),
+  select a.i as i, b.i as j from v a join v b on b.i < a.i and list_cosine_similarity(a.e, b.e) >= {threshold} - 1e-9),
 adj as materialized (
   select v.i, list(e.j) filter (e.j is not null) as ns from v left join e using (i) group by v.i),
 g(i, kept) as (
@@ -204,6 +204,12 @@ ORACLE: dict[str, str] = {
             else ['anchor-' || page_id] end) as slug,
             unnest(case when kind = 0 then [0, 1, 2, 3] when kind = 1 then [0, 1] else [0] end)::int as pos from p)
         select page_url, pos, '{BASE}/news/' || slug as url from u""",
+    "hostile_pages": f"""with u as (
+          select url as page_url, unnest(case when page_id % 3 = 1 then ['half' || chr(65533) || '-' || page_id]
+              else ['quoted-' || page_id, 'tight-' || page_id, 'caf' || chr(233) || '-' || page_id || '-x'] end) as slug,
+            unnest(case when page_id % 3 = 1 then [0] else [0, 1, 2] end)::int as pos
+          from pages)
+        select page_url, pos, '{BASE}/news/' || slug as url from u""",
     "linked_pages": f"""select '{BASE}/news/a-' || (page_id + 2) as url, len(html)::int as n_chars from pages
         where (page_id + 2) % 4 = 0 and page_id + 2 in (select page_id from pages)""",
     "page_articles": f"""with p as (
@@ -239,7 +245,7 @@ ORACLE: dict[str, str] = {
     "similar_earlier": f"""with v as materialized (select vec_id, embedding::double[] as e from embeddings)
         select a.vec_id, min(b.vec_id) as first_similar, count(*) as n_similar,
           round(max(list_cosine_similarity(a.e, b.e)), 6) as best
-        from v a join v b on b.vec_id < a.vec_id and list_cosine_similarity(a.e, b.e) >= {SIMILAR} group by a.vec_id""",
+        from v a join v b on b.vec_id < a.vec_id and list_cosine_similarity(a.e, b.e) >= {SIMILAR} - 1e-9 group by a.vec_id""",
     "dedup_survivors": f"with recursive {_greedy(_TEST_VECTORS, SIMILAR)} select vec_id from v where i in (select i from kept)",
     "dedup_labels": f"""{_LABELS} select p.vec_id, l.vec_id as leader from placed p join v l on l.i = p.lead""",
     "dedup_newest": f"""{_LABELS},

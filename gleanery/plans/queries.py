@@ -136,6 +136,24 @@ def listing_links(spark, sf_dir):
     return links.page_links(_listing_pages(spark, sf_dir), BASE, SITE)
 
 
+def hostile_pages(spark, sf_dir):
+    """Links of pages with marks inside attributes, missing blanks, entities, structured data in
+    a comment, half characters and nesting beyond any parser."""
+    number = F.col("page_id").cast("string")
+    kind = F.col("page_id") % 3
+    script = '<script type="application/ld+json">'
+    deep = F.concat(F.lit(script), F.repeat(F.lit('{"a":['), F.lit(20000)), F.lit("</script>"))
+    half = F.concat(F.lit(script + '{"url":"/news/half\\ud800-'), number, F.lit('"}</script>'))
+    extra = F.concat(
+        F.lit("<!-- " + script + '{"url":"/news/hidden"}</script> --><a title="x > y" href="/news/quoted-'), number,
+        F.lit('">a</a><a class="c"href=/news/tight-'), number,
+        F.lit('>b</a><a href="/news/caf&eacute;-'), number, F.lit('&#45;x">c</a>'),
+    )
+    data = F.when(F.col("page_id") % 30 == 0, deep).when(kind == 1, half).otherwise(F.lit(""))
+    pages = _table(spark, sf_dir, "pages").select("url", F.concat("html", data, extra).alias("html"))
+    return links.page_links(pages, BASE, SITE)
+
+
 def linked_pages(spark, sf_dir):
     """Listed articles joined with their landed pages."""
     landed = _table(spark, sf_dir, "pages").select(
@@ -474,6 +492,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feed_addresses": feed_addresses,
     "page_links": page_links,
     "listing_links": listing_links,
+    "hostile_pages": hostile_pages,
     "linked_pages": linked_pages,
     "page_articles": page_articles_query,
     "page_titles": page_titles,

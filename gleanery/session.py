@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import datetime as dt
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +37,11 @@ def cutoff(as_of: dt.datetime | str | None, hours: float) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where unset."""
+    """The folder all executors share, ``spark.checkpoint.dir``.
+
+    Where it is unset a session of one machine gets a folder of its own that is dropped with
+    it; on a cluster that is an error, as executors would write to disks of their own.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir"
@@ -43,10 +51,36 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(folder)
         return folder.rstrip("/")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="gleanery-"))
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="gleanery-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
     return context.getCheckpointDir().rstrip("/")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python, once per Spark context.
+
+    Needed where it is not installed on the executors; jobs may start in any folder.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_gleanery_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    parent = os.path.dirname(root)
+    folder = tempfile.mkdtemp(prefix="gleanery-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "gleanery.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for where, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    archive.write(os.path.join(where, name), os.path.relpath(os.path.join(where, name), parent))
+    context.addPyFile(path)
+    context._gleanery_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/gleanery/{name}-{uuid.uuid4().hex}"

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.functions import jsonld
 from gleanery.functions.html import PageRules, read_page
+from gleanery.functions.jsonld import writable
 
 _TEXTS = T.ArrayType(T.StringType())
 
@@ -48,10 +49,6 @@ def landed_pages(pages: DataFrame, on_missing: str = "skip") -> DataFrame:
     raise ValueError(f"on_missing must be 'skip' or 'fail', not {on_missing!r}")
 
 
-def read_pages(spark: SparkSession, path: str, on_missing: str = "skip") -> DataFrame:
-    return landed_pages(spark.read.parquet(path), on_missing)
-
-
 def page_fields(pages: DataFrame, rules: PageRules = PageRules()) -> DataFrame:
     """Fields of each page (url, html), read in Arrow batches; the HTML itself is not kept."""
 
@@ -65,7 +62,7 @@ def page_fields(pages: DataFrame, rules: PageRules = PageRules()) -> DataFrame:
         return {
             "url": url,
             "ld": jsonld.article_fields(page.scripts),
-            "meta": page.meta,
+            "meta": {writable(k): v if v is None else writable(v) for k, v in page.meta.items()},
             "h1": page.h1.value() if page.h1 else None,
             "times": page.times,
             "visible_dates": page.visible_dates(),

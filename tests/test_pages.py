@@ -1,8 +1,9 @@
 import datetime as dt
+import time
 
 import pytest
 
-from gleanery.functions.html import PageRules, read_page
+from gleanery.functions.html import PageRules, read_links, read_page
 from gleanery.functions.jsonld import article_fields, listed_urls
 from gleanery.operators.articles import page_articles, with_page_content
 from gleanery.operators.links import linked_pages, page_links
@@ -163,3 +164,33 @@ def test_feed_page_content(spark):
     )
     got = {r["id"]: r["content"] for r in with_page_content(items, pages).collect()}
     assert got == {"1": "b c", "2": "", "3": ""}
+
+
+def test_links_of_hostile_markup():
+    page = read_links(
+        '<!-- <script type="application/ld+json">{"url":"/hidden"}</script> -->'
+        '<a title="x > y" href="/one">1</a><a class="c"href=/two>2</a><a href="/caf&eacute;&#45;x">3</a>'
+        '<script>var a = "<a href=/four>";</script><a name="five">5</a><a href="">6</a>'
+    )
+    assert page.anchors == ["/one", "/two", "/café-x"] and page.scripts == []
+
+
+def test_structured_data_of_any_depth_and_half_characters():
+    deep = '{"a":[' * 20000
+    assert listed_urls([deep]) == []
+    assert listed_urls(['{"url":"/x\\ud800y"}']) == ["/x�y"]
+    assert listed_urls(['{"url":"/\\ud83d\\ude00"}']) == ["/\U0001f600"]
+    nested = '{"@type":"Article","headline":"h\\udfff","x":' + "[" * 900 + "]" * 900 + "}"
+    assert article_fields([deep, nested])["headline"] == "h�"
+    assert listed_urls(['{' * 200_000]) == []
+
+
+def test_unclosed_markup_takes_linear_time():
+    def seconds(n):
+        html = "<article>" + "<b>" * n + "<li><ul>" + "<i>" * n + "<li>x</li>" * n + "</u>" * n + "{" * n
+        start = time.process_time()
+        read_page(html, PageRules())
+        return time.process_time() - start
+
+    seconds(2000)
+    assert seconds(40_000) < 40 * max(seconds(4000), 0.02)

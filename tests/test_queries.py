@@ -12,7 +12,7 @@ def test_query_equals_sql(spark, small, name):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) == set(entry.ORACLE)
 
 
 def test_entry(spark):
