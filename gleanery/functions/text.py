@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleanery.functions.once import bound
+
 # Unicode white space plus the four ASCII separators.
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 _SENTENCE_MARK = "\u0001"
+SENTENCE_WORDS = 25
 
 
 def clean_text(value: Column) -> Column:
@@ -51,10 +54,32 @@ def first_words(text: Column, count: int) -> Column:
     return F.substring_index(clean_text(text), " ", count)
 
 
-def first_sentences(text: Column, count: int) -> Column:
-    """At most ``count`` leading sentences of the cleaned text."""
+def best_sentences(text: Column, title: Column, count: int) -> Column:
+    """The ``count`` best sentences of the whole cleaned text, in text order.
+
+    A sentence scores two for each distinct title word in it and one for each of its words
+    up to `SENTENCE_WORDS`; of equal ones the earlier is taken.
+    """
     marked = F.regexp_replace(clean_text(text), r"([.!?]) ", f"$1{_SENTENCE_MARK}")
-    return F.translate(F.substring_index(marked, _SENTENCE_MARK, count), _SENTENCE_MARK, " ")
+    sentences = F.split(marked, _SENTENCE_MARK)
+    wanted = F.array_distinct(F.split(F.lower(clean_text(title)), " "))
+
+    def scored(words_wanted: Column) -> Column:
+        def score(sentence: Column, at: Column) -> Column:
+            return bound(
+                F.split(F.lower(sentence), " "),
+                lambda words: F.struct(
+                    (-2 * F.size(F.array_intersect(words_wanted, words)) - F.least(F.size(words), F.lit(SENTENCE_WORDS))).alias("score"),
+                    at.alias("at"),
+                    sentence.alias("text"),
+                ),
+            )
+
+        return F.transform(sentences, score)
+
+    best = F.slice(F.sort_array(bound(wanted, scored)), 1, count)
+    in_order = F.sort_array(F.transform(best, lambda s: F.struct(s["at"], s["text"])))
+    return F.array_join(F.transform(in_order, lambda s: s["text"]), " ")
 
 
 def match_form(text: Column) -> Column:

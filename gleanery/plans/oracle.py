@@ -49,8 +49,11 @@ made as (
   select sha256(source_type || chr(1) || id) as id,
     array_to_string(list_slice(string_split({_clean("title")}, ' '), 1, 10), ' ') as title,
     id as source_id, source_type,
-    array_to_string(list_slice(string_split(
-      regexp_replace({_clean("body")}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), 1, 3), ' ') as summary_text,
+    array_to_string(list_transform(list_sort(list_transform(list_slice(list_sort(list_transform(
+      string_split(regexp_replace({_clean("body")}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)),
+      lambda s, i: {{'score': -2 * len(list_distinct(list_intersect(string_split(lower({_clean("title")}), ' '), string_split(lower(s), ' '))))
+        - least(len(string_split(lower(s), ' ')), 25), 'place': i, 'text': s}})), 1, 3),
+      lambda b: {{'place': b.place, 'text': b.text}})), lambda b: b.text), ' ') as summary_text,
     published_date as article_created_at, timestamp '{AS_OF}' as created_at
   from told)"""
 
@@ -303,13 +306,13 @@ ORACLE: dict[str, str] = {
         select t.profile_id, t.summary_id, m.source_id, t.rank, t.relevance_score, t.reasoning
         from top t join made m on m.id = t.summary_id where t.n <= 10""",
     "rejected_scores": f"with {_SUPPLIED} select * from supplied where not {_VALID}",
-    "model_inputs": f"""with {_SUMMARIES} select id,
-          'Summarise this article.' || chr(10) || chr(10) || 'Title: ' || title || chr(10) || chr(10) || 'Content:' || chr(10)
-            || summary_text as item_input,
-          case when summary_text <> '' then 'Title: ' || title || chr(10) || 'Summary: ' || summary_text end as embedding_input,
-          to_json({{'id': id, 'title': title, 'source_id': source_id, 'source_type': source_type, 'summary': summary_text,
+    "model_inputs": f"""with {_SUMMARIES} select made.id,
+          'Summarise this ' || case when made.source_type = 'video' then 'video' else 'article' end || '.' || chr(10) || chr(10)
+            || 'Title: ' || told.title || chr(10) || chr(10) || 'Content:' || chr(10) || coalesce(told.body, '') as item_input,
+          case when summary_text <> '' then 'Title: ' || made.title || chr(10) || 'Summary: ' || summary_text end as embedding_input,
+          to_json({{'id': made.id, 'title': made.title, 'source_id': source_id, 'source_type': made.source_type, 'summary': summary_text,
             'article_created_at': strftime(article_created_at, '%Y-%m-%dT%H:%M:%S')}})::varchar as record
-        from made""",
+        from made join told on told.id = made.source_id and told.source_type = made.source_type""",
     "profile_texts": """select 'c' || c_custkey as profile_id, case when c_nationkey = 0
           then 'No reader profile is given. Rank by general news importance.'
           else to_json({'name': c_name, 'interests': [c_mktsegment]})::varchar end as profile from customer""",

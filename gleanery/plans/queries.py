@@ -418,15 +418,18 @@ def rejected_scores(spark, sf_dir):
 
 
 def model_inputs(spark, sf_dir):
-    """The texts handed to models: item, embedding and record."""
-    made = _summaries(spark, sf_dir)
+    """The texts handed to models: item with its whole content, embedding and record."""
+    items = views.items(spark, sf_dir)
+    text = summarise.item_input(F.col("title"), summarise.content_of()).alias("item_input")
+    inputs = items.select("source_type", F.col("id").alias("source_id"), text)
+    made = _summaries(spark, sf_dir).join(inputs, ["source_type", "source_id"])
     record = digest.record_json(
         id=F.col("id"), title=F.col("title"), source_id=F.col("source_id"), source_type=F.col("source_type"),
         summary=F.col("summary_text"), article_created_at=F.col("article_created_at"),
     )
     return made.select(
         "id",
-        summarise.model_input(F.lit("article"), F.col("title"), F.col("summary_text")).alias("item_input"),
+        "item_input",
         embed.embedding_input(F.col("title"), F.col("summary_text")).alias("embedding_input"),
         record.alias("record"),
     )

@@ -135,8 +135,12 @@ def test_texts(spark):
     marked = ["Lead Content: a Content: b ", " plain "]
     assert apply(spark, marked, text.after_marker) == ["a Content: b", "plain"]
     assert apply(spark, ["<a&b>\"'"], text.html_escape) == ["&lt;a&amp;b&gt;&quot;&#x27;"]
-    sentences = ["One. Two!  Three? Four.", "no end"]
-    assert apply(spark, sentences, lambda c: text.first_sentences(c, 3)) == ["One. Two! Three?", "no end"]
+    # Short ones lose, title words count double, and the order is that of the text.
+    sentences = ["One. Some more words here! Three? The Storm, a day later. Last words of it.", "no end", ""]
+    best = lambda c: text.best_sentences(c, F.lit("storm a night"), 3)
+    assert apply(spark, sentences, best) == [
+        "Some more words here! The Storm, a day later. Last words of it.", "no end", ""
+    ]
     assert apply(spark, ["a b  c d"], lambda c: text.first_words(c, 3)) == ["a b c"]
 
 
