@@ -10,10 +10,13 @@ Order: score descending, newer first, id ascending.
 Top-n per profile is exact without pairing every item with every profile:
 
 * profiles that ask for the same phrases are ranked once;
-* rare phrases are joined item by item;
-* a phrase found in very many items is a bit. Among items with equal bits the newer
-  one never scores less, so the n newest of each bit pattern stand for all of it;
+* an item counts by the set of phrases found in it. Among items with equal sets the
+  newer one never scores less, so the n newest of each set stand for all of it, and
+  wishes meet sets, not items;
+* of the sets that give a wish the same points, only the n with the newest items matter;
 * an item without any hit can only be in a top-n if it is among the n newest of all.
+
+A phrase in very many sets is dealt over `PHRASE_PARTS` tasks by a digest of the set.
 """
 
 from __future__ import annotations
@@ -39,10 +42,8 @@ MAX_SCORE = 10.0
 # Lower bounds of the score bands.
 BANDS = ((9.0, "high"), (7.0, "very relevant"), (5.0, "moderate"), (3.0, "some"), (0.0, "low"))
 
-# A phrase found in more items than this becomes a bit, up to so many bits per kind.
-HOT_ITEMS = 1000
-HOT_BITS = 4
-
+# Parts of each phrase's sets; every wish for it meets each part once.
+PHRASE_PARTS = 8
 
 
 def _best_first(score: str = "relevance_score") -> list[Column]:
@@ -133,76 +134,29 @@ def _item_phrases(items: DataFrame, phrases: DataFrame) -> DataFrame:
     return found.join(listed, "form").select("id", "published", "fresh", "phrase")
 
 
-def _hot_bits(item_phrases: DataFrame, hot_items: int) -> dict[str, int]:
-    """Bit of each hot phrase; at most ``HOT_BITS`` per kind."""
-    spread = item_phrases.groupBy("phrase").count().filter(F.col("count") > hot_items)
-    spread = spread.withColumn("kind", F.substring("phrase", 1, 1))
-    top = first_per_key(spread, ["kind"], [F.desc("count"), F.asc("phrase")], HOT_BITS)
-    bits: dict[str, int] = {}
-    used = {kind: n * HOT_BITS for n, kind in enumerate(KINDS)}
-    for row in top.orderBy("phrase").collect():
-        bits[row["phrase"]] = 1 << used[row["kind"]]
-        used[row["kind"]] += 1
-    return bits
-
-
-def _bit_of(bits: dict[str, int], phrase: Column) -> Column:
-    """The phrase's bit, 0 for one that has none."""
-    if not bits:
-        return F.lit(0)
-    known = F.create_map(*[F.lit(x) for pair in bits.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, phrase), F.lit(0))
-
-
-def _shared_counts(mask: Column) -> dict[str, Column]:
-    """Number of set bits of each kind."""
-    one_kind = (1 << HOT_BITS) - 1
-    return {
-        kind: F.bit_count(mask.bitwiseAND(F.lit(one_kind << (n * HOT_BITS))))
-        for n, kind in enumerate(KINDS)
-    }
-
-
-def _rare_hits(wishes: DataFrame, item_phrases: DataFrame, masks: DataFrame | None, bits) -> DataFrame:
-    """Pairs that share a phrase without a bit, with the points of all shared phrases."""
-    rare_items = item_phrases.filter(_bit_of(bits, F.col("phrase")) == 0)
-    if masks is None:
-        rare_items = rare_items.withColumn("item_mask", F.lit(0))
-    else:
-        rare_items = rare_items.join(masks.select("id", F.col("mask").alias("item_mask")), "id")
-    rare_wishes = wishes.select("wish", "mask", F.explode("phrases").alias("phrase")).filter(
-        _bit_of(bits, F.col("phrase")) == 0
-    )
-    hits = rare_wishes.join(rare_items, "phrase")
+def _set_hits(wishes: DataFrame, item_phrases: DataFrame, top_n: int) -> DataFrame:
+    """(wish, id, published, fresh, points) of items that can be among a wish's best."""
+    held = item_phrases.groupBy("id", "published", "fresh").agg(F.array_sort(F.collect_set("phrase")).alias("held"))
+    newest = first_per_key(held, ["held"], [F.desc("published"), F.asc("id")], top_n, number="nth")
+    newest = freeze_table(newest.withColumn("key", F.md5(F.array_join("held", "\u0001"))), "phrase-sets")
+
+    # A set goes by its newest item; of equally new ones the smaller id comes first.
+    sets = newest.filter("nth = 1")
+    part = F.pmod(F.xxhash64("key"), F.lit(PHRASE_PARTS)).cast("int")
+    of_sets = sets.select("key", "published", "id", part.alias("part"), F.explode("held").alias("phrase"))
+    of_wishes = wishes.select("wish", F.explode("phrases").alias("phrase"))
+    of_wishes = of_wishes.select("wish", "phrase", F.explode(F.sequence(F.lit(0), F.lit(PHRASE_PARTS - 1))).alias("part"))
     kind = F.substring("phrase", 1, 1)
-    pairs = hits.groupBy("wish", "id", "published", "fresh", "mask", "item_mask").agg(
-        *[F.count(F.when(kind == k, 1)).alias(k) for k in KINDS]
-    )
-    shared = _shared_counts(F.col("mask").bitwiseAND(F.col("item_mask")))
-    return pairs.select(
-        "wish", "id", "published", "fresh", _points({k: F.col(k) + shared[k] for k in KINDS}).alias("points")
+    pairs = (
+        of_wishes.join(of_sets, ["phrase", "part"])
+        .groupBy("wish", "key", "published", "id")
+        .agg(*[F.count(F.when(kind == k, 1)).alias(k) for k in KINDS])
+        .select("wish", "key", "published", "id", _points({k: F.col(k) for k in KINDS}).alias("points"))
     )
-
-
-def _hot_hits(wishes: DataFrame, masks: DataFrame, top_n: int) -> DataFrame:
-    """Best items of each wish by the phrases that have a bit."""
-    one_bit = F.array(*[F.lit(1 << n) for n in range(HOT_BITS * len(KINDS))])
-
-    def by_bit(patterns: DataFrame, name: str) -> DataFrame:
-        each = F.filter(one_bit, lambda b: F.col(name).bitwiseAND(b) != 0)
-        return patterns.select(name, F.explode(each).alias("bit"))
-
-    newest = first_per_key(
-        masks.filter("mask != 0"), ["mask"], [F.desc("published"), F.asc("id")], top_n
-    ).withColumnRenamed("mask", "item_mask")
-    asked = wishes.filter("mask != 0").select("mask").distinct()
-    kept = newest.select("item_mask").distinct()
-    pairs = by_bit(asked, "mask").join(by_bit(kept, "item_mask"), "bit").select("mask", "item_mask").distinct()
-    points = _points(_shared_counts(F.col("mask").bitwiseAND(F.col("item_mask"))))
-    scored = pairs.join(newest, "item_mask").withColumn("points", points)
-    scored = scored.withColumn("relevance_score", total_score(F.col("points"), F.col("fresh")))
-    best = first_per_key(scored, ["mask"], _best_first(), top_n)
-    return wishes.select("wish", "mask").join(best, "mask").select("wish", "id", "published", "fresh", "points")
+    kept = first_per_key(pairs, ["wish", "points"], [F.desc("published"), F.asc("id")], top_n)
+    return kept.select("wish", "key", "points").join(
+        newest.select("key", "id", "published", "fresh"), "key"
+    ).select("wish", "id", "published", "fresh", "points")
 
 
 def rank_for_profiles(
@@ -210,7 +164,6 @@ def rank_for_profiles(
     profiles: DataFrame,
     as_of=None,
     top_n: int = TOP_N,
-    hot_items: int = HOT_ITEMS,
 ) -> DataFrame:
     """(profile_id, id, rank, relevance_score): the ``top_n`` best summaries of each profile."""
     items = summaries.select(
@@ -227,18 +180,8 @@ def rank_for_profiles(
     )
     phrases = numbered.select(F.explode("phrases").alias("phrase")).distinct()
     item_phrases = freeze_table(_item_phrases(items, phrases), "item-phrases")
-    bits = _hot_bits(item_phrases, hot_items)
-    mask = F.aggregate("phrases", F.lit(0), lambda acc, p: acc.bitwiseOR(_bit_of(bits, p)))
-    wishes = numbered.select("wish", "phrases", mask.alias("mask"))
-
-    masks = None
-    if bits:
-        masks = item_phrases.groupBy("id", "published", "fresh").agg(
-            F.bit_or(_bit_of(bits, F.col("phrase"))).alias("mask")
-        )
-    found = _rare_hits(wishes, item_phrases, masks, bits)
-    if bits:
-        found = found.unionByName(_hot_hits(wishes, masks, top_n))
+    wishes = numbered.select("wish", "phrases")
+    found = _set_hits(wishes, item_phrases, top_n)
     newest = items.select("id", "published", "fresh").orderBy(F.desc("published"), F.asc("id")).limit(top_n)
     newest = newest.collect()  # top_n rows
     if newest:
