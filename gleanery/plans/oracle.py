@@ -97,6 +97,16 @@ placed as (
   from v left join e on e.i = v.i left join kept k on k.i = e.j and v.i not in (select i from kept)
   group by v.i, v.vec_id)"""
 
+_CLUSTERED = f"{_LABELS} select p.vec_id, l.vec_id as leader from placed p join v l on l.i = p.lead"
+# Vectors of two lengths, some missing: only equal lengths are compared.
+_MIXED = _CLUSTERED.replace(
+    "embedding::double[] as e from embeddings",
+    "case when vec_id % 11 = 0 then null when vec_id % 5 = 0 then embedding[1:32]::double[] "
+    "else embedding::double[] end as e from embeddings",
+).replace(
+    "list_cosine_similarity(a.e, b.e) >=", "case when len(a.e) = len(b.e) then list_cosine_similarity(a.e, b.e) end >="
+)
+
 _SCORED = f"""{_SUMMARIES}, {PROFILES_SQL},
 forms as (
   select *, ' ' || {_form("title || ' ' || summary_text")} || ' ' as f,
@@ -250,7 +260,11 @@ ORACLE: dict[str, str] = {
           round(max(list_cosine_similarity(a.e, b.e)), 6) as best
         from v a join v b on b.vec_id < a.vec_id and list_cosine_similarity(a.e, b.e) >= {SIMILAR} - 1e-9 group by a.vec_id""",
     "dedup_survivors": f"with recursive {_greedy(_TEST_VECTORS, SIMILAR)} select vec_id from v where i in (select i from kept)",
-    "dedup_labels": f"""{_LABELS} select p.vec_id, l.vec_id as leader from placed p join v l on l.i = p.lead""",
+    "dedup_labels": _CLUSTERED,
+    "dedup_blocks": _CLUSTERED,
+    "dedup_rounds": _CLUSTERED,
+    "dedup_chunks": _CLUSTERED,
+    "dedup_mixed": _MIXED,
     "dedup_newest": f"""{_LABELS},
         aged as (select *, timestamp '2024-01-01 00:00:00' + to_minutes((vec_id * 97) % 4320) as created_at from placed)
         select vec_id, created_at from (

@@ -326,6 +326,34 @@ def dedup_labels(spark, sf_dir):
     return neardup.near_dup_clusters(_test_vectors(spark, sf_dir), "vec_id", [F.asc("vec_id")], "embedding", SIMILAR)
 
 
+def _clusters(spark, sf_dir, **limits):
+    vectors = _test_vectors(spark, sf_dir)
+    return neardup.near_dup_clusters(vectors, "vec_id", [F.asc("vec_id")], "embedding", SIMILAR, **limits)
+
+
+def dedup_blocks(spark, sf_dir):
+    """Clusters by way of pivots and blocks, as when vectors do not fit one block."""
+    return _clusters(spark, sf_dir, block_rows=64)
+
+
+def dedup_rounds(spark, sf_dir):
+    """Clusters by rounds of joins alone, as when undecided edges are more than one task takes."""
+    return _clusters(spark, sf_dir, finish_edges=0, keep=4)
+
+
+def dedup_chunks(spark, sf_dir):
+    """Clusters chunk by chunk, as when vectors are more than a first chunk holds."""
+    return _clusters(spark, sf_dir, first_chunk=50)
+
+
+def dedup_mixed(spark, sf_dir):
+    """Clusters of vectors of two lengths, some missing."""
+    cut = F.when(F.col("vec_id") % 5 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
+    mixed = F.when(F.col("vec_id") % 11 != 0, cut)
+    rows = _test_vectors(spark, sf_dir).select("vec_id", mixed.alias("embedding"))
+    return neardup.near_dup_clusters(rows, "vec_id", [F.asc("vec_id")], "embedding", SIMILAR, block_rows=128)
+
+
 def dedup_newest(spark, sf_dir):
     """The newest of each cluster, where clusters were formed in another order."""
     rows = _test_vectors(spark, sf_dir).withColumn("created_at", views.published(F.col("vec_id")))
@@ -507,6 +535,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "similar_earlier": similar_earlier,
     "dedup_survivors": dedup_survivors,
     "dedup_labels": dedup_labels,
+    "dedup_blocks": dedup_blocks,
+    "dedup_rounds": dedup_rounds,
+    "dedup_chunks": dedup_chunks,
+    "dedup_mixed": dedup_mixed,
     "dedup_newest": dedup_newest,
     "summaries_default": summaries_default,
     "embed_default": embed_default,
