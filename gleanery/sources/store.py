@@ -1,22 +1,28 @@
 """Stored tables as parquet folders: create, look-back scan, upsert and append.
 
-Items lie in one folder per publication day. A look-back scan reads the days of
-its window only, and an upsert rewrites the days that the batch touches only.
+Items lie in one folder per publication day, below a folder per batch. A version of the
+table is a small file that says which batch holds each day. An upsert writes the days that
+it touches to a batch folder of its own and then adds one version: a run that dies before
+has changed nothing, and nothing is ever overwritten. A look-back scan lists and reads the
+days of its window only.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery import schemas
-from gleanery.operators.latest import latest_per_key
 from gleanery.operators.merge import last_in_batch, merge_items, upsert_counts
 from gleanery.session import as_of_time, cutoff, freeze_table
 
 DAY = "published_day"
+BATCH = "batch"
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"  # the folder name of a missing day
 
 
 def _folder(spark: SparkSession, path: str):
@@ -33,25 +39,55 @@ def create_table(spark: SparkSession, path: str) -> None:
     files.mkdirs(location)
 
 
-def _stored_items(spark: SparkSession, path: str) -> DataFrame:
+def _version(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
+    """Number of the newest version, and the batch that holds each day in it."""
+    files, folder = _folder(spark, f"{path}/versions")
+    if not files.exists(folder):
+        return 0, {}
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    numbers = [int(name.removesuffix(".json")) for name in names if name.endswith(".json") and not name.startswith(".")]
+    if not numbers:
+        return 0, {}
+    files, location = _folder(spark, f"{path}/versions/{max(numbers):09d}.json")
+    stream = files.open(location)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return max(numbers), json.loads(text)
+
+
+def _commit_version(spark: SparkSession, path: str, number: int, days: dict[str, str]) -> None:
+    """Add one version. It is written aside and renamed, so readers see all of it or nothing."""
+    files, folder = _folder(spark, f"{path}/versions")
+    files.mkdirs(folder)
+    _, aside = _folder(spark, f"{path}/versions/.{uuid.uuid4().hex}")
+    out = files.create(aside, False)
+    out.write(bytearray(json.dumps(days, sort_keys=True).encode()))
+    out.close()
+    _, final = _folder(spark, f"{path}/versions/{number:09d}.json")
+    if files.exists(final) or not files.rename(aside, final):
+        files.delete(aside, False)
+        raise RuntimeError(f"another writer added version {number} of {path}")
+
+
+def _items_of(spark: SparkSession, path: str, days: dict[str, str]) -> DataFrame:
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in schemas.ITEMS.fields]
-    return spark.read.schema(", ".join([*fields, f"{DAY} date"])).parquet(path)
+    schema = ", ".join([*fields, f"{BATCH} string", f"{DAY} date"])
+    if not days:
+        return spark.createDataFrame([], schema).drop(BATCH)
+    folders = [f"{path}/data/{BATCH}={batch}/{DAY}={day}" for day, batch in sorted(days.items())]
+    return spark.read.schema(schema).option("basePath", f"{path}/data").parquet(*folders).drop(BATCH)
 
 
 def read_items(spark: SparkSession, path: str, as_of=None, hours: float | None = None) -> DataFrame:
     """Items, or those published at or after ``as_of - hours`` (no upper bound)."""
-    items = _stored_items(spark, path)
-    if hours is not None:
-        start = as_of_time(as_of) - dt.timedelta(hours=hours)
-        items = items.filter(
-            (F.col(DAY) >= F.lit(start.date())) & (F.col("published_date") >= cutoff(start, 0))
-        )
-    return items.drop(DAY)
-
-
-def _days(rows: DataFrame) -> set[dt.date]:
-    """Distinct publication days: one value per folder of the table."""
-    return {r[0] for r in rows.select(DAY).distinct().collect()}
+    _, days = _version(spark, path)
+    if hours is None:
+        return _items_of(spark, path, days).drop(DAY)
+    start = as_of_time(as_of) - dt.timedelta(hours=hours)
+    window = {d: b for d, b in days.items() if d != NO_DAY and d >= start.date().isoformat()}
+    return _items_of(spark, path, window).filter(F.col("published_date") >= cutoff(start, 0)).drop(DAY)
 
 
 def upsert_items(spark: SparkSession, path: str, batch: DataFrame, as_of=None) -> DataFrame:
@@ -59,48 +95,58 @@ def upsert_items(spark: SparkSession, path: str, batch: DataFrame, as_of=None) -
 
     Keys are looked up in the whole table, but from two columns only; item texts are
     read and written for the touched days. Applying a batch again, also after a run
-    that died half-way, gives the same table. A table takes one writer at a time.
+    that died half-way, gives the same table. Of two writers at once one fails.
     """
     as_of = as_of_time(as_of)
     create_table(spark, path)
     keys = schemas.ITEM_KEYS
     batch = freeze_table(batch.select(*schemas.ITEM_BATCH.names, "batch_pos"), "batch")
-    batch_keys = batch.select(*keys)
-    table = _stored_items(spark, path)
-    # Frozen, as the write below changes what the table would answer.
-    found = freeze_table(table.select(*keys, DAY).join(batch_keys, keys, "left_semi"), "found")
+    number, days = _version(spark, path)
+    found = _items_of(spark, path, days).select(*keys, DAY).join(batch.select(*keys), keys, "left_semi")
+    found = freeze_table(found, "found")
     counts = upsert_counts(found.select(*keys).distinct(), batch)
 
     last = last_in_batch(batch).withColumn(DAY, F.to_date("published_date"))
-    both = last.select(DAY, F.lit(True).alias("new")).unionByName(found.select(DAY, F.lit(False).alias("new")))
-    days = both.groupBy(DAY).agg(F.max("new").alias("new")).collect()  # one row per touched folder
-    touched = {d[DAY] for d in days}
+    both = last.select(DAY).unionByName(found.select(DAY)).distinct().collect()  # one row per touched folder
+    touched = {NO_DAY if d[DAY] is None else d[DAY].isoformat() for d in both}
     if not touched:
         return counts
-    # Days that only lose rows stay as they were when nothing is written to them.
-    emptied = {d[DAY] for d in days if not d["new"]}
-    if emptied:
-        losing = table.filter(F.col(DAY).isin(*emptied)).select(*keys, DAY)
-        emptied -= _days(losing.join(batch_keys, keys, "left_anti"))
-    # A key lies in two days only after a run that died while the key moved.
-    old = latest_per_key(
-        table.filter(F.col(DAY).isin(*touched)), keys, [F.asc("created_at"), F.desc(DAY)]
-    )
+    old = _items_of(spark, path, {d: b for d, b in days.items() if d in touched}).drop(DAY)
     merged = merge_items(old, batch, as_of).withColumn(DAY, F.to_date("published_date"))
-    (
-        merged.hint("rebalance", DAY)
-        .sortWithinPartitions(DAY, "published_date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(DAY)
-        .parquet(path)
-    )
-    for day in emptied:
-        files, location = _folder(spark, f"{path}/{DAY}={day.isoformat()}")
-        files.delete(location, True)
+    name = uuid.uuid4().hex
+    written = f"{path}/data/{BATCH}={name}"
+    merged.hint("rebalance", DAY).sortWithinPartitions(DAY, "published_date").write.partitionBy(DAY).parquet(written)
+    files, folder = _folder(spark, written)
+    made = [status.getPath().getName().partition("=") for status in files.listStatus(folder) if status.isDirectory()]
+    # A touched day without rows is gone from the version.
+    kept = {d: b for d, b in days.items() if d not in touched}
+    _commit_version(spark, path, number + 1, kept | {day: name for column, _, day in made if column == DAY})
     return counts
 
 
+def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Delete all but the ``keep`` newest versions, and the folders that only they used.
+
+    Not while a writer or a reader of a version that goes is at work.
+    """
+    number, _ = _version(spark, path)
+    files, folder = _folder(spark, f"{path}/versions")
+    used = set()
+    for version in range(max(1, number - keep + 1), number + 1):
+        text = spark.read.text(f"{path}/versions/{version:09d}.json", wholetext=True).first()[0]
+        used |= set(json.loads(text).items())
+    for status in files.listStatus(folder):
+        name = status.getPath().getName().removesuffix(".json")
+        if not name.isdigit() or int(name) <= number - keep:
+            files.delete(status.getPath(), False)
+    _, data = _folder(spark, f"{path}/data")
+    for batch in files.listStatus(data) if files.exists(data) else []:
+        name = batch.getPath().getName().partition("=")[2]
+        for day in files.listStatus(batch.getPath()):
+            if day.isDirectory() and (day.getPath().getName().partition("=")[2], name) not in used:
+                files.delete(day.getPath(), True)
+
+
 def append_summaries(summaries: DataFrame, path: str) -> None:
     columns = schemas.SUMMARIES.names
     summaries.select(*columns).write.mode("append").parquet(path)

@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleanery import schemas
@@ -47,14 +48,39 @@ def test_a_changed_date_moves_the_row(spark, tmp_path):
     store.upsert_items(spark, path, batch(spark, ("rss", "a", "a", 1), ("rss", "b", "b", 2)), "2024-03-02")
     store.upsert_items(spark, path, batch(spark, ("rss", "a", "a2", 4)), "2024-03-04")
     assert titles(spark, path) == {("rss", "a"): ("a2", 2), ("rss", "b"): ("b", 2)}
-    assert not os.path.exists(f"{path}/published_day=2024-03-01")
+    assert set(store._version(spark, path)[1]) == {"2024-03-02", "2024-03-04"}
 
-    # A run that died between writing the new day and clearing the old one left both.
-    stray = batch(spark, ("rss", "a", "old", 1)).drop("batch_pos")
-    stray = stray.withColumns({"created_at": F.expr("timestamp_ntz'2024-03-02 00:00:00'"), "published_day": F.to_date("published_date")})
-    stray.write.mode("append").partitionBy("published_day").parquet(path)
-    store.upsert_items(spark, path, batch(spark, ("rss", "a", "a3", 4)), "2024-03-05")
-    assert titles(spark, path) == {("rss", "a"): ("a3", 2), ("rss", "b"): ("b", 2)}
+
+@pytest.mark.parametrize("step", ["data", "switch"])
+def test_a_run_that_dies_changes_nothing(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "items")
+    store.upsert_items(spark, path, batch(spark, ("rss", "a", "a", 1), ("rss", "b", "b", 1)), "2024-03-02")
+    before = titles(spark, path)
+    more = batch(spark, ("rss", "a", "a2", 4), ("rss", "c", "c", 1))
+
+    def dies(*_):
+        raise OSError("stopped")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(store, "merge_items" if step == "data" else "_commit_version", dies)
+        with pytest.raises(OSError):
+            store.upsert_items(spark, path, more, "2024-03-04")
+    assert titles(spark, path) == before
+    store.upsert_items(spark, path, more, "2024-03-04")
+    after = {("rss", "a"): ("a2", 2), ("rss", "b"): ("b", 2), ("rss", "c"): ("c", 4)}
+    assert titles(spark, path) == after
+    store.upsert_items(spark, path, more, "2024-03-05")
+    store.drop_old_versions(spark, path, keep=1)
+    assert titles(spark, path) == after
+    held = sum(name.endswith(".parquet") for _, _, names in os.walk(path) for name in names)
+    assert held == 2 and len(os.listdir(f"{path}/versions")) <= 2
+
+
+def test_two_writers(spark, tmp_path):
+    path = str(tmp_path / "items")
+    store._commit_version(spark, path, 1, {})
+    with pytest.raises(RuntimeError):
+        store._commit_version(spark, path, 1, {})
 
 
 def test_lookback_prunes_days(spark, tmp_path):
@@ -62,8 +88,7 @@ def test_lookback_prunes_days(spark, tmp_path):
     store.upsert_items(spark, path, batch(spark, *[("rss", str(d), "t", d) for d in range(1, 9)]), "2024-03-08")
     recent = store.read_items(spark, path, "2024-03-08 12:00:00", 24)
     assert {r["id"] for r in recent.collect()} == {"7", "8"}
-    plan = recent._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(published_day" in plan
+    assert {name.split("published_day=")[1][:10] for name in recent.inputFiles()} == {"2024-03-07", "2024-03-08"}
 
 
 def test_missing_table_is_empty(spark, tmp_path):
