@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.operators.digest import digests, ranked_records
@@ -14,7 +14,7 @@ from gleanery.operators.latest import latest_per_source
 from gleanery.operators.metrics import funnel
 from gleanery.operators.neardup import THRESHOLD, leading_rows
 from gleanery.operators.pending import pending_items, source_counts
-from gleanery.operators.rank import TOP_N, rank_for_profiles
+from gleanery.operators.rank import TOP_N, check_scores, rank_for_profiles, top_supplied
 from gleanery.operators.summarise import summarise
 from gleanery.session import as_of_time, cutoff, freeze_table
 from gleanery.sources import store
@@ -27,6 +27,7 @@ class Tables:
     items: str
     summaries: str
     digests: str
+    rejects: str | None = None  # model scores out of range, if they are to be kept
 
 
 @dataclass(frozen=True)
@@ -34,11 +35,12 @@ class Curated:
     recent: DataFrame
     latest: DataFrame
     kept: DataFrame
+    ranked: DataFrame
     records: DataFrame
 
     def funnel(self) -> DataFrame:
         return funnel(
-            loaded=self.recent, latest=self.latest, unclustered=self.kept, top=self.records
+            loaded=self.recent, latest=self.latest, unclustered=self.kept, ranked=self.ranked, top=self.records
         )
 
 
@@ -69,16 +71,24 @@ def curate(
     hours: float = 24,
     threshold: float = THRESHOLD,
     top_n: int = TOP_N,
+    scores: DataFrame | None = None,
 ) -> Curated:
-    """Recent summaries, newest per source, without near duplicates, best per profile."""
+    """Recent summaries, newest per source, without near duplicates, best per profile.
+
+    ``scores`` are valid scores of a model; they take the place of the built-in ranking,
+    and count as ranked before they are cut to ``top_n`` and looked up.
+    """
     recent = summaries.filter(F.col("article_created_at") >= cutoff(as_of, hours))
     latest = latest_per_source(recent)
     kept = leading_rows(
         latest, "id", [F.desc("created_at"), F.desc("id")], threshold=threshold
     )
     kept = freeze_table(kept.drop("summary_vector"), "kept")
-    ranked = rank_for_profiles(kept, profiles, as_of, top_n)
-    return Curated(recent, latest, kept, ranked_records(ranked, kept, items, profiles))
+    if scores is None:
+        ranked = freeze_table(rank_for_profiles(kept, profiles, as_of, top_n), "ranked")
+        return Curated(recent, latest, kept, ranked, ranked_records(ranked, kept, items, profiles))
+    top = top_supplied(scores, top_n).withColumnRenamed("summary_id", "id")
+    return Curated(recent, latest, kept, scores, ranked_records(top, kept, items))
 
 
 def run_day(
@@ -90,13 +100,28 @@ def run_day(
     hours: float = 24,
     threshold: float = THRESHOLD,
     top_n: int = TOP_N,
+    summary_fn: Callable | None = None,
+    embed_fn: Callable | None = None,
+    scores: DataFrame | None = None,
+    intro: Column | None = None,
 ) -> dict[str, DataFrame]:
-    """Store a collected batch, summarise, curate and write the digests; returns the counts."""
+    """Store a collected batch, summarise, curate and write the digests; returns the counts.
+
+    Models take the place of the built-in forms: functions for summaries and embeddings, a
+    table of scores, a column for the introduction. Scores out of range are counted, and
+    stored where ``tables`` names a place.
+    """
     as_of = as_of_time(as_of)
     upserted = store.upsert_items(spark, tables.items, batch, as_of)
-    summarised = summarise_pending(spark, tables, as_of, hours)
+    summarised = summarise_pending(spark, tables, as_of, hours, summary_fn, embed_fn)
+    counts = {"upserted": upserted, "summarised": summarised}
+    if scores is not None:
+        scores, rejects = check_scores(freeze_table(scores, "scores"))
+        counts["rejected"] = rejects.agg(F.count("*").alias("n_rows"))
+        if tables.rejects:
+            rejects.write.mode("append").parquet(tables.rejects)
     summaries = store.read_summaries(spark, tables.summaries, as_of, hours)
     items = store.read_items(spark, tables.items)
-    curated = curate(summaries, items, profiles, as_of, hours, threshold, top_n)
-    store.write_digests(digests(curated.records, profiles, as_of), tables.digests)
-    return {"upserted": upserted, "summarised": summarised, "funnel": curated.funnel()}
+    curated = curate(summaries, items, profiles, as_of, hours, threshold, top_n, scores)
+    store.write_digests(digests(curated.records, profiles, as_of, intro=intro), tables.digests)
+    return {**counts, "funnel": curated.funnel()}

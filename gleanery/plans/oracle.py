@@ -339,7 +339,8 @@ ORACLE: dict[str, str] = {
         select 'loaded' as step, 1 as position, (select 2 * count(*) from recent) as n_rows
         union all select 'latest', 2, (select count(*) from recent)
         union all select 'unclustered', 3, (select n from left_)
-        union all select 'top', 4, (select count(*) from customer) * (select least(10, n) from left_)""",
+        union all select 'ranked', 4, (select count(*) from customer) * (select least(10, n) from left_)
+        union all select 'top', 5, (select count(*) from customer) * (select least(10, n) from left_)""",
     "stream_first_seen": "select event_id, ts, user_id, event_type, value from events",
     "stream_upsert": f"with {_MERGED} select * from merged",
 }

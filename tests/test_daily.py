@@ -51,6 +51,31 @@ def test_models_can_be_supplied(spark, small):
             assert row["summary_vector"] == [len(f"Title: {row['title']}\nSummary: s"), 1.0]
 
 
+def test_models_in_the_daily_run(spark, small, tmp_path):
+    tables = Tables(*(str(tmp_path / name) for name in ("items", "summaries", "digests", "rejects")))
+    batch = views.stored_items(spark, small).drop("created_at").withColumn("batch_pos", F.lit(0).cast("long"))
+    profiles = views.profiles(spark, small).limit(2)
+    ids = [r["profile_id"] for r in profiles.collect()]
+    source = batch.filter("source_type = 'rss'").orderBy(F.desc("published_date")).first()
+    wanted = F.sha2(F.lit(f"rss\u0001{source['id']}"), 256)
+    rows = [(ids[0], 9.0, 1), (ids[0], 99.0, 2), (ids[1], 5.0, 0)]
+    scores = spark.createDataFrame(rows, "profile_id string, relevance_score double, rank int")
+    scores = scores.select("profile_id", wanted.alias("summary_id"), "relevance_score", "rank", F.lit("model").alias("reasoning"))
+
+    def summary(inputs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"title": "T", "summary": "S"}, index=range(len(inputs)))
+
+    done = run_day(
+        spark, tables, batch, profiles, views.AS_OF, summary_fn=summary, embed_fn=lambda texts: pd.Series([[1.0, float(i)] for i in range(len(texts))]),
+        threshold=1.0, scores=scores, intro=F.concat(F.lit("Read "), F.col("n_items").cast("string")),
+    )
+    assert done["rejected"].first()[0] == 2 and spark.read.parquet(tables.rejects).count() == 2
+    steps = counts(done["funnel"], "step", "n_rows")
+    assert list(steps) and steps["ranked"] == 1 and steps["top"] <= 1
+    for row in spark.read.parquet(tables.digests).collect():
+        assert row["profile_id"] == ids[0] and "Read 1" in row["body_text"] and "1. T\nS" in row["body_text"]
+
+
 def test_a_missing_summary_ends_the_job(spark, small):
     lost = lambda inputs: pd.DataFrame({"title": "t", "summary": [None] * len(inputs)})
     with pytest.raises(Exception, match="no result for some items"):
