@@ -20,6 +20,7 @@ from gleanery.llm.words import single_spaced, whole
 from gleanery.session import freeze_table
 
 LEAST, MOST = 512, 4096
+SALTS = 32  # tasks that a group of equal texts is looked up from
 CUT = rf"(?s).{{{LEAST},{MOST - 2}}}?[.!?;:] |.{{1,{MOST}}}"
 
 
@@ -80,7 +81,14 @@ def exact_groups(
     recipes = with_recipes(rows, freeze_table(clashing_digests(rows, digest), "clashing"), digest)
     recipes = freeze_table(recipes, "recipes")
     groups = recipes.groupBy("recipe").agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
-    joined = recipes.join(groups, "recipe")
+    # Only groups of two or more are looked up, each from `SALTS` tasks: a group with a third
+    # of all rows is not one task, and rows alone in their group meet nothing.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    several = groups.filter("group_size > 1").select("*", salts)
+    salted = recipes.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(several, ["recipe", "_salt"], "left").withColumns(
+        {"keep_id": F.coalesce("keep_id", "_id"), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))}
+    )
     return joined.select(
         F.col("_id").alias(id_column),
         "keep_id",
