@@ -6,8 +6,8 @@ from collections.abc import Callable, Sequence
 
 import regex
 
-# Words of each of two generations: about 50 MB each in a worker.
-WORDS_KEPT = 250_000
+# Words of each of two generations: about 80 MB each in a worker.
+WORDS_KEPT = 400_000
 # Longer words are encoded each time they occur.
 LONGEST_KEPT = 64
 # str.split() parts at these four, which are no white space to tokenizers.
