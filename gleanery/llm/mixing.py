@@ -11,6 +11,9 @@
    stretch of that order, once around for each repetition; whole documents inside the
    stretch of a source are taken for it, and what is then missing is filled by the one
    further document whose size comes nearest.
+5. Where very long documents straddle the ends of stretches, one document does not mend that.
+   A source that is then off by more than `NEAR` of its median documents goes on in the
+   seeded order with as many whole documents as it takes, first copies before second ones.
 
 The running sums over a pattern are made per bucket of digests, so that a source with a
 third of all rows is spread over as many tasks as there are buckets.
@@ -35,6 +38,9 @@ SEED = "mix-1"
 BUCKET_DIGITS = 3  # hexadecimal digits of the digest that make a bucket: 4,096 a pattern
 # Patterns are combinations of sources; the flow is solved on the driver up to this many.
 MAX_PATTERNS = 100_000
+# Median documents by which a source may miss its words after one fill for each claim; one
+# that is further off is filled by more documents.
+NEAR = 5
 
 
 def cyclic_weights(sources: Sequence[str | None], weights: Sequence[int] = WEIGHTS) -> list[int]:
@@ -131,6 +137,49 @@ def _order(id_column: str, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit(""))))
 
 
+def _further(rows: DataFrame, taken: DataFrame, gaps: Mapping[int, int], repeats: int) -> tuple[DataFrame, dict[int, int]]:
+    """Whole documents for the gaps of sources, (_row, _to, size), and what is then missing.
+
+    ``rows`` has a row for each document and source ``_to`` that may take it, ``taken`` a row for
+    each copy that is gone. In each round a source takes documents in the seeded order, those
+    with fewer copies gone first, up to the first that does not fit any more, which leaves the
+    later rounds; one that fills the gap alone stands before all. When none fits, the smallest
+    is taken if that is nearer. Of sources that meet at one document one gets it in a round.
+    """
+    spark, missing, found = rows.sparkSession, dict(gaps), []
+    gone = taken.groupBy("_row").agg(F.count("*").cast("int").alias("_gone"))
+    left = rows.join(gone, "_row", "left").withColumn("_gone", F.coalesce("_gone", F.lit(0)))
+    while True:
+        asked = spark.createDataFrame([(s, g) for s, g in missing.items() if g > 0], "_to int, _gap long")
+        helping = left.join(F.broadcast(asked), "_to").filter((F.col("_gone") < repeats) & (F.col("size") < 2 * F.col("_gap")))
+        left = freeze_table(helping.drop("_gap"), "left")
+        least = left.groupBy("_to").agg(F.min("size").alias("least")).collect()  # one row per source
+        if not least:
+            break
+        room = [(r["_to"], max(missing[r["_to"]], r["least"])) for r in least]
+        fitting = left.join(F.broadcast(spark.createDataFrame(room, "_to int, _room long")), "_to").filter("size <= _room")
+        fitting = fitting.withColumn("_rank", F.when(F.col("size") == F.col("_room"), -1).otherwise(F.col("_gone")))
+        # Running sums by bucket; only the buckets that begin inside the gap are sorted.
+        place = ["_to", "_rank", "_bucket"]
+        sums = fitting.groupBy(*place, "_room").agg(F.sum("size").alias("_words"))
+        ahead = Window.partitionBy("_to").orderBy("_rank", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sums.withColumn("_start", F.coalesce(F.sum("_words").over(ahead), F.lit(0))).filter("_start < _room")
+        inside = Window.partitionBy(*place).orderBy("_digest", "size", "_row").rowsBetween(Window.unboundedPreceding, 0)
+        placed = fitting.join(starts.select(*place, "_start"), place).withColumn("_run", F.sum("size").over(inside))
+        offers = placed.filter("_start + _run <= _room")
+        one = F.min(F.struct(F.xxhash64("_digest", "_to").alias("draw"), "_to", "size")).alias("one")
+        got = freeze_table(offers.groupBy("_row").agg(one).select("_row", "one._to", "one.size"), "fill")
+        found.append(got)
+        for r in got.groupBy("_to").agg(F.sum("size").alias("words")).collect():
+            missing[r["_to"]] -= r["words"]
+        more = got.select("_row", F.lit(1).alias("_more"))
+        left = left.join(more, "_row", "left").withColumn("_gone", F.col("_gone") + F.coalesce("_more", F.lit(0))).drop("_more")
+    whole = rows.select("_row", "_to", "size").limit(0)
+    for got in found:
+        whole = whole.unionByName(got)
+    return whole, missing
+
+
 def mix(
     docs: DataFrame,
     memberships: Column | None = None,
@@ -197,9 +246,10 @@ def mix(
         [(list(found[number][0]), stretches) for (number, _), stretches in claims.items()],
         "members array<string>, claims array<struct<claim: string, serves: string, low: long, high: long>>",
     )
+    given = [sum(sent.get(i, 0) for sent in flow) for i in range(len(sources))]
     asked = spark.createDataFrame(
-        [(s, h, float(t)) for s, h, t in zip(sources, held, targets)],
-        "first string, source_size long, target double",
+        [(i, s, h, float(t), g) for i, (s, h, t, g) in enumerate(zip(sources, held, targets, given))],
+        "_to int, first string, source_size long, target double, _given long",
     )
 
     # Where each document stands in its pattern's order: bucket starts plus a running sum.
@@ -229,14 +279,48 @@ def mix(
     gaps = full.select("claim", (F.col("_asked") - F.col("_got")).alias("_gap")).filter("_gap > 0")
     off = F.abs(F.col("_gap") - size)
     fills = offers.filter("not inside").join(F.broadcast(gaps), "claim").filter(off < F.col("_gap"))
-    best = F.min(F.struct(off.alias("off"), "_digest", "size", "_row", "serves")).alias("best")
-    fills = fills.groupBy("claim").agg(best).select("best._row", "best.serves")
-    taken = offers.filter("inside").select("_row", "serves").unionByName(fills)
+    best = F.min(F.struct(off.alias("off"), "_digest", "size", "_row", "serves", "_gap")).alias("best")
+    fills = fills.groupBy("claim").agg(best).select("best._row", "best.serves", "best.size", "best._gap")
+    fills = freeze_table(fills, "fills")
+    stretches = offers.filter("inside").select("_row", "serves")
+    taken = stretches.unionByName(fills.select("_row", "serves"))
+
+    # Sources that one fill for each claim leaves far off; only those reach the driver.
+    fits = F.col("size") <= F.col("_gap")
+    words = offers.filter("inside").select("serves", "size", F.lit(True).alias("stays"))
+    words = words.unionByName(fills.select("serves", "size", fits.alias("stays")))
+    words = words.groupBy("serves").agg(
+        F.sum("size").alias("_all"), F.coalesce(F.sum(F.when(F.col("stays"), F.col("size"))), F.lit(0)).alias("_stays")
+    )
+    state = asked.join(words, F.col("first").eqNullSafe(F.col("serves")), "left").select(
+        "_to",
+        "first",
+        (F.col("_given") - F.coalesce("_all", F.lit(0))).alias("_off"),
+        (F.col("_given") - F.coalesce("_stays", F.lit(0))).alias("_gap"),
+    )
+    # The median holds still when a few texts are very long.
+    sizes = rows.filter("size > 0").select("size", F.explode("members").alias("_source"))
+    sizes = sizes.groupBy("_source").agg(F.median("size").alias("_median"))
+    state = state.join(sizes, F.col("first").eqNullSafe(F.col("_source"))).filter(F.abs("_off") > NEAR * F.col("_median"))
+    far = {r["_to"]: r for r in state.collect()}
+    if far:
+        # Fills that fit stay; one that is too long goes if more documents come nearer.
+        names = spark.createDataFrame([(i, sources[i]) for i in far], "_to int, serves string")
+        ways = rows.filter("size > 0").select("_row", "_digest", "_bucket", "size", F.explode("members").alias("_member"))
+        ways = ways.join(F.broadcast(names), F.col("_member").eqNullSafe(F.col("serves"))).drop("_member", "serves")
+        further, missing = _further(ways, taken, {i: r["_gap"] for i, r in far.items()}, repeats)
+        nearer = names.filter(F.col("_to").isin([i for i, r in far.items() if abs(missing[i]) < abs(r["_off"])]))
+        replaced = F.broadcast(nearer.select("_to", F.col("serves").alias("_serves")))
+        stay = fills.filter(fits).unionByName(
+            fills.filter(~fits).join(replaced, F.col("serves").eqNullSafe(F.col("_serves")), "left_anti")
+        )
+        further = further.join(replaced, "_to").select("_row", F.col("_serves").alias("serves"))
+        taken = stretches.unionByName(stay.select("_row", "serves")).unionByName(further)
     copies = taken.groupBy("_row").agg(
         F.count("*").cast("int").alias("_copies"), F.sort_array(F.collect_list(F.struct("serves"))).alias("_served")
     )
     out = rows.join(copies, "_row", "left").withColumn("_first", F.get("members", F.lit(0)))
-    out = out.join(F.broadcast(asked), F.col("_first").eqNullSafe(F.col("first")))
+    out = out.join(F.broadcast(asked.drop("_to", "_given")), F.col("_first").eqNullSafe(F.col("first")))
     count = F.coalesce("_copies", F.lit(0))
     return out.select(
         F.col("_id").alias(id_column),

@@ -103,3 +103,31 @@ def test_rows_and_empty_table(spark):
     counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert all(counts.get(i, 0) == c for i, c in want.items() if i != 12)
     assert mixing.mix(docs.limit(0)).collect() == []
+
+
+def test_gaps_of_very_long_texts_are_filled(spark):
+    rows = [(i, "w " * (20 + i % 30), "en", "abc"[i % 3]) for i in range(900)]
+    rows += [(1000 + i, "w " * 6000, "en", "abc"[i % 3]) for i in range(6)]
+    docs = fixture(spark, [*rows, (2000, "w " * 9000, "en", None), *[(2001 + i, "w " * 35, "en", None) for i in range(300)]])
+    for seed in ("mix-1", "mix-2"):
+        off = {}
+        for r in mixing.mix(docs, seed=seed, share=Fraction(4, 5)).collect():
+            assert r.copies <= 2 and len(r.served) == r.copies and set(r.served) <= set(r.members)
+            off[r.members[0]] = off.get(r.members[0], -r.target) + r.taken
+        # One fill for each claim left thousands of words.
+        assert all(abs(words) <= mixing.NEAR * 35 for words in off.values())
+
+
+def test_long_texts_of_overlapping_sources(spark):
+    rows = [(i, "w " * (15 + i % 40), "en", None) for i in range(600)]
+    docs = fixture(spark, [*rows, *[(1000 + i, "w " * 7000, "en", None) for i in range(4)]])
+    members = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b")))
+    chosen = mixing.mix(docs, memberships=members, weights={"a": 2, "b": 3}, share=Fraction(1, 2)).collect()
+    served, asked = {"a": 0, "b": 0}, sum(r["size"] for r in chosen) / 2
+    for r in chosen:
+        assert r.copies <= 2 and set(r.served) <= set(r.members)
+        for s in r.served:
+            served[s] += r["size"]
+    targets = {r.members[0]: r.target for r in chosen}
+    assert abs(served["a"] - targets["a"]) <= mixing.NEAR * 35
+    assert abs(served["b"] - asked + targets["a"]) <= mixing.NEAR * 35
