@@ -11,6 +11,9 @@ run of `WORDS_PER_TEXT` words of each. As a text has one label, runs of differen
 are joined to code-switched sequences. Weights start from smoothed log frequencies and then
 follow the gradient of the chain's likelihood.
 
+Scripts without spaces, and other very long words: consecutive pieces of `WORD_CHARS`
+characters stand for words, in learning and in applying, so that every character counts.
+
 Applying: all words of all texts, in Arrow batches. Words are few and occur often, so the
 features of a word are worked out once per worker and table; the passes run over many texts
 at once, one step per position.
@@ -31,7 +34,7 @@ from gleanery.llm.words import INK
 
 TEXTS_PER_LANGUAGE = 600
 WORDS_PER_TEXT = 80
-WORD_CHARS = 48  # of a longer word the ends are kept for its features
+WORD_CHARS = 48  # a longer word is parted into pieces, each a position of the chain
 LEXICON_WORDS = 1000
 LEAST_COUNT = 3
 RUN_WORDS = (4, 30)  # words of one language in a row, in training sequences
@@ -48,7 +51,7 @@ def has_letter(word: str) -> bool:
 
 
 def core(word: str) -> str:
-    """A word in lower case, without marks around it; of a very long one both ends."""
+    """A word in lower case, without marks around it."""
     word = word.lower()
     if not word.isalpha():
         first, last = 0, len(word)
@@ -57,7 +60,15 @@ def core(word: str) -> str:
         while last > first and not word[last - 1].isalpha():
             last -= 1
         word = word[first:last]
-    return word if len(word) <= WORD_CHARS else word[: WORD_CHARS // 2] + word[-WORD_CHARS // 2 :]
+    return word
+
+
+def pieces(text: str) -> list[str]:
+    """The words of a text, those longer than `WORD_CHARS` in consecutive pieces."""
+    words = text.split()
+    if max(map(len, words), default=0) > WORD_CHARS:
+        words = [w[i : i + WORD_CHARS] for w in words for i in range(0, len(w), WORD_CHARS)]
+    return words
 
 
 def features(word: str) -> list[str]:
@@ -140,7 +151,7 @@ class Crf:
 
 def training_runs(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, words: int = WORDS_PER_TEXT) -> list[tuple[str, list[str]]]:
     """(language, words) of about ``texts`` texts of each language, a run of ``words`` words
-    from anywhere in each; ``docs`` has ``text`` and ``lang``. A digest of the text draws, so
+    (or pieces of long words) from anywhere in each; ``docs`` has ``text`` and ``lang``. A digest of the text draws, so
     that equal texts are drawn together, and then count once."""
     rows = docs.filter("lang is not null and text is not null")
     counts = rows.groupBy("lang").agg(F.count("*").alias("_texts"))
@@ -150,12 +161,11 @@ def training_runs(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, words: int =
     # One row per language.
     chosen = rows.select("lang", "text", draw.alias("_draw")).join(F.broadcast(shares), "lang")
     chosen = chosen.filter(F.pmod("_draw", F.lit(1 << 31)) < F.col("_share"))
-    found = F.regexp_extract_all("text", F.lit(rf"{INK}+"), F.lit(0))
+    found = F.regexp_extract_all("text", F.lit(rf"{INK}{{1,{WORD_CHARS}}}"), F.lit(0))
     room = F.greatest(F.size("_w") - words, F.lit(0)) + 1
     start = F.pmod("_draw", room).cast("int") + 1
-    cut = chosen.select("lang", "_draw", found.alias("_w")).select("lang", "_draw", F.slice("_w", start, words).alias("_w"))
-    short = cut.select("lang", "_draw", F.transform("_w", lambda w: F.substring(w, 1, 4 * WORD_CHARS)).alias("words"))
-    runs = [(r["lang"], [core(w) for w in r["words"] if has_letter(w)]) for r in short.distinct().orderBy("lang", "_draw", "words").collect()]
+    cut = chosen.select("lang", "_draw", found.alias("_w")).select("lang", "_draw", F.slice("_w", start, words).alias("words"))
+    runs = [(r["lang"], [core(w) for w in r["words"] if has_letter(w)]) for r in cut.distinct().orderBy("lang", "_draw", "words").collect()]
     return [r for r in runs if r[1]]
 
 
@@ -295,7 +305,7 @@ def _labelled(batches: Iterator[pa.RecordBatch], model: Crf) -> Iterator[pa.Reco
         while at < batch.num_rows:
             table.reset_if_full()
             rows, words, start = [], 0, at
-            while at < batch.num_rows and words < FLUSH_WORDS:
+            while at < batch.num_rows and words < FLUSH_WORDS and len(table.rows) <= TABLE_WORDS:
                 # Some texts at once, a very long one in slices.
                 slices, owners, chars = [], [], 0
                 while at < batch.num_rows and len(slices) < 256 and chars < SLICE_CHARS:
@@ -304,7 +314,7 @@ def _labelled(batches: Iterator[pa.RecordBatch], model: Crf) -> Iterator[pa.Reco
                     rows.append(np.empty(0, dtype=np.int32))
                     chars += len(text)
                     for piece in _slices(text):
-                        slices.append(piece.split())
+                        slices.append(pieces(piece))
                         owners.append(len(rows) - 1)
                 for owner, found in zip(owners, table.rows_of(slices)):
                     rows[owner] = np.concatenate([rows[owner], found]) if len(rows[owner]) else found
@@ -339,8 +349,8 @@ def label_texts(docs: DataFrame, model: Crf | None, id_column: str = "doc_id", t
 
 
 def word_labels(text: str, model: Crf) -> list[tuple[str, str, float]]:
-    """(word, language, share) of the words with a letter in one text, for code-switched text."""
-    words = [w for w in text.split() if has_letter(w)]
+    """(word, language, share) of the `pieces` with a letter in one text, for code-switched text."""
+    words = [w for w in pieces(text) if has_letter(w)]
     if not words:
         return []
     shares = model.marginals(model.emissions([core(w) for w in words]), np.array([len(words)]))

@@ -54,6 +54,18 @@ def test_texts_without_letters_and_long_ones(spark, monkeypatch):
     assert lang_id.learned_from(docs.limit(0)) is None
 
 
+def test_every_character_of_a_long_word_counts(spark):
+    parts = {lang: text.replace(" ", "") for lang, text in SENTENCES.items()}
+    ends, middle = parts["de"][:24], parts["en"] * 20
+    docs = fixture(spark, [(1, ends + middle + ends, "en", "a")])
+    assert [r.lang_pred for r in lang_id.label_texts(docs, tiny_model()).collect()] == ["en"]
+    labels = [l for _, l, _ in lang_id.word_labels(parts["de"] * 4 + parts["en"] * 4, tiny_model())]
+    assert labels[0] == "de" and labels[-1] == "en"
+    # Learning parts words as applying does, beyond the first 192 characters too.
+    [(_, words)] = lang_id.training_runs(docs.select("text", "lang"))
+    assert words == lang_id.pieces(ends + middle + ends) and "".join(words) == ends + middle + ends
+
+
 def test_held_out_language(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = queries.op3_language(spark, small).join(docs.select("doc_id", "lang"), "doc_id").collect()
