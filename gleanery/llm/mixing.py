@@ -189,9 +189,10 @@ def mix(
     seed: str = SEED,
     id_column: str = "doc_id",
     text_column: str = "text",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """How often each document is taken: ``id_column, members, size, source_size, target,
-    copies, taken, served``.
+    copies, taken, served``, and the columns ``keep``.
 
     ``memberships`` is an array column of the sources that hold a document; by default it has
     the one in ``source``. A missing source is a source of its own, after all others; a
@@ -209,6 +210,7 @@ def mix(
         F.col(id_column).alias("_id"),
         members.alias("members"),
         word_count(whole(text_column)).alias("size"),
+        *keep,
     ).withColumn("_digest", _order("_id", seed))
     rows = rows.withColumn("_bucket", F.substring("_digest", 1, BUCKET_DIGITS))
     # Row keys differ when a task runs again, so they are written before they are used.
@@ -331,14 +333,16 @@ def mix(
         count.alias("copies"),
         (F.col("size") * count).alias("taken"),
         F.coalesce(F.col("_served.serves"), F.expr("cast(array() as array<string>)")).alias("served"),
+        *keep,
     )
 
 
 def mixed_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as it is taken, all columns. Rows with
-    a missing id are not taken, as a choice could not be told from others."""
-    copies, copy = unused(docs.columns, "_copies"), unused(docs.columns, "_copy")
-    chosen = mix(docs, id_column=id_column, text_column=text_column, **options)
-    chosen = chosen.filter(F.col("copies") > 0).groupBy(id_column).agg(F.max("copies").alias(copies))
-    joined = docs.join(chosen, id_column)
+    """``docs`` as the mix takes them: each row as often as it is taken, all columns. Rows are
+    told apart by a key of their own, so a missing or repeated id does not matter."""
+    key, copies, copy = (unused(docs.columns, name) for name in ("_key", "_copies", "_copy"))
+    keyed = freeze_table(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    chosen = mix(keyed, id_column=id_column, text_column=text_column, keep=[key], **options)
+    chosen = chosen.filter(F.col("copies") > 0).select(key, F.col("copies").alias(copies))
+    joined = keyed.join(chosen, key)
     return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)

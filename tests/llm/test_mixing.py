@@ -131,3 +131,14 @@ def test_long_texts_of_overlapping_sources(spark):
     targets = {r.members[0]: r.target for r in chosen}
     assert abs(served["a"] - targets["a"]) <= mixing.NEAR * 35
     assert abs(served["b"] - asked + targets["a"]) <= mixing.NEAR * 35
+
+
+def test_rows_without_an_id_or_with_the_same_one(spark):
+    rows = [(None if i % 2 else i % 7, f"w{i} " + "w " * (i % 20), "en", "ab"[i % 3 == 0]) for i in range(60)]
+    docs = fixture(spark, rows)
+    want = sum(r.taken for r in mixing.mix(docs).collect())
+    got = mixing.mixed_rows(docs).collect()
+    assert sum(len(words(r.text)) for r in got) == want
+    assert any(r.doc_id is None for r in got)
+    texts = [r.text for r in got]
+    assert max(map(texts.count, texts)) <= 2
