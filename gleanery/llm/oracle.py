@@ -161,6 +161,67 @@ select doc_id, size, text_crc32, 'rows' as law, (position % {sharding.SHARDS})::
 from n join p using (number)"""
 
 
+# Every order and step, counted from the cells of failed filters.
+OP11 = rf"""
+with t as materialized (select doc_id, coalesce(source, '') as part, coalesce(text, '') as x from documents),
+u as (select x, min(doc_id) as earliest from t group by x),
+l as (
+  select doc_id, bool_or(coalesce(quality = 1, false)) as good, bool_or(coalesce(toxic = 1, false)) as toxic
+  from labels group by doc_id),
+w as (select t.*, regexp_extract_all(x, '{_INK}+') as w, earliest from t join u using (x)),
+m as materialized (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    (len(w) < 50)::int + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::int
+    + 4 * (100 * len(regexp_extract_all(x, '[A-Z]')) > 5 * length(x))::int
+    + 8 * regexp_matches(x, '[#$%&*|]')::int + 16 * coalesce(w.doc_id > earliest, false)::int as mask
+  from w left join l on w.doc_id = l.doc_id),
+c as materialized (
+  select part, mask, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from m group by part, mask),
+f(letter, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o as (
+  select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+  from f a, f b, f c, f d, f e where a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s as (
+  select filter_order, step, bits[step] as bit, coalesce(list_sum(bits[1:step - 1]), 0)::int as before
+  from o, (values (1), (2), (3), (4), (5)) v(step)),
+r as (
+  select part, filter_order, step, bit,
+    coalesce(sum(n) filter (mask & (before | bit) = 0), 0)::bigint as kept,
+    coalesce(sum(n) filter (mask & before = 0 and mask & bit > 0), 0)::bigint as removed,
+    coalesce(sum(n) filter (mask & before > 0 and mask & bit > 0), 0)::bigint as redundant,
+    coalesce(sum(n) filter (mask = bit), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (mask & before = 0 and mask & bit > 0), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (mask & before = 0 and mask & bit > 0), 0)::bigint as toxic_lost
+  from c, s group by part, filter_order, step, bit)
+select * exclude (bit), (sum(removed) over (partition by part, bit))::bigint as shapley from r"""
+
+# Windows of every length that occurs, joined as texts.
+_RUNS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_OP13_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    f"'{_RUNS}')"
+)
+OP13 = f"""
+with d as materialized (select row_number() over () as r, doc_id, {_OP13_WORDS} as w from documents),
+b as (select item_id, {_OP13_WORDS} as w from benchmark),
+v as (
+  select item_id, w, least(10, len(w)) as size, unnest(range(1, len(w) - least(10, len(w)) + 2)) as p
+  from b where len(w) > 0),
+bw as materialized (select distinct item_id, size, array_to_string(w[p:p + size - 1], ' ') as run from v),
+dw as (
+  select r, size, w, unnest(range(1, len(w) - size + 2)) as p
+  from d, (select distinct size from bw) where len(w) >= size),
+h as materialized (
+  select r, p, dw.size, item_id from dw join bw on dw.size = bw.size and array_to_string(w[p:p + dw.size - 1], ' ') = run),
+n as (select r, count(*) as n_hit from (select distinct r, unnest(range(p, p + size)) as at from h) group by r),
+i as (
+  select r, count(*) as n_items, string_agg(id, ',' order by id) as ids
+  from (select distinct r, item_id::varchar as id from h where item_id is not null) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n on d.r = n.r left join i on d.r = i.r"""
+
+
 ORACLE: dict[str, str] = {
     "op1_minhash_dedup": OP1,
     "op2_exact_dedup": OP2,
@@ -168,4 +229,6 @@ ORACLE: dict[str, str] = {
     "op8_quality_rules": OP8,
     "op9_warc": OP9,
     "op10_sharding": _op10(),
+    "op11_filter_audit": OP11,
+    "op13_decontamination": OP13,
 }

@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, exact_dedup, lang_id, minhash, mixing, quality_model, quality_rules, sharding, token_files, warc
+from gleanery.llm import alignment, bpe, decontaminate, exact_dedup, filter_audit, lang_id, minhash, mixing, quality_model, quality_rules, sharding, token_files, warc
 from gleanery.llm.oracle import ORACLE  # noqa: F401  the SQL twins, by query name
 from gleanery.session import scratch_path
 
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +111,28 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(read(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES, keep=["doc_id"])
+    return aligned.select("doc.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_overlaps(docs, read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "overlap.n_words",
+        "overlap.n_hit",
+        F.size("overlap.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("overlap.items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("overlap.n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -120,4 +144,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_alignment": op12_alignment,
+    "op13_decontamination": op13_decontamination,
 }
