@@ -6,19 +6,22 @@
 2. Banding: signatures that agree in all `ROWS` minima of a band share a bucket. Buckets that
    hold the same classes are one. At a similarity of 0.8 a pair misses every band with a
    probability of about 5e-8.
-3. Sequential verification: of each pair in a bucket the signatures are compared batch by
-   batch. With a uniform prior, the similarity after m matches of n has a Beta(m + 1, n - m + 1)
-   distribution; a pair is given up once it reaches the threshold with less than `MISS`
-   probability. Classes without any pair left leave their bucket.
-4. Survivors are verified exactly on full sets, recomputed from the texts of those classes
-   alone. A task skips pairs that are linked through others already, and hands over only
-   links that join two parts, so a group of n copies gives n - 1 rows and not n * n.
+3. First members: of each bucket up to `CENTRES` members are centres, and every member meets
+   each of them. Signatures are compared batch by batch: with a uniform prior, the similarity
+   after m matches of n has a Beta(m + 1, n - m + 1) distribution, and a pair is given up once
+   it reaches the threshold with less than `MISS` probability. Of the survivors each member is
+   first verified on full sets, recomputed from the texts, against the centre of most matches;
+   then the pairs that this has not linked through others.
+4. Contraction: members that are linked by now need no comparison among each other. Buckets with
+   one part, or with at most one member beside the centres, are done. In the others only pairs
+   of different parts are compared, by the same test and the same verification, so a bucket of
+   n near copies costs n times the members that their centres have not reached, not n * n.
 5. Components of the links, by alternating large and small stars.
 
-No bucket is capped. A bucket is cut into blocks of bounded size; a task holds two blocks of
-it, and every pair of blocks meets once. Each pair is judged in the first band it shares.
-Blocks bound the memory of a task; the work on a bucket of n different near copies still
-grows with n * n comparisons of signatures, of which the later bands repeat none.
+No bucket is capped. What is left of a bucket is cut into blocks of bounded size: those of the
+largest part, which do not meet each other, and those of all other members. A task holds two
+blocks, and every pair of blocks that has to meet does so once. Each pair is judged in the first
+band it shares.
 """
 
 from __future__ import annotations
@@ -30,9 +33,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from gleanery.llm.uneven import join_each
 from gleanery.llm.words import whole
 from gleanery.session import freeze_table
 
@@ -42,6 +46,9 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BATCH = 16  # minima compared at once
 MISS = 1e-5
+CENTRES = 8  # members of a bucket that all others meet first
+MEMBERS = 4096  # members that meet a centre in one task, about
+SALTS = 16  # tasks over which those of a centre are dealt that are verified on full sets
 BLOCK = 512  # classes of one bucket in a block
 BLOCK_HASHES = 1 << 21  # hashes of full sets in a block, about
 PAIRS = 1 << 17  # pairs of a task judged at once
@@ -153,22 +160,21 @@ def first_shared_band(signatures: np.ndarray, left: np.ndarray, right: np.ndarra
 class Group:
     """Rows of one (bucket, pair of blocks): both blocks, or one block with itself."""
 
-    def __init__(self, band: int, within: bool, sides: np.ndarray, signatures: np.ndarray):
-        self.band, self.within, self.signatures = band, within, signatures
+    def __init__(self, band: int, within: bool, sides: np.ndarray, signatures: np.ndarray, parts: np.ndarray):
+        self.band, self.within, self.signatures, self.parts = band, within, signatures, parts
         self.first = np.flatnonzero(sides == 0)
         self.second = self.first if within else np.flatnonzero(sides == 1)
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Surviving pairs that meet in this band first, in bounded runs."""
+        """Surviving pairs of different parts that meet in this band first, in bounded runs."""
         rows = max(1, PAIRS // max(1, len(self.second)))
         for at in range(0, len(self.first), rows):
             some = self.first[at : at + rows]
             left, right = np.repeat(some, len(self.second)), np.tile(self.second, len(some))
+            apart = self.parts[left] != self.parts[right]
             if self.within:
-                order = np.repeat(np.arange(at, at + len(some)), len(self.second)) < np.tile(
-                    np.arange(len(self.second)), len(some)
-                )
-                left, right = left[order], right[order]
+                apart &= left < right
+            left, right = left[apart], right[apart]
             alive, _ = surviving(self.signatures, left, right)
             left, right = left[alive], right[alive]
             here = first_shared_band(self.signatures, left, right) == self.band if len(left) else slice(0, 0)
@@ -201,13 +207,13 @@ def _arrays(group: pa.Table) -> tuple[np.ndarray, Group]:
     raw = b"".join(group.column("signature").to_pylist())
     signatures = np.frombuffer(raw, dtype=np.uint32).reshape(-1, HASHES)
     key = {c: group.column(c)[0].as_py() for c in ("block_a", "block_b", "band")}
-    sides = group.column("side").to_numpy()
+    sides, parts = group.column("side").to_numpy(), group.column("part").to_numpy()
     members = group.column("id").to_numpy()
-    return members, Group(key["band"], key["block_a"] == key["block_b"], sides, signatures)
+    return members, Group(key["band"], key["block_a"] == key["block_b"], sides, signatures, parts)
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, band, id) of classes that have a surviving partner in their bucket."""
+    """(bucket, band, id, part) of classes that have a surviving partner in their bucket."""
     for table in _groups(batches):
         members, group = _arrays(table)
         stay = np.zeros(len(members), dtype=bool)
@@ -217,9 +223,8 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = members[stay]
         if len(ids):
             bucket, band = table.column("bucket")[0].as_py(), group.band
-            yield pa.RecordBatch.from_pydict(
-                {"bucket": np.full(len(ids), bucket), "band": np.full(len(ids), band, dtype=np.int32), "id": ids}
-            )
+            columns = {"bucket": np.full(len(ids), bucket), "band": np.full(len(ids), band, dtype=np.int32)}
+            yield pa.RecordBatch.from_pydict(columns | {"id": ids, "part": group.parts[stay]})
 
 
 def intersection_sizes(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -239,7 +244,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members, group = _arrays(table)
         sets = [np.frombuffer(b, dtype=np.uint64) for b in table.column("hashes").to_pylist()]
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        part = np.arange(len(members))
+        part = np.unique(group.parts, return_inverse=True)[1]
         links = []
         for left, right in group.pairs():
             order = np.argsort(left, kind="stable")
@@ -271,32 +276,142 @@ def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays(columns, names=["id", "set_key", "hashes"])
 
 
+# Members against centres --------------------------------------------------------------
+
+
+def matches_with(centre: bytes, members: list[bytes]) -> np.ndarray:
+    """Matching minima with a centre, 0 for members that are given up."""
+    rows = np.frombuffer(b"".join([centre, *members]), dtype=np.uint32).reshape(-1, HASHES)
+    right = np.arange(1, len(rows))
+    alive, matches = surviving(rows, np.zeros_like(right), right)
+    out = np.zeros(len(members), dtype=np.int32)
+    out[alive] = matches
+    return out
+
+
+def linked_with(centre: bytes, members: list[bytes]) -> np.ndarray:
+    """1 for members whose full sets are similar to the centre's, else 0."""
+    over, under = THRESHOLD
+    one, others = np.frombuffer(centre, dtype=np.uint64), [np.frombuffer(m, dtype=np.uint64) for m in members]
+    both = intersection_sizes(one, others)
+    sizes = np.fromiter(map(len, others), dtype=np.int64, count=len(others))
+    return (under * both >= over * (len(one) + sizes - both)).astype(np.int32)
+
+
+def _meet(judge):
+    """Streams rows (centre, salt, member, is_member, value), sorted so that a centre comes before
+    its members; a task holds the value of one centre and those of a slice of members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, value = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(2)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            members, flags = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            for start, end in zip(cuts, cuts[1:]):
+                if held != tuple(keys[start]):
+                    held, value = tuple(keys[start]), None
+                if not flags[start]:
+                    value = batch.column(4)[start].as_py()
+                    start += 1
+                if start == end or value is None:
+                    continue
+                score = judge(value, batch.column(4).slice(start, end - start).to_pylist())
+                found = np.flatnonzero(score)
+                if len(found):
+                    columns = {"a": np.full(len(found), held[0]), "b": members[start:end][found], "score": score[found]}
+                    yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def _meetings(pairs: DataFrame, values: DataFrame, judge) -> DataFrame:
+    """(a, b, score) of the ``pairs`` (centre, salt, member) for which ``judge`` finds a score.
+
+    A member's value moves once per pair, a centre's once per salt.
+    """
+    asked = pairs.select("centre", "salt").distinct()
+    named = values.toDF("id", "value")
+    centres = asked.join(named.withColumnRenamed("id", "centre"), "centre")
+    centres = centres.select("centre", "salt", F.col("centre").alias("member"), F.lit(0).alias("is_member"), "value")
+    members = pairs.join(named.withColumnRenamed("id", "member"), "member")
+    members = members.select("centre", "salt", "member", F.lit(1).alias("is_member"), "value")
+    pieces = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = centres.unionByName(members).repartition(pieces, "centre", "salt").sortWithinPartitions("centre", "salt", "is_member")
+    return rows.mapInArrow(_meet(judge), "a long, b long, score int")
+
+
+def _first_links(held: DataFrame, classes: DataFrame, full_sets) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of members with the centres of their buckets, and the parts that they form.
+
+    ``full_sets`` gives (id, hashes) of the classes in a table of ids.
+    """
+    met = held.select("id", "salts", F.explode("centres").alias("centre")).filter("id <> centre")
+    # Two centres meet once, from the smaller id.
+    met = met.select(
+        F.least("id", "centre").alias("low"),
+        F.greatest("id", "centre").alias("high"),
+        F.struct("centre", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), F.col("id").alias("member")).alias("one"),
+    )
+    met = met.groupBy("low", "high").agg(F.min("one").alias("one")).select("one.*")
+    alive = freeze_table(_meetings(met, classes.select("id", "signature"), matches_with), "alive")
+    best = alive.groupBy("b").agg(F.max(F.struct("score", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS))
+    links = None
+    for round_pairs in (best, None):
+        if round_pairs is None:
+            ends = alive.select("a", "b")
+            for end in ("a", "b"):
+                named = parts.select(F.col("id").alias(end), F.col("part").alias(f"part_{end}"))
+                ends = ends.join(named, end, "left").withColumn(f"part_{end}", F.coalesce(f"part_{end}", end))
+            round_pairs = ends.filter("part_a <> part_b").join(best, ["a", "b"], "left_anti").select("a", "b")
+        pairs = freeze_table(round_pairs.select(F.col("a").alias("centre"), salt.alias("salt"), F.col("b").alias("member")), "pairs")
+        if pairs.isEmpty() and links is not None:
+            break
+        wanted = pairs.select(F.col("centre").alias("id")).unionByName(pairs.select(F.col("member").alias("id"))).distinct()
+        found = freeze_table(_meetings(pairs, full_sets(wanted), linked_with).select("a", "b"), "links")
+        links = found if links is None else links.unionByName(found)
+        parts = components(links).withColumnRenamed("component_id", "part")
+    return links, parts
+
+
 # Components ---------------------------------------------------------------------------
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """Edges in the shared folder, with their number and a print of them taken as they are written."""
+    seen = Observation()
+    table = freeze_table(edges.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "links")
+    return table, seen.get
+
+
 def components(links: DataFrame) -> DataFrame:
     """``id, component_id`` of every id in ``links`` (a, b): the smallest id it can reach.
 
     Large stars tie every larger neighbour of a node to the smallest one around it, small
     stars every smaller one; both keep the components, and alternating them ends in stars.
-    Minima are aggregated before they are shuffled, so a node with very many links is
-    never one group in one task.
+    Minima are aggregated before they are shuffled, and the links of a node with very many stay
+    where they are (`join_each`).
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    edges = freeze_table(edges, "links")
-    before = None
+    edges, before = _written(edges)
     while True:
+        rows = before["n"]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = join_each(both.filter("v > u"), least, "u", 2 * rows).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u").select(
-            F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
+        small_least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_each(large, small_least, "u", 2 * rows).select(
+            F.explode(
+                F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+            ).alias("e")
         )
-        edges = freeze_table(small.select("e.u", "e.v").filter("u <> v").distinct(), "links")
+        small = small.select(F.col("e.u").alias("u"), F.col("e.v").alias("v"))
+        edges, now = _written(small.filter("u <> v").distinct())
         # Edges are stars with the smallest id in the middle once a round changes none.
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break
         before = now
@@ -307,34 +422,61 @@ def components(links: DataFrame) -> DataFrame:
 # The operator -------------------------------------------------------------------------
 
 
-def _bucketed(rows: DataFrame, weight: str | None, name: str) -> DataFrame:
-    """``rows`` (bucket, band, id) without buckets of one class or with the classes of another,
-    each class with the pairs of blocks it meets in: ``bucket, block_a, block_b, band, side, id``.
+def _shared_buckets(banded: DataFrame) -> DataFrame:
+    """(bucket, band, id, n, centres, salts) of rows (bucket, band, id) in buckets of several classes,
+    of those with the same classes the one of the lowest band.
+
+    Centres are the members with the smallest hash in each of `CENTRES` classes of hashes; the
+    buckets of a group of near copies mostly share them. ``salts`` tells over how many tasks the
+    members of a centre are dealt.
     """
-    rows = rows.withColumn("_print", F.xxhash64("id"))
+    rows = banded.withColumn("_print", F.xxhash64("id"))
+    slot = F.pmod("_print", F.lit(CENTRES))
     sums = [
         F.count("*").alias("n"),
-        F.min("band").alias("first_band"),
         F.bit_xor("_print").alias("x"),
         F.sum(F.shiftrightunsigned("_print", 24)).alias("y"),
-        F.sum(F.lit(1) if weight is None else F.col(weight)).alias("load"),
+        *[F.min(F.when(slot == c, F.struct("_print", "id"))).alias(f"c{c}") for c in range(CENTRES)],
     ]
     buckets = rows.groupBy("bucket", "band").agg(*sums).filter("n > 1")
-    # Buckets with the same classes: the one of the lowest band stays.
-    least = F.min(F.struct("first_band", "bucket", "load")).alias("one")
-    kept = buckets.groupBy("n", "x", "y").agg(least).select("one.bucket", F.col("one.first_band").alias("band"), "n", "one.load")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("load") / BLOCK_HASHES)).cast("int")
-    kept = kept.select("bucket", "band", blocks.alias("blocks"))
-    held = rows.join(kept, ["bucket", "band"])
-    block = F.pmod("_print", F.col("blocks")).cast("int")
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.struct(
-            F.least(block, other).alias("block_a"), F.greatest(block, other).alias("block_b"), (block > other).cast("int").alias("side")
-        ),
+    centres = F.array_compact(F.array(*[F.col(f"c{c}.id") for c in range(CENTRES)])).alias("centres")
+    least = F.min(F.struct("band", "bucket", centres)).alias("one")
+    kept = buckets.groupBy("n", "x", "y").agg(least).select("one.bucket", "one.band", "n", "one.centres")
+    kept = kept.withColumn("salts", F.ceil(F.col("n") / MEMBERS))
+    return banded.join(kept, ["bucket", "band"])
+
+
+def _blocked(rows: DataFrame) -> DataFrame:
+    """``rows`` (bucket, band, id, part, n_shingles) without buckets of one part, each class with the
+    pairs of blocks it meets in: adds ``block_a, block_b, side``.
+
+    Blocks of the largest part of a bucket are numbered behind those of all others.
+    """
+    by_part = rows.groupBy("bucket", "band", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("load"))
+    top = by_part.groupBy("bucket", "band").agg(
+        F.max(F.struct("n", "load", "part")).alias("top"), F.sum("n").alias("n"), F.sum("load").alias("load"), F.count("*").alias("parts")
+    )
+    blocks = lambda n, load: F.greatest(F.ceil(n / BLOCK), F.ceil(load / BLOCK_HASHES)).cast("int")
+    kept = top.filter("parts > 1").select(
+        "bucket",
+        "band",
+        F.col("top.part").alias("main"),
+        blocks(F.col("n") - F.col("top.n"), F.col("load") - F.col("top.load")).alias("others"),
+        blocks(F.col("top.n"), F.col("top.load")).alias("mains"),
     )
-    spread = held.select("bucket", "band", "id", F.explode(meets).alias("m"))
-    return spread.select("bucket", "m.block_a", "m.block_b", "band", "m.side", "id")
+    held = rows.join(kept, ["bucket", "band"]).withColumn("_print", F.xxhash64("id"))
+    in_main = F.col("part") == F.col("main")
+    others, mains = F.col("others"), F.col("mains")
+    block = F.pmod("_print", F.when(in_main, mains).otherwise(others)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    meet = lambda a, b, side: F.struct(a.alias("block_a"), b.alias("block_b"), side.cast("int").alias("side"))
+    of_main = F.transform(upto(others), lambda o: meet(o, others + block, F.lit(1)))
+    of_other = F.concat(
+        F.transform(upto(others), lambda o: meet(F.least(block, o), F.greatest(block, o), block > o)),
+        F.transform(upto(mains), lambda m: meet(block, others + m, F.lit(0))),
+    )
+    spread = held.select("bucket", "band", "id", "part", F.explode(F.when(in_main, of_main).otherwise(of_other)).alias("m"))
+    return spread.select("bucket", "m.block_a", "m.block_b", "band", "m.side", "id", "part")
 
 
 def _by_group(rows: DataFrame) -> DataFrame:
@@ -343,12 +485,20 @@ def _by_group(rows: DataFrame) -> DataFrame:
     return rows.repartition(pieces, *keys).sortWithinPartitions(*keys, "band")
 
 
-def near_links(signed: DataFrame, docs: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
-    """Links (a, b) between class representatives; joined up, they reach all that all links reach."""
+def near_parts(signed: DataFrame, docs: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
+    """(id, part) of every linked class representative: the smallest id that its links reach."""
     classes = signed.filter("set_key is not null and id is not null").groupBy("set_key").agg(
         F.min(F.struct("id", "signature", "n_shingles")).alias("one")
     )
     classes = freeze_table(classes.select("set_key", "one.*"), "classes")
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), whole(text_column).alias("text"))
+
+    def full_sets(wanted: DataFrame) -> DataFrame:
+        # A repeated id has several texts; the one of its class is told by the key.
+        found = texts.join(wanted, "id", "left_semi").mapInArrow(lambda b: _full_sets(b, width), "id long, set_key binary, hashes binary")
+        same = classes.select("id", "set_key").join(found, ["id", "set_key"]).dropDuplicates(["id", "set_key"])
+        return freeze_table(same.select("id", "hashes"), "sets")
+
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda b: F.struct(
@@ -356,21 +506,23 @@ def near_links(signed: DataFrame, docs: DataFrame, width: int, id_column: str, t
         ),
     )
     banded = classes.select("id", F.explode(bands).alias("b")).select("b.bucket", "b.band", "id")
-    grouped = _bucketed(banded, None, "buckets")
-    signatures = classes.select("id", "signature")
-    pruned = _by_group(grouped.join(signatures, "id").select("bucket", "block_a", "block_b", "band", "side", "id", "signature"))
-    pruned = pruned.mapInArrow(_prune, "bucket long, band int, id long").distinct()
+    held = freeze_table(_shared_buckets(banded), "buckets")
+    links, parts = _first_links(held, classes, full_sets)
+
+    # Buckets whose members have not all met: those of different parts meet now.
+    left = held.filter(F.col("n") - F.size("centres") > 1).select("bucket", "band", "id")
+    known = classes.select("id", "n_shingles", "signature")
+    left = left.join(parts, "id", "left").select("bucket", "band", "id", F.coalesce("part", "id").alias("part"))
+    grouped = _blocked(left.join(known.select("id", "n_shingles"), "id")).join(known.select("id", "signature"), "id")
+    keys = ["bucket", "block_a", "block_b", "band", "side", "id", "part", "signature"]
+    pruned = _by_group(grouped.select(*keys)).mapInArrow(_prune, "bucket long, band int, id long, part long").distinct()
     pruned = freeze_table(pruned, "survivors")
-
-    wanted = pruned.select("id").distinct()
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), whole(text_column).alias("text"))
-    # A repeated id has several texts; the one of its class is told by the key.
-    found = texts.join(wanted, "id", "left_semi").mapInArrow(lambda b: _full_sets(b, width), "id long, set_key binary, hashes binary")
-    full = classes.select("id", "set_key", "signature").join(found, ["id", "set_key"]).dropDuplicates(["id", "set_key"])
-    sized = pruned.join(classes.select("id", "n_shingles"), "id")
-    grouped = _bucketed(sized, "n_shingles", "survivors").join(full, "id")
-    ready = _by_group(grouped.select("bucket", "block_a", "block_b", "band", "side", "id", "signature", "hashes"))
-    return ready.mapInArrow(_verify, "a long, b long")
+    if pruned.isEmpty():
+        return parts
+    full = full_sets(pruned.select("id").distinct()).join(known.select("id", "signature"), "id")
+    grouped = _blocked(pruned.join(known.select("id", "n_shingles"), "id")).join(full, "id")
+    last = _by_group(grouped.select(*keys, "hashes")).mapInArrow(_verify, "a long, b long")
+    return components(links.unionByName(last)).withColumnRenamed("component_id", "part")
 
 
 def near_groups(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -385,15 +537,18 @@ def near_groups(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id",
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     signed = rows.mapInArrow(lambda b: _sign(b, width), "id long, n_shingles long, set_key binary, signature binary")
     signed = freeze_table(signed, "signatures")
-    links = near_links(signed, docs, width, id_column, text_column)
+    reached = near_parts(signed, docs, width, id_column, text_column)
     # Equal sets are linked through the smallest id of their class.
     keyed = signed.select("id", "n_shingles", "set_key")
-    reps = keyed.filter("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"))
-    reached = components(links)
+    filled = keyed.filter("set_key is not null")
+    reps = filled.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     labelled = reps.join(reached.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "set_key", F.coalesce("component_id", "rep").alias("component_id")
+        "set_key", F.coalesce("part", "rep").alias("component_id"), "n"
     )
-    out = keyed.join(labelled, "set_key", "left").withColumn(
+    named = join_each(filled, labelled, "set_key", signed.count()).select(*keyed.columns, "component_id")
+    none = F.lit(None).cast("long").alias("component_id")
+    out = named.unionByName(keyed.filter("set_key is null").select("*", none))
+    out = out.withColumn(
         "component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     )
     return out.select(

@@ -42,10 +42,11 @@ def family(base, count, edits, seed, first):
     return out
 
 
-@pytest.mark.parametrize("width,block", [(4, 512), (5, 16)])
-def test_components_equal_brute_force(spark, monkeypatch, width, block):
-    # Blocks of 16 make tasks meet parts of a bucket.
+@pytest.mark.parametrize("width,block,centres", [(4, 512, 8), (5, 16, 1)])
+def test_components_equal_brute_force(spark, monkeypatch, width, block, centres):
+    # Blocks of 16 make tasks meet parts of a bucket, one centre leaves much to them.
     monkeypatch.setattr(M, "BLOCK", block)
+    monkeypatch.setattr(M, "CENTRES", centres)
     base = " ".join(f"b{i}" for i in range(180))
     other = " ".join(f"c{i}" for i in range(60))
     rows = [*TEXTS, *family(base, 120, 14, 1, 1000), *family(other, 20, 5, 2, 2000)]
@@ -85,3 +86,17 @@ def test_dropping_and_empty_table(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 5, 6, 7, 8, 9, None, 11, 12, 12, 13, 14]))
     assert M.near_groups(docs.limit(0)).collect() == []
+
+
+def test_hot_keys_stay_where_they_are(spark, monkeypatch):
+    # Every key counts as hot, or none.
+    from gleanery.llm import uneven
+
+    many = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(600)], "k long, v long")
+    one = many.groupBy("k").count().withColumnRenamed("count", "n")
+    want = sorted(tuple(r) for r in many.join(one, "k").collect())
+    for rows, share in ((1, 1e-4), (1, 0.2 * 600), (1, 1e9)):
+        monkeypatch.setattr(uneven, "EVEN_ROWS", 0)
+        monkeypatch.setattr(uneven, "HOT_SHARE", share)
+        assert sorted(tuple(r) for r in uneven.join_each(many, one, "k", rows).collect()) == want
+    test_components_of_a_chain_and_a_star(spark)
