@@ -6,11 +6,11 @@
 2. Banding: signatures that agree in all `ROWS` minima of a band share a bucket. Buckets that
    hold the same classes are one. At a similarity of 0.8 a pair misses every band with a
    probability of about 5e-8.
-3. First members: of each bucket up to `CENTRES` members are centres, and every member meets
-   each of them. Signatures are compared batch by batch: with a uniform prior, the similarity
+3. First members: of each bucket up to `CENTRES` members are centres (`FEW` of a large one), and
+   every member meets each of them. Signatures are compared batch by batch: with a uniform prior, the similarity
    after m matches of n has a Beta(m + 1, n - m + 1) distribution, and a pair is given up once
    it reaches the threshold with less than `MISS` probability. Of the survivors each member is
-   first verified on full sets, recomputed from the texts, against the centre of most matches;
+   first verified on full sets, recomputed from the texts, against one centre of many matches;
    then the pairs that this has not linked through others.
 4. Contraction: members that are linked by now need no comparison among each other. Buckets with
    one part, or with at most one member beside the centres, are done. In the others only pairs
@@ -33,10 +33,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.uneven import join_each
+from gleanery.llm import uneven
 from gleanery.llm.words import whole
 from gleanery.session import freeze_table
 
@@ -47,6 +47,8 @@ HASHES = BANDS * ROWS
 BATCH = 16  # minima compared at once
 MISS = 1e-5
 CENTRES = 8  # members of a bucket that all others meet first
+FEW, LARGE = 2, 16  # so many centres serve buckets of more members than that
+STRONG = 110  # matches that make a link all but sure
 MEMBERS = 4096  # members that meet a centre in one task, about
 SALTS = 16  # tasks over which those of a centre are dealt that are verified on full sets
 BLOCK = 512  # classes of one bucket in a block
@@ -213,18 +215,15 @@ def _arrays(group: pa.Table) -> tuple[np.ndarray, Group]:
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, band, id, part) of classes that have a surviving partner in their bucket."""
+    """The rows of classes that have a surviving partner in their group, without signatures."""
     for table in _groups(batches):
         members, group = _arrays(table)
         stay = np.zeros(len(members), dtype=bool)
         for left, right in group.pairs():
             stay[left] = True
             stay[right] = True
-        ids = members[stay]
-        if len(ids):
-            bucket, band = table.column("bucket")[0].as_py(), group.band
-            columns = {"bucket": np.full(len(ids), bucket), "band": np.full(len(ids), band, dtype=np.int32)}
-            yield pa.RecordBatch.from_pydict(columns | {"id": ids, "part": group.parts[stay]})
+        if stay.any():
+            yield from table.drop_columns("signature").filter(pa.array(stay)).combine_chunks().to_batches()
 
 
 def intersection_sizes(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -338,8 +337,7 @@ def _meetings(pairs: DataFrame, values: DataFrame, judge) -> DataFrame:
     centres = centres.select("centre", "salt", F.col("centre").alias("member"), F.lit(0).alias("is_member"), "value")
     members = pairs.join(named.withColumnRenamed("id", "member"), "member")
     members = members.select("centre", "salt", "member", F.lit(1).alias("is_member"), "value")
-    pieces = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = centres.unionByName(members).repartition(pieces, "centre", "salt").sortWithinPartitions("centre", "salt", "is_member")
+    rows = centres.unionByName(members).repartition("centre", "salt").sortWithinPartitions("centre", "salt", "is_member")
     return rows.mapInArrow(_meet(judge), "a long, b long, score int")
 
 
@@ -348,33 +346,33 @@ def _first_links(held: DataFrame, classes: DataFrame, full_sets) -> tuple[DataFr
 
     ``full_sets`` gives (id, hashes) of the classes in a table of ids.
     """
-    met = held.select("id", "salts", F.explode("centres").alias("centre")).filter("id <> centre")
-    # Two centres meet once, from the smaller id.
-    met = met.select(
-        F.least("id", "centre").alias("low"),
-        F.greatest("id", "centre").alias("high"),
-        F.struct("centre", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), F.col("id").alias("member")).alias("one"),
-    )
-    met = met.groupBy("low", "high").agg(F.min("one").alias("one")).select("one.*")
+    # Two centres of a bucket meet once, the larger one as the member.
+    is_centre = F.array_contains("centres", F.col("id"))
+    others = F.filter("centres", lambda c: (c < F.col("id")) | ((c > F.col("id")) & ~is_centre))
+    met = held.select(F.explode(others).alias("centre"), F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), F.col("id").alias("member"))
+    met = met.distinct()
     alive = freeze_table(_meetings(met, classes.select("id", "signature"), matches_with), "alive")
-    best = alive.groupBy("b").agg(F.max(F.struct("score", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
+    # Of the centres that are all but sure the one that all members prefer, so that parts are few.
+    choice = F.struct((-F.least("score", F.lit(STRONG))).alias("score"), "a")
+    best = alive.groupBy("b").agg(F.min(choice).alias("top")).select(F.col("top.a").alias("a"), "b")
     salt = F.pmod(F.xxhash64("b"), F.lit(SALTS))
-    links = None
-    for round_pairs in (best, None):
-        if round_pairs is None:
-            ends = alive.select("a", "b")
-            for end in ("a", "b"):
-                named = parts.select(F.col("id").alias(end), F.col("part").alias(f"part_{end}"))
-                ends = ends.join(named, end, "left").withColumn(f"part_{end}", F.coalesce(f"part_{end}", end))
-            round_pairs = ends.filter("part_a <> part_b").join(best, ["a", "b"], "left_anti").select("a", "b")
-        pairs = freeze_table(round_pairs.select(F.col("a").alias("centre"), salt.alias("salt"), F.col("b").alias("member")), "pairs")
-        if pairs.isEmpty() and links is not None:
-            break
-        wanted = pairs.select(F.col("centre").alias("id")).unionByName(pairs.select(F.col("member").alias("id"))).distinct()
-        found = freeze_table(_meetings(pairs, full_sets(wanted), linked_with).select("a", "b"), "links")
-        links = found if links is None else links.unionByName(found)
-        parts = components(links).withColumnRenamed("component_id", "part")
-    return links, parts
+
+    sets = full_sets(alive.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = freeze_table(pairs.select(F.col("a").alias("centre"), salt.alias("salt"), F.col("b").alias("member")), "pairs")
+        return freeze_table(_meetings(pairs, sets, linked_with).select("a", "b"), "links")
+
+    links = verified(best)
+    # Every member has one link by now, so two steps along them tell most that need no other.
+    ends = alive.join(best.withColumn("met", F.lit(True)), ["a", "b"], "left").filter("met is null").select("a", "b")
+    for end in ("a", "b"):
+        ends = ends.withColumn(f"to_{end}", F.col(end))
+        for _ in range(2):
+            step = links.select(F.col("b").alias(f"to_{end}"), F.col("a").alias("next"))
+            ends = ends.join(step, f"to_{end}", "left").withColumn(f"to_{end}", F.coalesce("next", f"to_{end}")).drop("next")
+    links = links.unionByName(verified(ends.filter("to_a <> to_b").select("a", "b")))
+    return links, components(links).withColumnRenamed("component_id", "part")
 
 
 # Components ---------------------------------------------------------------------------
@@ -387,24 +385,33 @@ def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
     return table, seen.get
 
 
+def _with_least(rows: DataFrame, count: int) -> DataFrame:
+    """``rows`` (u, v) with ``m``, the smallest v of each u; ``count`` bounds their number.
+
+    A few rows meet in a window. Of many the minima are aggregated before they are shuffled, and
+    the rows of a hot u stay where they are.
+    """
+    if count <= uneven.EVEN_ROWS:
+        return rows.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return uneven.join_each(rows, least, "u", count).select("u", "v", "m")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``id, component_id`` of every id in ``links`` (a, b): the smallest id it can reach.
 
     Large stars tie every larger neighbour of a node to the smallest one around it, small
     stars every smaller one; both keep the components, and alternating them ends in stars.
-    Minima are aggregated before they are shuffled, and the links of a node with very many stay
-    where they are (`join_each`).
+    A node with very many links is no task's burden, see `_with_least`.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges, before = _written(edges)
     while True:
         rows = before["n"]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = join_each(both.filter("v > u"), least, "u", 2 * rows).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_each(large, small_least, "u", 2 * rows).select(
+        large = _with_least(both, 2 * rows).filter("v > u")
+        large = large.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u <> v")
+        small = _with_least(large, 2 * rows).select(
             F.explode(
                 F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
             ).alias("e")
@@ -426,7 +433,7 @@ def _shared_buckets(banded: DataFrame) -> DataFrame:
     """(bucket, band, id, n, centres, salts) of rows (bucket, band, id) in buckets of several classes,
     of those with the same classes the one of the lowest band.
 
-    Centres are the members with the smallest hash in each of `CENTRES` classes of hashes; the
+    Centres are the members with the smallest id in each of `CENTRES` classes of hashes; the
     buckets of a group of near copies mostly share them. ``salts`` tells over how many tasks the
     members of a centre are dealt.
     """
@@ -436,11 +443,12 @@ def _shared_buckets(banded: DataFrame) -> DataFrame:
         F.count("*").alias("n"),
         F.bit_xor("_print").alias("x"),
         F.sum(F.shiftrightunsigned("_print", 24)).alias("y"),
-        *[F.min(F.when(slot == c, F.struct("_print", "id"))).alias(f"c{c}") for c in range(CENTRES)],
+        *[F.min(F.when(slot == c, F.col("id"))).alias(f"c{c}") for c in range(CENTRES)],
     ]
     buckets = rows.groupBy("bucket", "band").agg(*sums).filter("n > 1")
-    centres = F.array_compact(F.array(*[F.col(f"c{c}.id") for c in range(CENTRES)])).alias("centres")
-    least = F.min(F.struct("band", "bucket", centres)).alias("one")
+    centres = F.array_compact(F.array(*[F.col(f"c{c}") for c in range(CENTRES)]))
+    centres = F.slice(centres, 1, F.when(F.col("n") > LARGE, F.lit(FEW)).otherwise(F.lit(CENTRES)))
+    least = F.min(F.struct("band", "bucket", centres.alias("centres"))).alias("one")
     kept = buckets.groupBy("n", "x", "y").agg(least).select("one.bucket", "one.band", "n", "one.centres")
     kept = kept.withColumn("salts", F.ceil(F.col("n") / MEMBERS))
     return banded.join(kept, ["bucket", "band"])
@@ -481,8 +489,7 @@ def _blocked(rows: DataFrame) -> DataFrame:
 
 def _by_group(rows: DataFrame) -> DataFrame:
     keys = ["bucket", "block_a", "block_b"]
-    pieces = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(pieces, *keys).sortWithinPartitions(*keys, "band")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "band")
 
 
 def near_parts(signed: DataFrame, docs: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
@@ -513,15 +520,14 @@ def near_parts(signed: DataFrame, docs: DataFrame, width: int, id_column: str, t
     left = held.filter(F.col("n") - F.size("centres") > 1).select("bucket", "band", "id")
     known = classes.select("id", "n_shingles", "signature")
     left = left.join(parts, "id", "left").select("bucket", "band", "id", F.coalesce("part", "id").alias("part"))
-    grouped = _blocked(left.join(known.select("id", "n_shingles"), "id")).join(known.select("id", "signature"), "id")
-    keys = ["bucket", "block_a", "block_b", "band", "side", "id", "part", "signature"]
-    pruned = _by_group(grouped.select(*keys)).mapInArrow(_prune, "bucket long, band int, id long, part long").distinct()
-    pruned = freeze_table(pruned, "survivors")
+    grouped = _blocked(left.join(known.drop("signature"), "id")).join(known.drop("n_shingles"), "id")
+    keys = ["bucket", "block_a", "block_b", "band", "side", "id", "part"]
+    schema = "bucket long, block_a int, block_b int, band int, side int, id long, part long"
+    pruned = freeze_table(_by_group(grouped.select(*keys, "signature")).mapInArrow(_prune, schema), "survivors")
     if pruned.isEmpty():
         return parts
-    full = full_sets(pruned.select("id").distinct()).join(known.select("id", "signature"), "id")
-    grouped = _blocked(pruned.join(known.select("id", "n_shingles"), "id")).join(full, "id")
-    last = _by_group(grouped.select(*keys, "hashes")).mapInArrow(_verify, "a long, b long")
+    full = full_sets(pruned.select("id").distinct()).join(known.drop("n_shingles"), "id")
+    last = _by_group(pruned.join(full, "id").select(*keys, "signature", "hashes")).mapInArrow(_verify, "a long, b long")
     return components(links.unionByName(last)).withColumnRenamed("component_id", "part")
 
 
@@ -545,7 +551,7 @@ def near_groups(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id",
     labelled = reps.join(reached.withColumnRenamed("id", "rep"), "rep", "left").select(
         "set_key", F.coalesce("part", "rep").alias("component_id"), "n"
     )
-    named = join_each(filled, labelled, "set_key", signed.count()).select(*keyed.columns, "component_id")
+    named = uneven.join_each(filled, labelled, "set_key", signed.count()).select(*keyed.columns, "component_id")
     none = F.lit(None).cast("long").alias("component_id")
     out = named.unionByName(keyed.filter("set_key is null").select("*", none))
     out = out.withColumn(
