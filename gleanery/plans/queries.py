@@ -337,8 +337,8 @@ def dedup_blocks(spark, sf_dir):
 
 
 def dedup_rounds(spark, sf_dir):
-    """Clusters by rounds of joins alone, as when undecided edges are more than one task takes."""
-    return _clusters(spark, sf_dir, finish_edges=0, keep=4)
+    """Clusters by several passes over few listed neighbours, each decided in rounds of joins."""
+    return _clusters(spark, sf_dir, keep=4)
 
 
 def dedup_chunks(spark, sf_dir):
