@@ -99,9 +99,11 @@ def page_articles(
 def with_page_content(items: DataFrame, pages: DataFrame, rules: PageRules = PageRules()) -> DataFrame:
     """Feed items with ``content`` from their page's body; ``""`` when page or body is absent.
 
-    Only pages that an item refers to are read.
+    Only pages that an item refers to are read. Of a page landed more than once the longest body
+    counts, of equally long ones the greatest, so an item stays one row.
     """
     wanted = pages.join(items.select("url"), "url", "left_semi")
-    bodies = page_fields(wanted, rules).select("url", "body_text")
+    longest = F.max(F.struct(F.length("body_text").alias("size"), "body_text"))
+    bodies = page_fields(wanted, rules).groupBy("url").agg(longest.alias("one")).select("url", "one.body_text")
     text = F.coalesce("body_text", F.lit(""))
     return items.join(bodies, "url", "left").withColumn("content", after_marker(text)).drop("body_text")

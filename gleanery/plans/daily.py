@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gleanery.operators.digest import digests, ranked_records
 from gleanery.operators.embed import embed
 from gleanery.operators.latest import latest_per_source
-from gleanery.operators.metrics import funnel
+from gleanery.operators.metrics import Funnel
 from gleanery.operators.neardup import THRESHOLD, leading_rows
 from gleanery.operators.pending import pending_items, source_counts
 from gleanery.operators.rank import TOP_N, check_scores, rank_for_profiles, top_supplied
@@ -28,20 +28,18 @@ class Tables:
     summaries: str
     digests: str
     rejects: str | None = None  # model scores out of range, if they are to be kept
+    answers: str | None = None  # what models answered, if reruns are not to ask again
 
 
 @dataclass(frozen=True)
 class Curated:
-    recent: DataFrame
-    latest: DataFrame
     kept: DataFrame
     ranked: DataFrame
     records: DataFrame
+    counts: Funnel
 
     def funnel(self) -> DataFrame:
-        return funnel(
-            loaded=self.recent, latest=self.latest, unclustered=self.kept, ranked=self.ranked, top=self.records
-        )
+        return self.counts.rows(self.records.sparkSession)
 
 
 def summarise_pending(
@@ -57,7 +55,9 @@ def summarise_pending(
     store.create_table(spark, tables.summaries)
     items = store.read_items(spark, tables.items, as_of, hours)
     known = store.read_summaries(spark, tables.summaries)
-    fresh = embed(summarise(pending_items(items, known, as_of, hours), as_of, summary_fn), embed_fn)
+    kept = {name: tables.answers and f"{tables.answers}/{name}" for name in ("summaries", "vectors")}
+    made = summarise(pending_items(items, known, as_of, hours), as_of, summary_fn, results=kept["summaries"])
+    fresh = embed(made, embed_fn, results=kept["vectors"])
     fresh = freeze_table(fresh, "summaries")
     store.append_summaries(fresh, tables.summaries)
     return source_counts(fresh, ["page", "rss", "video"])
@@ -78,17 +78,21 @@ def curate(
     ``scores`` are valid scores of a model; they take the place of the built-in ranking,
     and count as ranked before they are cut to ``top_n`` and looked up.
     """
-    recent = summaries.filter(F.col("article_created_at") >= cutoff(as_of, hours))
-    latest = latest_per_source(recent)
+    seen = Funnel()
+    recent = seen.watch("loaded", summaries.filter(F.col("article_created_at") >= cutoff(as_of, hours)))
+    latest = freeze_table(seen.watch("latest", latest_per_source(recent)), "latest")
     kept = leading_rows(
         latest, "id", [F.desc("created_at"), F.desc("id")], threshold=threshold
     )
-    kept = freeze_table(kept.drop("summary_vector"), "kept")
+    kept = freeze_table(seen.watch("unclustered", kept.drop("summary_vector")), "kept")
     if scores is None:
-        ranked = freeze_table(rank_for_profiles(kept, profiles, as_of, top_n), "ranked")
-        return Curated(recent, latest, kept, ranked, ranked_records(ranked, kept, items, profiles))
-    top = top_supplied(scores, top_n).withColumnRenamed("summary_id", "id")
-    return Curated(recent, latest, kept, scores, ranked_records(top, kept, items))
+        ranked = freeze_table(seen.watch("ranked", rank_for_profiles(kept, profiles, as_of, top_n)), "ranked")
+        records = ranked_records(ranked, kept, items, profiles)
+    else:
+        ranked = freeze_table(seen.watch("ranked", scores), "ranked")
+        records = ranked_records(top_supplied(ranked, top_n).withColumnRenamed("summary_id", "id"), kept, items)
+    records = freeze_table(seen.watch("top", records), "records")
+    return Curated(kept, ranked, records, seen)
 
 
 def run_day(

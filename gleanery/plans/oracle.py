@@ -177,6 +177,26 @@ _SUPPLIED = """supplied as (
   from events)"""
 _VALID = "coalesce(relevance_score between 0 and 10 and rank >= 1 and profile_id is not null and reasoning is not null, false)"
 
+_COLLECTED = f"""{ITEMS_SQL}, {SCRIPTS_SQL},
+feed as (
+  select 'rss' as source_type, id, {_clean("title")} as title, url, published_date + to_hours([0, 0, 5, 5, 4][1 + doc_id % 5]) as published_date,
+    case when doc_id % 10 = 0 then length('of ' || doc_id) else 0 end as n_content, null::int as n_transcript
+  from items where source_type = 'rss'),
+clips as (
+  select 'video' as source_type, i.id, {_clean("title")} as title, 'https://v.example.com/watch?v=' || i.id as url, published_date,
+    0 as n_content, length(s.transcript)::int as n_transcript
+  from items i left join scripts s on s.id = i.id where doc_id % 4 <> 0),
+section as (
+  select 'page' as source_type, 'a-' || page_id as id, {_plain("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} as title,
+    '{BASE}/news/a-' || page_id as url, timestamp '2024-01-03 10:00:00' + to_hours((page_id % 10)::int) as published_date,
+    length(array_to_string(list_filter(list_transform(
+      string_split(replace(replace({_ARTICLE}, '<p>', chr(1)), '</p>', chr(1)), chr(1))[2:],
+      lambda x: {_plain("x")}), lambda x: x <> ''), chr(10) || chr(10))) as n_content, null::int as n_transcript
+  from pages where page_id % 4 = 0 and page_id % 8 <> 0 and page_id % 3 <> 0),
+collected as (
+  select * from feed where published_date > {_START} union all select * from clips where published_date > {_START}
+  union all select * from section where title <> '')"""
+
 ORACLE: dict[str, str] = {
     "items_lookback": f"with {ITEMS_SQL} select source_type, id, title, published_date from items where published_date >= {_START}",
     "lookback_strict": f"""with {ITEMS_SQL} select source_type, id, published_date from items
@@ -341,6 +361,31 @@ ORACLE: dict[str, str] = {
         union all select 'unclustered', 3, (select n from left_)
         union all select 'ranked', 4, (select count(*) from customer) * (select least(10, n) from left_)
         union all select 'top', 5, (select count(*) from customer) * (select least(10, n) from left_)""",
+    "missing_pages": """select 'e' || page_id as id, url, case when page_id % 5 = 0 then ''
+          when page_id % 7 = 0 then page_id || ' and more' else page_id || '' end as content from pages""",
+    "strict_pages": "select url, length(html)::int as n_chars from pages",
+    "source_addresses": """select case when page_id % 2 = 0 then 'video' else 'rss' end as source_type, url as address,
+        case when page_id % 2 = 0 then 'https://feeds.example.com/videos.xml?channel_id=' || regexp_extract(url, '([^/]*)$', 1)
+          else url end as landed_from from pages""",
+    "collect_batch": f"with {_COLLECTED} select * from collected",
+    "collect_counts": f"""with {_COLLECTED} select s.source_type, count(c.id) as items
+        from (values ('page'), ('rss'), ('video')) s(source_type) left join collected c on c.source_type = s.source_type
+        group by s.source_type""",
+    "kept_answers": f"with {ITEMS_SQL} select id, length(title) as size, title[1:1] as first from items",
+    "model_ranked": f"""with {_SCORED.replace("where rank <= 10", "where rank <= 20")},
+        turned as (select profile_id, id as summary_id, row_number() over (partition by profile_id order by rank desc) as rank from ranked)
+        select profile_id, summary_id, rank::int as rank from turned where rank <= 10""",
+    "profile_scan": f"""with {PROFILES_SQL} select profile_id, name, array_to_string(teams, '|') as teams,
+        array_to_string(players, '|') as players, array_to_string(interests, '|') as interests, null::varchar as background from profiles""",
+    "stored_summaries": f"""with {_SUMMARIES} select id, source_type, source_id, article_created_at from made
+        where source_type in ('rss', 'page') and article_created_at >= {_START}""",
+    "stored_digests": """select 'c' || c_custkey as profile_id, c_name || t.text as body_text, t.day as run_date
+        from customer, (values (date '2024-01-03', 'one'), (date '2024-01-04', 'three')) t(day, text)""",
+    "stream_feeds": f"""with {ITEMS_SQL}, f as (
+          select id, {_clean("title")} as title, published_date + to_hours([0, 0, 5, 5, 4][1 + doc_id % 5]) as published_date,
+            doc_id % 10 = 3 as broken from items)
+        select id, title, published_date, false as rejected from f where not broken and published_date > {_START}
+        union all select id, null, null, true from f where broken""",
     "stream_first_seen": "select event_id, ts, user_id, event_type, value from events",
     "stream_upsert": f"with {_MERGED} select * from merged",
 }

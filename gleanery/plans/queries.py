@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import text, urls, vectors
-from gleanery.operators import digest, embed, latest, links, merge, neardup, pending, rank, similar, summarise
+from gleanery.operators import collect, digest, embed, latest, links, merge, model_rank, neardup, pending, rank, remember, similar, summarise
 from gleanery.operators.articles import page_articles, with_page_content
 from gleanery.plans import daily, views
 from gleanery.plans.views import AS_OF
@@ -216,25 +218,32 @@ def clean_text(spark, sf_dir):
 # --- feeds -----------------------------------------------------------------------------
 
 
-def _rss_files(spark, sf_dir):
-    """The items landed as RSS files, with dates in five zone spellings."""
+def _rss_entries(spark, sf_dir):
+    """The items as RSS entries, with dates in five zone spellings."""
     number = F.regexp_extract("id", r"(\d+)", 1).cast("long")
     zone = F.element_at(
         F.array(*[F.lit(z) for z in ("GMT", "+0000", "-0500", "EST", "EDT")]), (number % 5 + 1).cast("int")
     )
     stamp = F.concat(F.date_format("published_date", "EEE, dd MMM yyyy HH:mm:ss "), zone)
-    entries = views.items(spark, sf_dir).select(
+    return views.items(spark, sf_dir).select(
+        "source_type",
         F.struct(F.col("id").alias("_VALUE"), F.lit("false").alias("_isPermaLink")).alias("guid"),
         text.clean_text(F.col("title")).alias("title"),
         text.clean_text(F.col("description")).alias("description"),
         F.col("url").alias("link"),
         stamp.alias("pubDate"),
     )
-    path = scratch_path(spark, "rss")
-    entries.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
+
+
+def _landed(entries, path, root="channel", tag="item"):
+    entries.write.format("xml").option("rootTag", root).option("rowTag", tag).mode("append").save(path)
     return path
 
 
+def _rss_files(spark, sf_dir):
+    return _landed(_rss_entries(spark, sf_dir).drop("source_type"), scratch_path(spark, "rss"))
+
+
 def rss_items(spark, sf_dir):
     found = feeds.rss_items(spark, _rss_files(spark, sf_dir), AS_OF, 24)
     return found.select("source_type", "id", "title", "description", "url", "published_date")
@@ -253,9 +262,7 @@ def _atom_files(spark, sf_dir):
         F.concat(F.date_format("published_date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).alias("published"),
         F.struct(text.clean_text(F.col("description")).alias("description")).alias("group"),
     )
-    path = scratch_path(spark, "atom")
-    entries.write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path)
-    return path
+    return _landed(entries, scratch_path(spark, "atom"), "feed", "entry")
 
 
 def atom_items(spark, sf_dir):
@@ -280,6 +287,61 @@ def feed_page_content(spark, sf_dir):
     return with_page_content(entries, landed).select("id", "url", "content")
 
 
+def missing_pages(spark, sf_dir):
+    """Feed entries and pages of which some could not be fetched and some were landed twice."""
+    table = _table(spark, sf_dir, "pages")
+    number = F.col("page_id").cast("string")
+    entries = table.select(F.concat(F.lit("e"), number).alias("id"), "url")
+    body = F.concat(F.lit('<div class="article-body">Content: '), number, F.lit("</div>"))
+    landed = table.select("page_id", "url", F.when(F.col("page_id") % 5 != 0, F.concat(body, "html")).alias("html"))
+    longer = F.regexp_replace("html", "^(.*?)</div>", "$1 and more</div>")
+    twice = landed.filter("page_id % 7 = 0").select("page_id", "url", longer.alias("html"))
+    return with_page_content(entries, landed.unionByName(twice)).select("id", "url", "content")
+
+
+def strict_pages(spark, sf_dir):
+    """Pages that must all be there."""
+    landed = pages.landed_pages(_table(spark, sf_dir, "pages"), on_missing="fail")
+    return landed.select("url", F.length("html").alias("n_chars"))
+
+
+def source_addresses(spark, sf_dir):
+    kind = F.when(F.col("page_id") % 2 == 0, F.lit("video")).otherwise(F.lit("rss")).alias("source_type")
+    table = _table(spark, sf_dir, "pages").select(kind, F.col("url").alias("address"))
+    return feeds.landing_addresses(table, "https://feeds.example.com/videos.xml?channel_id=")
+
+
+SECTION = collect.Site(BASE, SITE)
+
+
+def _collected(spark, sf_dir):
+    """Feeds, channels and a section of articles, landed and collected. Of the articles listed, those
+    of every third page are known; some pages could not be fetched."""
+    rss = _landed(_rss_entries(spark, sf_dir).filter("source_type = 'rss'").drop("source_type"), scratch_path(spark, "rss"))
+    items = feeds.rss_items(spark, rss, AS_OF, 24)
+    channels = feeds.atom_items(spark, _atom_files(spark, sf_dir), AS_OF, 24)
+    number = F.col("page_id")
+    address = F.concat(F.lit("https://www.example.com/news/a-"), number.cast("string"))
+    head = F.concat(F.lit('<meta property="article:published_time" content="2024-01-03T1'), (number % 10).cast("string"), F.lit(':00:00Z">'))
+    table = _table(spark, sf_dir, "pages")
+    landed = table.select(address.alias("url"), F.when(number % 8 != 0, F.concat(head, "html")).alias("html"))
+    known = table.filter(number % 3 == 0).select(address.alias("url"))
+    articles = collect.site_articles(_listing_pages(spark, sf_dir), landed, SECTION, AS_OF, 24, collect.known_urls(known, SECTION))
+    article = F.concat(F.lit('<div class="article-body">Content: of '), F.substring_index("url", "/", -1), F.lit("</div>"))
+    bodies = items.filter(F.col("id").endswith("0")).select("url", article.alias("html"))
+    return collect.collect_batch(items, channels, views.snippets(spark, sf_dir), bodies, articles)
+
+
+def collect_batch(spark, sf_dir):
+    batch, _ = _collected(spark, sf_dir)
+    size = F.length(F.coalesce("content", F.lit(""))).alias("n_content")
+    return batch.select("source_type", "id", "title", "url", "published_date", size, F.length("transcript").alias("n_transcript"))
+
+
+def collect_counts(spark, sf_dir):
+    return _collected(spark, sf_dir)[1]
+
+
 # --- vectors, summaries, near duplicates -------------------------------------------------
 
 
@@ -463,6 +525,63 @@ def model_inputs(spark, sf_dir):
     )
 
 
+def kept_answers(spark, sf_dir):
+    """Answers of a model to the item titles, asked in two runs; the second finds the first's."""
+    path = scratch_path(spark, "answers")
+    titles = views.items(spark, sf_dir).select("id", "title")
+
+    def model(texts):
+        return texts.str.len().to_frame("size").assign(first=texts.str[:1])
+
+    remember.answers(titles.filter("id like '%1'"), "title", path, model, "size long, first string")
+    told = remember.answers(titles, "title", path, model, "size long, first string")
+    return told.select("id", "answer.size", "answer.first")
+
+
+def model_ranked(spark, sf_dir):
+    """Candidates of each profile in the order of a model that prefers what the score ranks last."""
+
+    def model(texts):
+        lists = [[item["id"] for item in json.loads(text)["items"]][::-1] for text in texts]
+        rows = [[dict(summary_id=i, relevance_score=1.0, rank=at + 1, reasoning="m") for at, i in enumerate(ids)] for ids in lists]
+        return pd.DataFrame({"scores": rows})
+
+    made = _stored_summaries(spark, sf_dir)
+    people = views.profiles(spark, sf_dir)
+    scores = model_rank.rank_by_model(made, people, model, scratch_path(spark, "answers"), AS_OF, candidates=20)
+    valid, _ = rank.check_scores(scores)
+    return rank.top_supplied(valid).select("profile_id", "summary_id", "rank")
+
+
+def profile_scan(spark, sf_dir):
+    """Profiles landed as JSON and read again."""
+    path = scratch_path(spark, "profiles")
+    views.profiles(spark, sf_dir).write.json(path)
+    return profiles.read_profiles(spark, path).select(
+        "profile_id", "name", F.array_join("teams", "|").alias("teams"), F.array_join("players", "|").alias("players"),
+        F.array_join("interests", "|").alias("interests"), "background",
+    )
+
+
+def stored_summaries(spark, sf_dir):
+    """Summaries appended in two runs to a table that was not there, and read by a window."""
+    path = scratch_path(spark, "stored")
+    store.create_table(spark, path)
+    made = embed.embed(_summaries(spark, sf_dir))
+    for part in ("rss", "page"):
+        store.append_summaries(made.filter(F.col("source_type") == part), path)
+    return store.read_summaries(spark, path, AS_OF, 24).select("id", "source_type", "source_id", "article_created_at")
+
+
+def stored_digests(spark, sf_dir):
+    """Digests of two days, those of the second written twice."""
+    path = scratch_path(spark, "digests")
+    rows = _table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("profile_id"), F.col("c_name").alias("body_text"))
+    for day, text in (("2024-01-03", "one"), ("2024-01-04", "two"), ("2024-01-04", "three")):
+        store.write_digests(rows.withColumn("body_text", F.concat("body_text", F.lit(text))).withColumn("run_date", F.lit(day).cast("date")), path)
+    return spark.read.parquet(path)
+
+
 def profile_texts(spark, sf_dir):
     empty = F.col("c_nationkey") == 0
     rows = _table(spark, sf_dir, "customer").select(
@@ -508,6 +627,22 @@ def stream_upsert(spark, sf_dir):
     return store.read_items(spark, path).select(*_ITEM_OUT)
 
 
+def stream_feeds(spark, sf_dir):
+    """Feeds landed in two steps and merged into the item table as they come; the entries with a
+    date that does not parse are rejects."""
+    landing, path = scratch_path(spark, "landing"), scratch_path(spark, "items")
+    rejects, progress = scratch_path(spark, "rejects"), scratch_path(spark, "progress")
+    entries = _rss_entries(spark, sf_dir).drop("source_type")
+    late = F.col("guid._VALUE").endswith("7")
+    broken = F.when(F.col("guid._VALUE").endswith("3"), F.lit("some day")).otherwise(F.col("pubDate"))
+    for part in (entries.filter(~late), entries.filter(late)):
+        _landed(part.withColumn("pubDate", broken), landing)
+        ingest.feed_stream(ingest.rss_stream(spark, landing), path, rejects, progress, AS_OF).awaitTermination()
+    taken = store.read_items(spark, path).select("id", "title", "published_date", F.lit(False).alias("rejected"))
+    refused = spark.read.parquet(rejects).select("id", F.lit(True).alias("rejected"))
+    return taken.unionByName(refused, allowMissingColumns=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "items_lookback": items_lookback,
     "lookback_strict": lookback_strict,
@@ -531,6 +666,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rss_items": rss_items,
     "atom_items": atom_items,
     "feed_page_content": feed_page_content,
+    "missing_pages": missing_pages,
+    "strict_pages": strict_pages,
+    "source_addresses": source_addresses,
+    "collect_batch": collect_batch,
+    "collect_counts": collect_counts,
     "vector_parse": vector_parse,
     "similar_earlier": similar_earlier,
     "dedup_survivors": dedup_survivors,
@@ -550,8 +690,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "supplied_scores": supplied_scores,
     "rejected_scores": rejected_scores,
     "model_inputs": model_inputs,
+    "kept_answers": kept_answers,
+    "model_ranked": model_ranked,
+    "profile_scan": profile_scan,
+    "stored_summaries": stored_summaries,
+    "stored_digests": stored_digests,
     "profile_texts": profile_texts,
     "run_funnel": run_funnel,
     "stream_first_seen": stream_first_seen,
     "stream_upsert": stream_upsert,
+    "stream_feeds": stream_feeds,
 }

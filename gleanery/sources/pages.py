@@ -50,7 +50,10 @@ def landed_pages(pages: DataFrame, on_missing: str = "skip") -> DataFrame:
 
 
 def page_fields(pages: DataFrame, rules: PageRules = PageRules()) -> DataFrame:
-    """Fields of each page (url, html), read in Arrow batches; the HTML itself is not kept."""
+    """Fields of each page (url, html), read in Arrow batches; the HTML itself is not kept.
+
+    A page without HTML could not be fetched and is skipped.
+    """
 
     def fields(url: str, html: str) -> dict:
         page = read_page(html, rules)
@@ -75,4 +78,4 @@ def page_fields(pages: DataFrame, rules: PageRules = PageRules()) -> DataFrame:
             rows = [fields(u, h) for u, h in zip(batch["url"], batch["html"])]
             yield pd.DataFrame(rows, columns=PAGE_FIELDS.names)
 
-    return pages.select("url", "html").mapInPandas(read, PAGE_FIELDS)
+    return landed_pages(pages).mapInPandas(read, PAGE_FIELDS)

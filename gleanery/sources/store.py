@@ -1,28 +1,32 @@
 """Stored tables as parquet folders: create, look-back scan, upsert and append.
 
-Items lie in one folder per publication day, below a folder per batch. A version of the
-table is a small file that says which batch holds each day. An upsert writes the days that
-it touches to a batch folder of its own and then adds one version: a run that dies before
-has changed nothing, and nothing is ever overwritten. A look-back scan lists and reads the
-days of its window only.
+Items lie in one folder per publication day. An upsert rewrites the days that it touches by
+Spark's dynamic partition overwrite; a look-back scan reads the days of its window only. Beside
+the items lies a key table, in folders by key hash: an entry tells a day under which a key has
+been stored. It is only ever appended to.
+
+With a table format that has row-level operations use ``upsert_into``, which leaves the merge
+and its commit to that format.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import json
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery import schemas
+from gleanery.operators.latest import latest_per_key
 from gleanery.operators.merge import last_in_batch, merge_items, upsert_counts
-from gleanery.session import as_of_time, cutoff, freeze_table
+from gleanery.session import as_of_time, cutoff, freeze_table, ntz
 
 DAY = "published_day"
-BATCH = "batch"
-NO_DAY = "__HIVE_DEFAULT_PARTITION__"  # the folder name of a missing day
+BUCKET = "key_bucket"
+BUCKETS = 64
+# Key hashes that are broadcast to the scan of the key table: at most 2 million, 16 MB.
+HASHES_SENT = 2_000_000
+_NO_DAY = "__HIVE_DEFAULT_PARTITION__"  # the folder name of a missing day
 
 
 def _folder(spark: SparkSession, path: str):
@@ -39,112 +43,106 @@ def create_table(spark: SparkSession, path: str) -> None:
     files.mkdirs(location)
 
 
-def _version(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
-    """Number of the newest version, and the batch that holds each day in it."""
-    files, folder = _folder(spark, f"{path}/versions")
-    if not files.exists(folder):
-        return 0, {}
-    names = [status.getPath().getName() for status in files.listStatus(folder)]
-    numbers = [int(name.removesuffix(".json")) for name in names if name.endswith(".json") and not name.startswith(".")]
-    if not numbers:
-        return 0, {}
-    files, location = _folder(spark, f"{path}/versions/{max(numbers):09d}.json")
-    stream = files.open(location)
-    try:
-        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-    return max(numbers), json.loads(text)
-
-
-def _commit_version(spark: SparkSession, path: str, number: int, days: dict[str, str]) -> None:
-    """Add one version. It is written aside and renamed, so readers see all of it or nothing."""
-    files, folder = _folder(spark, f"{path}/versions")
-    files.mkdirs(folder)
-    _, aside = _folder(spark, f"{path}/versions/.{uuid.uuid4().hex}")
-    out = files.create(aside, False)
-    out.write(bytearray(json.dumps(days, sort_keys=True).encode()))
-    out.close()
-    _, final = _folder(spark, f"{path}/versions/{number:09d}.json")
-    if files.exists(final) or not files.rename(aside, final):
-        files.delete(aside, False)
-        raise RuntimeError(f"another writer added version {number} of {path}")
-
-
-def _items_of(spark: SparkSession, path: str, days: dict[str, str]) -> DataFrame:
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in schemas.ITEMS.fields]
-    schema = ", ".join([*fields, f"{BATCH} string", f"{DAY} date"])
-    if not days:
-        return spark.createDataFrame([], schema).drop(BATCH)
-    folders = [f"{path}/data/{BATCH}={batch}/{DAY}={day}" for day, batch in sorted(days.items())]
-    return spark.read.schema(schema).option("basePath", f"{path}/data").parquet(*folders).drop(BATCH)
+def _schema(fields, **more: str) -> str:
+    return ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in fields], *[f"{n} {t}" for n, t in more.items()]])
+
+
+def _items(spark: SparkSession, path: str) -> DataFrame:
+    create_table(spark, f"{path}/items")
+    return spark.read.schema(_schema(schemas.ITEMS.fields, **{DAY: "date"})).parquet(f"{path}/items")
 
 
 def read_items(spark: SparkSession, path: str, as_of=None, hours: float | None = None) -> DataFrame:
     """Items, or those published at or after ``as_of - hours`` (no upper bound)."""
-    _, days = _version(spark, path)
-    if hours is None:
-        return _items_of(spark, path, days).drop(DAY)
-    start = as_of_time(as_of) - dt.timedelta(hours=hours)
-    window = {d: b for d, b in days.items() if d != NO_DAY and d >= start.date().isoformat()}
-    return _items_of(spark, path, window).filter(F.col("published_date") >= cutoff(start, 0)).drop(DAY)
+    items = _items(spark, path)
+    if hours is not None:
+        start = as_of_time(as_of) - dt.timedelta(hours=hours)
+        items = items.filter((F.col(DAY) >= F.lit(start.date())) & (F.col("published_date") >= cutoff(start, 0)))
+    return items.drop(DAY)
+
+
+def key_hash(keys: list[str] = schemas.ITEM_KEYS) -> Column:
+    return F.xxhash64(*keys)
+
+
+def _keys(spark: SparkSession, path: str) -> DataFrame:
+    create_table(spark, f"{path}/keys")
+    keys = [schemas.ITEMS[name] for name in schemas.ITEM_KEYS]
+    return spark.read.schema(_schema(keys, key_hash="long", stored_day="date", **{BUCKET: "int"})).parquet(f"{path}/keys")
+
+
+def stored_days(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
+    """(keys, stored_day) of the keys of ``batch`` that the table has held, by the key table.
+
+    The hashes of a batch of up to `HASHES_SENT` keys are sent to the scan, where they drop all
+    other entries, so the key table is not shuffled; a larger batch is joined by key.
+    """
+    keys = schemas.ITEM_KEYS
+    asked = batch.select(*keys).distinct()
+    hashes = asked.select(key_hash().alias("key_hash")).distinct()
+    entries = _keys(spark, path)
+    if asked.count() <= HASHES_SENT:
+        entries = entries.join(F.broadcast(hashes), "key_hash", "left_semi")
+    else:
+        entries = entries.join(hashes, "key_hash", "left_semi")
+    return entries.join(asked, keys, "left_semi").select(*keys, "stored_day").distinct()
 
 
 def upsert_items(spark: SparkSession, path: str, batch: DataFrame, as_of=None) -> DataFrame:
     """Merge ``batch`` (item columns and ``batch_pos``) into the table; returns the counts.
 
-    Keys are looked up in the whole table, but from two columns only; item texts are
-    read and written for the touched days. Applying a batch again, also after a run
-    that died half-way, gives the same table. Of two writers at once one fails.
+    Keys are looked up in the key table; item texts are read and written for the touched days.
+    A run that dies before its commit changes no item. One that dies within may leave days of
+    before beside new ones; applying the batch again gives the same table as an undisturbed run,
+    as does applying it twice. The table takes one writer at a time.
     """
     as_of = as_of_time(as_of)
-    create_table(spark, path)
     keys = schemas.ITEM_KEYS
     batch = freeze_table(batch.select(*schemas.ITEM_BATCH.names, "batch_pos"), "batch")
-    number, days = _version(spark, path)
-    found = _items_of(spark, path, days).select(*keys, DAY).join(batch.select(*keys), keys, "left_semi")
-    found = freeze_table(found, "found")
-    counts = upsert_counts(found.select(*keys).distinct(), batch)
-
-    last = last_in_batch(batch).withColumn(DAY, F.to_date("published_date"))
-    both = last.select(DAY).unionByName(found.select(DAY)).distinct().collect()  # one row per touched folder
-    touched = {NO_DAY if d[DAY] is None else d[DAY].isoformat() for d in both}
+    last = last_in_batch(batch)
+    placed = last.select(*keys, F.to_date("published_date").alias("stored_day"))
+    found = freeze_table(stored_days(spark, path, batch), "found")
+    both = placed.select("stored_day").unionByName(found.select("stored_day")).distinct().collect()
+    touched = {r["stored_day"] for r in both}  # one row per folder
     if not touched:
-        return counts
-    old = _items_of(spark, path, {d: b for d, b in days.items() if d in touched}).drop(DAY)
+        return upsert_counts(found.select(*keys).distinct(), batch)
+    items = _items(spark, path)
+    days = [day for day in touched if day is not None]
+    here = F.col(DAY).isin(days) if days else F.lit(False)
+    old = items.filter(here | F.col(DAY).isNull() if None in touched else here).drop(DAY)
+    # Of a key left in two days by a run that died, the first stored row counts.
+    old = freeze_table(latest_per_key(old, keys, [F.asc("created_at"), F.asc("published_date")]), "old")
+    known = old.select(*keys).join(found.select(*keys).distinct(), keys, "left_semi")
+    counts = freeze_table(upsert_counts(known, batch), "counts")
     merged = merge_items(old, batch, as_of).withColumn(DAY, F.to_date("published_date"))
-    name = uuid.uuid4().hex
-    written = f"{path}/data/{BATCH}={name}"
-    merged.hint("rebalance", DAY).sortWithinPartitions(DAY, "published_date").write.partitionBy(DAY).parquet(written)
-    files, folder = _folder(spark, written)
-    made = [status.getPath().getName().partition("=") for status in files.listStatus(folder) if status.isDirectory()]
-    # A touched day without rows is gone from the version.
-    kept = {d: b for d, b in days.items() if d not in touched}
-    _commit_version(spark, path, number + 1, kept | {day: name for column, _, day in made if column == DAY})
+    merged = freeze_table(merged.hint("rebalance", DAY).sortWithinPartitions(DAY, "published_date"), "merged")
+
+    # Entries first: one that tells of a day without the item does no harm.
+    fresh = placed.join(found, [*keys, "stored_day"], "left_anti").withColumn("key_hash", key_hash())
+    fresh = fresh.select(*keys, "key_hash", "stored_day", F.pmod("key_hash", F.lit(BUCKETS)).cast("int").alias(BUCKET))
+    fresh.repartition(BUCKET).write.mode("append").partitionBy(BUCKET).parquet(f"{path}/keys")
+    _replace_days(spark, merged, f"{path}/items", touched)
     return counts
 
 
-def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
-    """Delete all but the ``keep`` newest versions, and the folders that only they used.
+def _replace_days(spark: SparkSession, merged: DataFrame, path: str, touched: set[dt.date | None]) -> None:
+    """Put ``merged`` in place of its days; touched days that it leaves empty are dropped."""
+    filled = {r[DAY] for r in merged.select(DAY).distinct().collect()}
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
+    for day in touched - filled:
+        files, folder = _folder(spark, f"{path}/{DAY}={_NO_DAY if day is None else day.isoformat()}")
+        files.delete(folder, True)
+
+
+def upsert_into(batch: DataFrame, table: str, as_of=None) -> None:
+    """Merge ``batch`` into a catalog table whose format has row-level operations.
 
-    Not while a writer or a reader of a version that goes is at work.
+    The same rules as `merge_items`: the last of the batch wins, ``created_at`` is kept.
     """
-    number, _ = _version(spark, path)
-    files, folder = _folder(spark, f"{path}/versions")
-    used = set()
-    for version in range(max(1, number - keep + 1), number + 1):
-        text = spark.read.text(f"{path}/versions/{version:09d}.json", wholetext=True).first()[0]
-        used |= set(json.loads(text).items())
-    for status in files.listStatus(folder):
-        name = status.getPath().getName().removesuffix(".json")
-        if not name.isdigit() or int(name) <= number - keep:
-            files.delete(status.getPath(), False)
-    _, data = _folder(spark, f"{path}/data")
-    for batch in files.listStatus(data) if files.exists(data) else []:
-        name = batch.getPath().getName().partition("=")[2]
-        for day in files.listStatus(batch.getPath()):
-            if day.isDirectory() and (day.getPath().getName().partition("=")[2], name) not in used:
-                files.delete(day.getPath(), True)
+    new = last_in_batch(batch).select(*schemas.ITEM_BATCH.names, ntz(as_of).alias("created_at")).alias("new")
+    same = " and ".join(f"{table}.{key} <=> new.{key}" for key in schemas.ITEM_KEYS)
+    values = {name: F.col(f"new.{name}") for name in schemas.ITEM_VALUES}
+    new.mergeInto(table, F.expr(same)).whenMatched().update(values).whenNotMatched().insertAll().merge()
 
 
 def append_summaries(summaries: DataFrame, path: str) -> None:

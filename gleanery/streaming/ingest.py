@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gleanery import schemas
+from gleanery.session import cutoff
+from gleanery.sources.feeds import rss_rows
 from gleanery.sources.store import upsert_items
 
 
@@ -74,3 +76,50 @@ def upsert_stream(items: DataFrame, path: str, checkpoint: str, as_of=None) -> S
         .trigger(availableNow=True)
         .start()
     )
+
+
+# Holds the text of an entry that does not parse.
+CORRUPT = "_corrupt"
+
+
+def rss_stream(spark: SparkSession, path: str, done: str | None = None, files_per_batch: int | None = None) -> DataFrame:
+    """Entries of RSS feeds as they land under ``path``, malformed ones with their text in `CORRUPT`.
+
+    Spark reads a feed up to an entry that is no XML; that entry and what follows it in the file
+    come as one row with their text, to be mended and landed again.
+
+    With ``done``, a folder outside of ``path``, files are moved there once they are taken.
+    """
+    schema = StructType([*schemas.RSS_ENTRY.fields, StructField(CORRUPT, StringType())])
+    options = {"rowTag": "item", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    if done:
+        options |= {"cleanSource": "archive", "sourceArchiveDir": done}
+    entries = landed_stream(spark, path, schema, "xml", files_per_batch, **options)
+    return entries.select("*", F.col("_metadata.file_path").alias("feed_file"))
+
+
+def feed_stream(
+    entries: DataFrame, path: str, rejects: str, checkpoint: str, as_of=None, hours: float = 24, source_type: str = "rss"
+) -> StreamingQuery:
+    """Merge the feed entries landed so far into the item table at ``path``, then stop.
+
+    Entries that do not parse, or lack an id, a title, an address or a date, are written to
+    ``rejects`` with their feed; a batch that is retried replaces what it wrote. Of two entries
+    with one id the later published wins.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        rows = rss_rows(batch, CORRUPT).withColumn("source_type", F.lit(source_type))
+        whole = F.col(CORRUPT).isNull()
+        for name in ("id", "title", "url", "published_date"):
+            whole = whole & F.col(name).isNotNull()
+        bad = rows.filter(~whole).select("feed_file", "id", F.col(CORRUPT).alias("text"), F.lit(number).alias("batch"))
+        bad.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(rejects)
+        good = rows.filter(whole & (F.col("published_date") > cutoff(as_of, hours)))
+        good = good.withColumns({"content": F.lit(None).cast("string"), "transcript": F.lit(None).cast("string")})
+        position = F.struct("published_date", "title", "description")
+        upsert_items(batch.sparkSession, path, good.withColumn("batch_pos", position), as_of)
+
+    return (
+        entries.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )

@@ -23,6 +23,10 @@ def titles(spark, path, *args):
     return {(r["source_type"], r["id"]): (r["title"], r["created_at"].day) for r in store.read_items(spark, path, *args).collect()}
 
 
+def days(path):
+    return {name.partition("=")[2] for name in os.listdir(f"{path}/items") if name.startswith("published_day=")}
+
+
 def counts(df):
     return {r["source_type"]: (r["inserted"], r["updated"]) for r in df.collect()}
 
@@ -48,11 +52,11 @@ def test_a_changed_date_moves_the_row(spark, tmp_path):
     store.upsert_items(spark, path, batch(spark, ("rss", "a", "a", 1), ("rss", "b", "b", 2)), "2024-03-02")
     store.upsert_items(spark, path, batch(spark, ("rss", "a", "a2", 4)), "2024-03-04")
     assert titles(spark, path) == {("rss", "a"): ("a2", 2), ("rss", "b"): ("b", 2)}
-    assert set(store._version(spark, path)[1]) == {"2024-03-02", "2024-03-04"}
+    assert days(path) == {"2024-03-02", "2024-03-04"}  # the emptied day is gone
 
 
-@pytest.mark.parametrize("step", ["data", "switch"])
-def test_a_run_that_dies_changes_nothing(spark, tmp_path, monkeypatch, step):
+@pytest.mark.parametrize("step", ["merge_items", "_replace_days"])
+def test_a_run_that_dies_before_its_commit_changes_no_item(spark, tmp_path, monkeypatch, step):
     path = str(tmp_path / "items")
     store.upsert_items(spark, path, batch(spark, ("rss", "a", "a", 1), ("rss", "b", "b", 1)), "2024-03-02")
     before = titles(spark, path)
@@ -62,25 +66,27 @@ def test_a_run_that_dies_changes_nothing(spark, tmp_path, monkeypatch, step):
         raise OSError("stopped")
 
     with monkeypatch.context() as patch:
-        patch.setattr(store, "merge_items" if step == "data" else "_commit_version", dies)
+        patch.setattr(store, step, dies)
         with pytest.raises(OSError):
             store.upsert_items(spark, path, more, "2024-03-04")
     assert titles(spark, path) == before
-    store.upsert_items(spark, path, more, "2024-03-04")
-    after = {("rss", "a"): ("a2", 2), ("rss", "b"): ("b", 2), ("rss", "c"): ("c", 4)}
-    assert titles(spark, path) == after
-    store.upsert_items(spark, path, more, "2024-03-05")
-    store.drop_old_versions(spark, path, keep=1)
-    assert titles(spark, path) == after
-    held = sum(name.endswith(".parquet") for _, _, names in os.walk(path) for name in names)
-    assert held == 2 and len(os.listdir(f"{path}/versions")) <= 2
+    assert counts(store.upsert_items(spark, path, more, "2024-03-04")) == {"rss": (1, 1)}
+    assert titles(spark, path) == {("rss", "a"): ("a2", 2), ("rss", "b"): ("b", 2), ("rss", "c"): ("c", 4)}
 
 
-def test_two_writers(spark, tmp_path):
+def test_a_run_that_dies_within_its_commit_is_mended_by_the_next(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "items")
-    store._commit_version(spark, path, 1, {})
-    with pytest.raises(RuntimeError):
-        store._commit_version(spark, path, 1, {})
+    store.upsert_items(spark, path, batch(spark, ("rss", "a", "a", 1), ("rss", "b", "b", 2)), "2024-03-02")
+    more = batch(spark, ("rss", "a", "a2", 4))
+    replace = store._replace_days
+    with monkeypatch.context() as patch:
+        # The new day is there, the old one has not been dropped.
+        patch.setattr(store, "_replace_days", lambda spark, merged, where, touched: replace(spark, merged, where, set()))
+        store.upsert_items(spark, path, more, "2024-03-04")
+    assert store.read_items(spark, path).count() == 3
+    store.upsert_items(spark, path, more, "2024-03-05")
+    assert titles(spark, path) == {("rss", "a"): ("a2", 2), ("rss", "b"): ("b", 2)}
+    assert store.read_items(spark, path).count() == 2
 
 
 def test_lookback_prunes_days(spark, tmp_path):
@@ -88,7 +94,33 @@ def test_lookback_prunes_days(spark, tmp_path):
     store.upsert_items(spark, path, batch(spark, *[("rss", str(d), "t", d) for d in range(1, 9)]), "2024-03-08")
     recent = store.read_items(spark, path, "2024-03-08 12:00:00", 24)
     assert {r["id"] for r in recent.collect()} == {"7", "8"}
-    assert {name.split("published_day=")[1][:10] for name in recent.inputFiles()} == {"2024-03-07", "2024-03-08"}
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(published_day" in plan and "2024-03-07" in plan
+
+
+@pytest.mark.parametrize("sent", [2_000_000, 0])
+def test_keys_are_looked_up_where_they_lie(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(store, "HASHES_SENT", sent)
+    path = str(tmp_path / "items")
+    store.upsert_items(spark, path, batch(spark, *[("rss", str(n), "t", n % 28 + 1) for n in range(300)]), "2024-03-08")
+    asked = batch(spark, ("rss", "7", "x", 3), ("rss", "new", "x", 3), ("page", "7", "x", 3))
+    found = store.stored_days(spark, path, asked)
+    assert [tuple(r) for r in found.collect()] == [("rss", "7", dt.date(2024, 3, 8))]
+    lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    scan = next(at for at, line in enumerate(lines) if "FileScan" in line and "key_hash" in line)
+    if sent:
+        # What stands over the scan first is the filter by hashes, not a shuffle.
+        above = next(line for line in reversed(lines[:scan]) if "Join" in line or "Exchange hashpartitioning" in line)
+        assert "BroadcastHashJoin [key_hash" in above and "LeftSemi" in above
+
+
+def test_merge_into_is_left_to_the_table_format(spark, tmp_path):
+    # The formats at hand here have no row-level operations; Spark says so.
+    spark.sql("drop table if exists plain_items")
+    spark.sql(f"create table plain_items ({store._schema(schemas.ITEMS.fields)}) using parquet location '{tmp_path / 'plain'}'")
+    with pytest.raises(Exception, match="MERGE"):
+        store.upsert_into(batch(spark, ("rss", "a", "a", 1)), "plain_items", "2024-03-05")
+    spark.sql("drop table plain_items")
 
 
 def test_missing_table_is_empty(spark, tmp_path):
