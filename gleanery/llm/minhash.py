@@ -411,12 +411,8 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, 2 * rows).filter("v > u")
         large = large.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u <> v")
-        small = _with_least(large, 2 * rows).select(
-            F.explode(
-                F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-            ).alias("e")
-        )
-        small = small.select(F.col("e.u").alias("u"), F.col("e.v").alias("v"))
+        # (v, m) for each v but the smallest, whose row stands for u itself.
+        small = _with_least(large, 2 * rows).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges, now = _written(small.filter("u <> v").distinct())
         # Edges are stars with the smallest id in the middle once a round changes none.
         if now == before:
@@ -430,8 +426,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _shared_buckets(banded: DataFrame) -> DataFrame:
-    """(bucket, band, id, n, centres, salts) of rows (bucket, band, id) in buckets of several classes,
-    of those with the same classes the one of the lowest band.
+    """Rows (bucket, band, id, ...) of buckets of several classes, of those with the same classes the
+    one of the lowest band, with n, centres and salts of their bucket.
 
     Centres are the members with the smallest id in each of `CENTRES` classes of hashes; the
     buckets of a group of near copies mostly share them. ``salts`` tells over how many tasks the
@@ -512,21 +508,21 @@ def near_parts(signed: DataFrame, docs: DataFrame, width: int, id_column: str, t
             F.xxhash64(F.substring("signature", b * ROWS * 4 + 1, F.lit(ROWS * 4)), b).alias("bucket"), b.alias("band")
         ),
     )
-    banded = classes.select("id", F.explode(bands).alias("b")).select("b.bucket", "b.band", "id")
+    banded = classes.select("id", "n_shingles", F.explode(bands).alias("b")).select("b.bucket", "b.band", "id", "n_shingles")
     held = freeze_table(_shared_buckets(banded), "buckets")
     links, parts = _first_links(held, classes, full_sets)
 
     # Buckets whose members have not all met: those of different parts meet now.
-    left = held.filter(F.col("n") - F.size("centres") > 1).select("bucket", "band", "id")
-    known = classes.select("id", "n_shingles", "signature")
-    left = left.join(parts, "id", "left").select("bucket", "band", "id", F.coalesce("part", "id").alias("part"))
-    grouped = _blocked(left.join(known.drop("signature"), "id")).join(known.drop("n_shingles"), "id")
+    left = held.filter(F.col("n") - F.size("centres") > 1).select("bucket", "band", "id", "n_shingles")
+    left = left.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    known = classes.select("id", "signature")
+    grouped = _blocked(left).join(known, "id")
     keys = ["bucket", "block_a", "block_b", "band", "side", "id", "part"]
     schema = "bucket long, block_a int, block_b int, band int, side int, id long, part long"
     pruned = freeze_table(_by_group(grouped.select(*keys, "signature")).mapInArrow(_prune, schema), "survivors")
     if pruned.isEmpty():
         return parts
-    full = full_sets(pruned.select("id").distinct()).join(known.drop("n_shingles"), "id")
+    full = full_sets(pruned.select("id").distinct()).join(known, "id")
     last = _by_group(pruned.join(full, "id").select(*keys, "signature", "hashes")).mapInArrow(_verify, "a long, b long")
     return components(links.unionByName(last)).withColumnRenamed("component_id", "part")
 
