@@ -54,6 +54,7 @@ SALTS = 16  # tasks over which those of a centre are dealt that are verified on
 BLOCK = 512  # classes of one bucket in a block
 BLOCK_HASHES = 1 << 21  # hashes of full sets in a block, about
 PAIRS = 1 << 17  # pairs of a task judged at once
+IDS_SENT = 4_000_000  # ids that are broadcast to the texts, 32 MB
 SEED = 20240104
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -497,8 +498,12 @@ def near_parts(signed: DataFrame, docs: DataFrame, width: int, id_column: str, t
     texts = docs.select(F.col(id_column).cast("long").alias("id"), whole(text_column).alias("text"))
 
     def full_sets(wanted: DataFrame) -> DataFrame:
+        seen = Observation()
+        wanted = freeze_table(wanted.observe(seen, F.count(F.lit(1)).alias("n")), "wanted")
+        # Up to a bound the ids go to the texts, beyond it they meet by a shuffle.
+        asked = F.broadcast(wanted) if seen.get["n"] <= IDS_SENT else wanted
         # A repeated id has several texts; the one of its class is told by the key.
-        found = texts.join(wanted, "id", "left_semi").mapInArrow(lambda b: _full_sets(b, width), "id long, set_key binary, hashes binary")
+        found = texts.join(asked, "id", "left_semi").mapInArrow(lambda b: _full_sets(b, width), "id long, set_key binary, hashes binary")
         same = classes.select("id", "set_key").join(found, ["id", "set_key"]).dropDuplicates(["id", "set_key"])
         return freeze_table(same.select("id", "hashes"), "sets")
 
