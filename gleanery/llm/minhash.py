@@ -49,6 +49,7 @@ MISS = 1e-5
 CENTRES = 8  # members of a bucket that all others meet first
 FEW, LARGE = 2, 16  # so many centres serve buckets of more members than that
 STRONG = 110  # matches that make a link all but sure
+AT_ONCE = 256  # members compared with a centre at once
 MEMBERS = 4096  # members that meet a centre in one task, about
 SALTS = 16  # tasks over which those of a centre are dealt that are verified on full sets
 BLOCK = 512  # classes of one bucket in a block
@@ -318,11 +319,12 @@ def _meet(judge):
                     start += 1
                 if start == end or value is None:
                     continue
-                score = judge(value, batch.column(4).slice(start, end - start).to_pylist())
-                found = np.flatnonzero(score)
-                if len(found):
-                    columns = {"a": np.full(len(found), held[0]), "b": members[start:end][found], "score": score[found]}
-                    yield pa.RecordBatch.from_pydict(columns)
+                for at in range(start, end, AT_ONCE):
+                    score = judge(value, batch.column(4).slice(at, min(AT_ONCE, end - at)).to_pylist())
+                    found = np.flatnonzero(score)
+                    if len(found):
+                        columns = {"a": np.full(len(found), held[0]), "b": members[at + found], "score": score[found]}
+                        yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
