@@ -49,6 +49,7 @@ from pyspark.sql.types import StructType
 
 from gleanery.llm.token_files import opened
 from gleanery.llm.words import whole
+from gleanery.session import freeze_table
 
 FORMAT = "gleanery_warc"
 SCHEMA = (
@@ -64,7 +65,7 @@ FIELDS = {
     "date": "warc-date",
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "_archives.json"
+MANIFEST = "_archives"  # begin of the names of manifests, one for each commit
 ARCHIVE_BYTES = 32 << 20
 SPLIT_BYTES = 32 << 20
 HEADER_BYTES = 16 << 10
@@ -296,6 +297,17 @@ def _test(item: Filter):
     return None
 
 
+def manifests(store: pafs.FileSystem, root: str) -> list[str]:
+    """Paths of the manifests of all commits to a folder."""
+    listed = store.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return sorted(i.path for i in listed if i.is_file and i.base_name.startswith(MANIFEST) and i.extension == "json")
+
+
+def listed_in(store: pafs.FileSystem, path: str) -> list[tuple[str, int, int]]:
+    with store.open_input_file(path) as file:
+        return [tuple(entry) for entry in json.loads(file.read())]
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.folder = options["path"]
@@ -312,9 +324,9 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Archives]:
         store, root = opened(self.folder)
-        if store.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.File:
-            with store.open_input_file(f"{root}/{MANIFEST}") as file:
-                found = [(name, size) for name, size, _ in json.loads(file.read())]
+        told = manifests(store, root)
+        if told:
+            found = [(name, size) for path in told for name, size, _ in listed_in(store, path)]
         else:
             listed = store.get_file_info(pafs.FileSelector(root, recursive=True))
             found = [
@@ -359,8 +371,12 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict[str, str]):
+    """Archives count once a manifest names them. An append adds a manifest of its own; an
+    overwrite drops the earlier ones, and their archives, after its own is in place."""
+
+    def __init__(self, options: dict[str, str], overwrite: bool = False):
         self.folder = options["path"]
+        self.overwrite = overwrite
         self.archive_bytes = int(options.get("archive_bytes", ARCHIVE_BYTES))
         self.level = int(options.get("level", 1))
         self.date = options.get("date", DATE)
@@ -391,8 +407,17 @@ class WarcWriter(DataSourceArrowWriter):
         store, root = opened(self.folder)
         store.create_dir(root, recursive=True)
         files = sorted(f for m in messages if m is not None for f in m.files)
-        with store.open_output_stream(f"{root}/{MANIFEST}") as out:
+        earlier = manifests(store, root) if self.overwrite else []
+        path = f"{root}/{MANIFEST}-{uuid.uuid4().hex}"
+        # Under its name only when it is whole: a driver that dies here leaves nothing to read.
+        with store.open_output_stream(f"{path}.part") as out:
             out.write(json.dumps(files).encode())
+        store.move(f"{path}.part", f"{path}.json")
+        dropped = [name for old in earlier for name, _, _ in listed_in(store, old)]
+        for old in earlier:
+            store.delete_file(old)
+        for name in dropped:
+            store.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list[Written | None]) -> None:
         store, root = opened(self.folder)
@@ -416,7 +441,7 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -443,11 +468,17 @@ def plan_revisits(
     rows = pages.select(
         F.col(id_column).alias("_id"), F.col(url_column).alias("target_uri"), payload.alias("payload")
     ).withColumns({"_key": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
-    long_ = rows.filter(F.col("payload_bytes") >= least)
-    groups = long_.groupBy("_key").agg(F.max("_id").alias("_kept"), F.count("*").alias("_n")).filter("_n > 1")
-    # Keys are unique on the right; a payload with very many copies is split by adaptive joins.
-    joined = rows.join(groups.drop("_n"), "_key", "left")
-    again = F.col("_kept").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_kept"))
+    # Roles are found on ids and keys alone and are few rows without texts. They are written, so
+    # that their size is known: small ones are broadcast and no payload moves, else a payload
+    # moves once, dealt by key and id, so that the copies of one text are spread.
+    named = freeze_table(rows.filter(F.col("payload_bytes") >= least).select("_key", "_id"), "payload-keys")
+    groups = named.groupBy("_key").agg(F.max("_id").alias("_kept"), F.count("*").alias("_n")).filter("_n > 1")
+    copies = named.distinct().join(groups.drop("_n"), "_key").filter(~F.col("_id").eqNullSafe(F.col("_kept")))
+    copies = copies.filter("_kept is not null").withColumnsRenamed({"_key": "_of", "_id": "_copy"})
+    copies = freeze_table(copies, "revisits")
+    same = (F.col("_key") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_copy"))
+    joined = rows.join(copies, same, "left")
+    again = F.col("_kept").isNotNull()
 
     def urn(column):
         missing = F.concat(F.lit("none-"), "_key")

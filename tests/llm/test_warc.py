@@ -111,6 +111,34 @@ def test_archives_roll_and_stray_files_are_not_read(spark):
     assert warc.read_archives(spark, folder).count() == len(PAGES)
 
 
+def test_appends_add_up_and_overwrite_replaces(spark):
+    folder = scratch_path(spark, "warc-test")
+    rows = [(i, f"http://a.example/{i}", f"page {i}") for i in range(10)]
+    warc.write_pages(pages(spark, rows[:5]), folder)
+    warc.write_pages(pages(spark, rows[5:]), folder)
+    warc.write_pages(pages(spark, rows).limit(0), folder)
+    found = warc.read_archives(spark, folder).select("record_id").collect()
+    assert sorted(r.record_id for r in found) == [f"urn:gleanery:page:{i}" for i in range(10)]
+    warc.plan_revisits(pages(spark, rows[:2])).write.format(warc.FORMAT).mode("overwrite").save(folder)
+    assert warc.read_archives(spark, folder).count() == 2
+    store, root = warc.opened(folder)
+    left = store.get_file_info(warc.pafs.FileSelector(root))
+    assert sum(i.base_name.startswith(warc.MANIFEST) for i in left) == 1
+
+
+def test_failed_write_leaves_the_folder_as_it_was(spark):
+    folder = scratch_path(spark, "warc-test")
+    warc.write_pages(pages(spark), folder)
+    writer = warc.WarcWriter({"path": folder})
+    store, root = warc.opened(folder)
+    with store.open_output_stream(f"{root}/pages-x.warc.gz", compression=None) as out:
+        out.write(b"half")
+    with store.open_output_stream(f"{root}/{warc.MANIFEST}-x.part") as out:
+        out.write(b"[[")
+    writer.abort([warc.Written([("pages-x.warc.gz", 4, 1)]), None])
+    assert warc.read_archives(spark, folder).count() == len(PAGES)
+
+
 def test_empty_table(spark):
     folder = scratch_path(spark, "warc-test")
     warc.write_pages(pages(spark).limit(0), folder)
