@@ -21,6 +21,8 @@ third of all rows is spread over as many tasks as there are buckets.
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
 from collections.abc import Mapping, Sequence
 from fractions import Fraction
 
@@ -35,6 +37,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
 REPEATS = 2
 SEED = "mix-1"
+MADE = ["members", "size", "source_size", "target", "copies", "taken", "served"]
 BUCKET_DIGITS = 3  # hexadecimal digits of the digest that make a bucket: 4,096 a pattern
 # Patterns are combinations of sources; the flow is solved on the driver up to this many.
 MAX_PATTERNS = 100_000
@@ -65,7 +68,8 @@ def capped_targets(
         for i in full:
             out[i] = Fraction(caps[i])
         rest -= sum(caps[i] for i in full)
-        open_ = [i for i in open_ if i not in set(full)]
+        capped = set(full)
+        open_ = [i for i in open_ if i not in capped]
     return out
 
 
@@ -80,55 +84,94 @@ def cheapest_flow(
     """Words that each pattern sends to each source: {source: words} per pattern.
 
     ``patterns`` are (sources, words). Successive shortest augmenting paths over a bipartite
-    network; the k-th repetition of a pattern's words costs k * k a word.
+    network; the k-th repetition of a pattern's words costs k * k a word. Words handed from one
+    source to another cost nothing, so a path costs what its first word does, and a search ends
+    at the first source whose cheapest word costs no more than the cheapest of all.
     """
     n, m = len(patterns), len(quotas)
     used = [0] * n
     sent: list[dict[int, int]] = [{} for _ in range(n)]
     missing = list(quotas)
-    holders: list[list[int]] = [[] for _ in range(m)]
-    for p, (sources, words) in enumerate(patterns):
-        if words > 0:
-            for s in sources:
-                holders[s].append(p)
-
-    def step(p: int) -> tuple[int, int] | None:
-        """Cost of the pattern's next word, and how many words have that cost."""
-        words = patterns[p][1]
-        k = used[p] // words
-        return None if k >= repeats else ((k + 1) ** 2, (k + 1) * words - used[p])
+
+    def price(p: int) -> int | None:
+        k = used[p] // patterns[p][1]
+        return None if k >= repeats else (k + 1) ** 2
+
+    # The patterns of each source by the price of their next word. Prices only rise, so an entry
+    # that is out of date is put back at its new price when it comes up.
+    offers: list[list[tuple[int, int]]] = [[] for _ in range(m)]
+    for p, (members, words) in enumerate(patterns):
+        if words > 0 and repeats > 0:
+            for s in members:
+                offers[s].append((1, p))
+    for heap in offers:
+        heapq.heapify(heap)
+    # hands[a][b]: patterns of source a that send words to b, which could go to a instead.
+    hands: list[dict[int, dict[int, None]]] = [{} for _ in range(m)]
+
+    def send(p: int, s: int, words: int) -> None:
+        before = sent[p].get(s, 0)
+        sent[p][s] = before + words
+        if before == 0 and words > 0:
+            for other in patterns[p][0]:
+                if other != s:
+                    hands[other].setdefault(s, {})[p] = None
+        elif before + words == 0 and before > 0:
+            for other in patterns[p][0]:
+                if other != s:
+                    del hands[other][s][p]
+                    if not hands[other][s]:
+                        del hands[other][s]
+
+    def cheapest(s: int) -> tuple[int, int] | None:
+        heap = offers[s]
+        while heap:
+            now = price(heap[0][1])
+            if now is None:
+                heapq.heappop(heap)
+            elif now != heap[0][0]:
+                heapq.heapreplace(heap, (now, heap[0][1]))
+            else:
+                return heap[0]
+        return None
 
     for target in range(m):
         while missing[target] > 0:
+            tops = [cheapest(s) for s in range(m)]
+            floor = min((t[0] for t in tops if t), default=None)
+            if floor is None:
+                break  # all words are used up
             # Cheapest way to one more word at `target`: from a pattern of its own, or from a
             # pattern of another source that hands one of its words on.
-            came: dict[int, tuple[int, int] | None] = {target: None}
-            queue, best = [target], None
+            came: dict[int, int | None] = {target: None}
+            queue, best = deque([target]), None
             while queue:
-                at = queue.pop()
-                for p in holders[at]:
-                    price = step(p)
-                    if price and (best is None or (price[0], p) < best[0]):
-                        best = ((price[0], p), at, price[1])
-                    for other, words in sent[p].items():
-                        if words > 0 and other not in came:
-                            came[other] = (at, p)
-                            queue.append(other)
+                at = queue.popleft()
+                if tops[at] and (best is None or tops[at][0] < best[0][0]):
+                    best = (tops[at], at)
+                    if tops[at][0] <= floor:
+                        break
+                for other in hands[at]:
+                    if other not in came:
+                        came[other] = at
+                        queue.append(other)
             if best is None:
                 break  # nothing holds more words for this source
-            (_, p), at, most = best
+            (_, p), at = best
+            words = patterns[p][1]
             path, node = [], at
-            amount = min(most, missing[target])
+            amount = min((used[p] // words + 1) * words - used[p], missing[target])
             while came[node] is not None:
-                towards, through = came[node]
+                towards = came[node]
+                through = next(iter(hands[towards][node]))
                 path.append((node, towards, through))
                 amount = min(amount, sent[through][node])
                 node = towards
             used[p] += amount
-            sent[p][at] = sent[p].get(at, 0) + amount
+            send(p, at, amount)
             for source, towards, through in path:
-                sent[through][source] -= amount
-                sent[through][towards] = sent[through].get(towards, 0) + amount
+                send(through, source, -amount)
+                send(through, towards, amount)
             missing[target] -= amount
     return [{s: w for s, w in row.items() if w > 0} for row in sent]
 
@@ -199,18 +242,20 @@ def mix(
     missing or empty array counts as it. ``source_size`` and ``target`` are those of the first
     member. ``size`` is the number of words, 0 for a missing text; such documents are never
     taken. ``served`` names the source that each copy is counted to. Rows that repeat an id are
-    documents of their own.
+    documents of their own. The id and kept columns that are called like a column made here
+    come with underscores behind their names.
     """
     if memberships is None:
         memberships = F.array("source")
     clean = F.when(F.size(memberships) > 0, memberships)
     named = F.coalesce(clean, F.array(F.lit(None).cast("string")))
     members = F.array_sort(F.array_distinct(named))  # missing last
+    kept = {f"_keep{i}": name for i, name in enumerate(keep)}
     rows = docs.select(
         F.col(id_column).alias("_id"),
         members.alias("members"),
         word_count(whole(text_column)).alias("size"),
-        *keep,
+        *[F.col(name).alias(held_as) for held_as, name in kept.items()],
     ).withColumn("_digest", _order("_id", seed))
     rows = rows.withColumn("_bucket", F.substring("_digest", 1, BUCKET_DIGITS))
     # Row keys differ when a task runs again, so they are written before they are used.
@@ -325,7 +370,7 @@ def mix(
     out = out.join(F.broadcast(asked.drop("_to", "_given")), F.col("_first").eqNullSafe(F.col("first")))
     count = F.coalesce("_copies", F.lit(0))
     return out.select(
-        F.col("_id").alias(id_column),
+        F.col("_id").alias(unused(MADE, id_column)),
         "members",
         "size",
         "source_size",
@@ -333,7 +378,7 @@ def mix(
         count.alias("copies"),
         (F.col("size") * count).alias("taken"),
         F.coalesce(F.col("_served.serves"), F.expr("cast(array() as array<string>)")).alias("served"),
-        *keep,
+        *[F.col(held_as).alias(unused(MADE, name)) for held_as, name in kept.items()],
     )
 
 

@@ -1,3 +1,4 @@
+import random
 from fractions import Fraction
 
 from hypothesis import given, settings
@@ -142,3 +143,35 @@ def test_rows_without_an_id_or_with_the_same_one(spark):
     assert any(r.doc_id is None for r in got)
     texts = [r.text for r in got]
     assert max(map(texts.count, texts)) <= 2
+
+
+def test_kept_columns_called_like_inner_ones(spark):
+    names = ["size", "members", "target", "copies", "source_size", "taken", "served", "_id", "_row", "_keep0", "claim"]
+    docs = fixture(spark).select("doc_id", "text", "source", *[F.lit(f"x{i}").alias(n) for i, n in enumerate(names)])
+    got = mixing.mix(docs, keep=names)
+    want = [n + "_" if n in mixing.MADE else n for n in names]
+    assert got.columns == ["doc_id", *mixing.MADE, *want]
+    rows = got.collect()
+    assert len(rows) == len(TEXTS) and all(r[n] == f"x{i}" for r in rows for i, n in enumerate(want))
+    plain = mixing.mix(fixture(spark)).collect()
+    key = lambda r: (str(r.doc_id), r.copies)
+    assert [(r.doc_id, r.copies, r.size) for r in sorted(rows, key=key)] == [
+        (r.doc_id, r.copies, r.size) for r in sorted(plain, key=key)
+    ]
+    sized = mixing.mix(docs.drop("size").withColumnRenamed("doc_id", "size"), id_column="size")
+    assert sized.columns[0] == "size_" and sized.count() == len(TEXTS)
+
+
+def test_flow_over_many_patterns():
+    rng = random.Random(7)
+    patterns = list({tuple(sorted(rng.sample(range(30), rng.randint(1, 6)))) for _ in range(5000)})
+    patterns = [(p, rng.randint(1, 1000)) for p in patterns]
+    total = sum(n for _, n in patterns)
+    quotas = [total * 3 // 2 // 30] * 30
+    sent = mixing.cheapest_flow(patterns, quotas)
+    got = [sum(row.get(s, 0) for row in sent) for s in range(30)]
+    assert got == quotas
+    used = [sum(row.values()) for row in sent]
+    assert all(set(row) <= set(p) for (p, _), row in zip(patterns, sent))
+    # All quotas can be met, so no word is used a second time before every word is used once.
+    assert all(n <= u <= 2 * n for (_, n), u in zip(patterns, used))
