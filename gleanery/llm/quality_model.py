@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.once import bound
 from gleanery.llm.quality_rules import lines_with_words
-from gleanery.llm.words import ink_only, single_spaced, whole, word_count
+from gleanery.llm.words import ink_only, single_spaced, unused, whole, word_count
 from gleanery.session import freeze_table
 
 STATISTICS = (
@@ -44,7 +44,8 @@ _CONDITION = re.compile(r"^( *)(?:If|Else) \(feature (\d+) (<=|>) (\S+)\)$")
 
 def statistics(docs: DataFrame, keep: list[str], text_column: str = "text") -> DataFrame:
     """``keep`` and the statistics of every text; a missing one counts as empty. Rates are per
-    word, with one word for a text without any."""
+    word, with one word for a text without any. No column of ``keep`` may be called like a
+    statistic; `score_texts` takes any."""
     text = whole(text_column)
     spaced = F.btrim(single_spaced(text))
     again = F.regexp_count(spaced, F.lit(r"(?<![^ ])([^ ]++) (?=\1(?![^ ]))"))
@@ -158,8 +159,13 @@ def score_texts(
     text_column: str = "text",
 ) -> DataFrame:
     """``keep`` and ``score`` of every row of ``docs``. ``labels`` (id, label) has the rows to
-    learn from; missing labels and ids teach nothing, rows that repeat teach as often."""
-    rows = freeze_table(statistics(docs, list(dict.fromkeys([id_column, *keep])), text_column), "statistics")
-    known = labels.select(id_column, F.col(label_column).alias("label"))
-    model = fit(rows.join(known, id_column))
-    return rows.select(*keep, model.score().alias("score"))
+    learn from; missing labels and ids teach nothing, rows that repeat teach as often. A kept
+    column called ``score`` comes as ``score_``."""
+    held = {f"_keep{i}": name for i, name in enumerate(keep)}
+    named = docs.select(
+        F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), *[F.col(c).alias(h) for h, c in held.items()]
+    )
+    rows = freeze_table(statistics(named, ["_id", *held], "_text"), "statistics")
+    known = labels.select(F.col(id_column).alias("_id"), F.col(label_column).alias("label"))
+    model = fit(rows.join(known, "_id"))
+    return rows.select(*[F.col(h).alias(unused(["score"], c)) for h, c in held.items()], model.score().alias("score"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleanery.llm.word_table import WordTable, letters_apart
+from gleanery.llm.word_table import WordTable, letters_apart, words_apart
 from gleanery.llm.words import whole
 
 MAGIC = b"GLTOKEN1"
@@ -88,19 +88,21 @@ class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     ``by_word`` is for tokenizers that drop white space before they split: they encode a text
-    as they do its words, and words met before come from a table of bounded size.
+    as they do its words, and words met before come from a table of bounded size. It is read
+    from the tokenizer's file where it is not given; other tokenizers get whole texts.
     """
 
-    def __init__(self, path: str, by_word: bool):
+    def __init__(self, path: str, by_word: bool | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.no_padding()
         self.model.no_truncation()
-        self.by_word = by_word
+        spec = json.loads(self.model.to_str())
+        self.by_word = words_apart(spec) if by_word is None else by_word
         self.dtype = np.dtype("<u2") if self.model.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words = WordTable(self._joined, letters_apart(json.loads(self.model.to_str())))
+        self.words = WordTable(self._joined, letters_apart(spec))
 
     def _plain(self, texts: Sequence[str]) -> list[bytes]:
         coded = self.model.encode_batch_fast(texts, add_special_tokens=False)
@@ -125,7 +127,7 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, by_word: bool) -> Encoder:
+def encoder(path: str, by_word: bool | None) -> Encoder:
     return Encoder(path, by_word)
 
 
@@ -133,7 +135,7 @@ def encoder(path: str, by_word: bool) -> Encoder:
 
 
 def _write_part(
-    batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int | None, by_word: bool
+    batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int | None, by_word: bool | None
 ) -> Iterator[pa.RecordBatch]:
     batch = next(batches, None)
     if batch is None:
@@ -174,7 +176,7 @@ def write_tokens(
     tokenizer_path: str,
     end_id: int | None = END_ID,
     files: int | None = None,
-    by_word: bool = True,
+    by_word: bool | None = None,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:

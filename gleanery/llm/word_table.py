@@ -34,6 +34,29 @@ def letters_apart(spec: dict) -> bool:
     )
 
 
+# What a splitter's pattern may consist of if no match is to hold white space.
+WORD_PARTS = {r"[\p{L}]+", r"[\p{N}]", r"[\p{N}]+", r"[^\s\p{L}\p{N}]+"}
+PLAIN_STEPS = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase"}
+
+
+def words_apart(spec: dict) -> bool:
+    """Whether a tokenizer file drops white space before it splits, as far as its settings show
+    it: then a text's ids are those of its words, one after the other."""
+    normalizer, splitter = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
+    steps = normalizer.get("normalizers", [normalizer]) if normalizer else []
+    blank = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    first = splitter.get("pretokenizers", [splitter])[0]
+    if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert"):
+        return False
+    parts = first["pattern"].get("Regex", " ").split("|")
+    added = [token["content"] for token in spec.get("added_tokens") or []]
+    return (
+        all(s.get("type") in PLAIN_STEPS or s == blank for s in steps)
+        and all(p in WORD_PARTS or p.lstrip("'").isalnum() for p in parts)
+        and not any(regex.search(r"\s", content) for content in added)
+    )
+
+
 def core_and_mark(word: str) -> tuple[str, str]:
     """A plain word in lower case and the one mark behind it, if that is all there is."""
     body, mark = (word[:-1], word[-1]) if word[-1] in MARKS else (word, "")

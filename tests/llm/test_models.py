@@ -103,13 +103,67 @@ def test_rules_of_printed_trees():
 @pytest.mark.parametrize("labels,lowest,highest", [([], 0.5, 0.5), ([(1, 1), (4, 1)], 0.5, 1.0), ([(1, None)], 0.5, 0.5)])
 def test_scores_without_both_labels(spark, labels, lowest, highest):
     known = spark.createDataFrame(labels, "doc_id long, quality int")
-    docs = fixture(spark).drop("words")
+    docs = fixture(spark)
     rows = quality_model.score_texts(docs, known, ["doc_id"]).collect()
     assert len(rows) == len(TEXTS) and len({r.score for r in rows}) == 1
     assert lowest <= rows[0].score <= highest
     assert quality_model.score_texts(docs.limit(0), known, ["doc_id"]).collect() == []
 
 
+def test_kept_columns_called_like_inner_ones(spark):
+    names = [*quality_model.STATISTICS, "label", "_id", "_keep0", "_text", "features", "score"]
+    docs = fixture(spark).select("doc_id", "text", *[F.lit(f"x{i}").alias(n) for i, n in enumerate(names)])
+    known = spark.createDataFrame([(1, 1), (6, 0), (9, 0), (4, 1)], "doc_id long, quality int")
+    got = quality_model.score_texts(docs, known, names)
+    assert got.columns == [*names[:-1], "score_", "score"]
+    rows = got.collect()
+    assert len(rows) == len(TEXTS) and all(r[i] == f"x{i}" for r in rows for i in range(len(names)))
+
+
+def plain_score(ensemble, row):
+    """A fitted ensemble applied rule by rule."""
+    total = ensemble.intercept
+    for rule, weight in ensemble.weighted:
+        total += weight * all(above < row[name] <= upto for name, above, upto in rule.bounds)
+    return 1 / (1 + math.exp(-total))
+
+
+def test_every_score_equals_the_rules_applied_one_by_one(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(fixture(spark).select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text"))
+    labels = spark.read.parquet(f"{small}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    rows = quality_model.statistics(docs, ["doc_id"])
+    ensemble = quality_model.fit(rows.join(labels, "doc_id"))
+    assert len(ensemble.weighted) > 3
+    scored = rows.select("*", ensemble.score().alias("score")).collect()
+    assert len(scored) == 200 + len(TEXTS)
+    for r in scored:
+        assert r.score == pytest.approx(plain_score(ensemble, r.asDict()), abs=1e-9)
+
+
+def test_every_prediction_equals_the_plain_chain(spark, small):
+    """Whole texts of the table, word by word: forward and backward sums in plain Python."""
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    others = fixture(spark).filter("doc_id < 9 or doc_id = 14").select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text")
+    docs = table.select("doc_id", "text").unionByName(others)
+    model = lang_id.learned_from(table.filter("lang is not null"))
+    places = range(len(model.labels))
+    rows = lang_id.label_texts(docs.withColumn("id", F.lit(1)), model).join(docs, "doc_id").collect()
+    for r in rows:
+        words = [lang_id.core(w) for w in lang_id.pieces(r.text or "") if lang_id.has_letter(w)]
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        scores, move = model.emissions(words).astype(float), model.transitions.astype(float)
+        fore, back = [scores[0]], [np.zeros(len(places))]
+        for i in range(1, len(words)):
+            fore.append(scores[i] + [np.logaddexp.reduce(fore[-1] + move[:, b]) for b in places])
+            back.insert(0, np.array([np.logaddexp.reduce(move[a] + scores[-i] + back[0]) for a in places]))
+        shares = np.exp(np.array(fore) + back - np.logaddexp.reduce(fore[-1])).mean(axis=0)
+        assert r.score == pytest.approx(shares.max(), abs=2e-3)
+        assert shares[model.labels.index(r.lang_pred)] >= shares.max() - 2e-3
+
+
 def test_statistics_of_small_texts(spark):
     rows = {r.doc_id: r for r in quality_model.statistics(fixture(spark).drop("words"), ["doc_id"]).collect()}
     assert rows[5].words == 0 and rows[5].symbols == 0

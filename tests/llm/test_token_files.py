@@ -60,3 +60,14 @@ def test_encoding_by_word_equals_whole_texts():
     one, other = T.Encoder(TOKENIZER, True), T.Encoder(TOKENIZER, False)
     texts = [t or "" for _, t, _, _ in TEXTS] + ["a\x1cb c", "x<|endoftext|>y", "é.", "don't,", " 　 "]
     assert one.encode(texts) == other.encode(texts)
+
+
+def test_files_tell_whether_words_can_be_encoded_apart(spark):
+    byte_level = TOKENIZER.replace("word_bpe_49k", "byte_bpe_50k")
+    assert T.Encoder(TOKENIZER).by_word and not T.Encoder(byte_level).by_word
+    folder = scratch_path(spark, "tokens-test")
+    texts = [(1, "ab ab"), (2, " x\n\n y"), (3, None)]
+    T.write_tokens(spark.createDataFrame(texts, "doc_id long, text string"), folder, byte_level, end_id=None)
+    library = Tokenizer.from_file(byte_level)
+    got = {r.doc_id: np.frombuffer(r.token_ids, "<u4").tolist() for r in T.read_tokens(spark, folder).collect()}
+    assert got == {i: library.encode(t or "", add_special_tokens=False).ids for i, t in texts}
