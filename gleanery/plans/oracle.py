@@ -386,6 +386,9 @@ ORACLE: dict[str, str] = {
             doc_id % 10 = 3 as broken from items)
         select id, title, published_date, false as rejected from f where not broken and published_date > {_START}
         union all select id, null, null, true from f where broken""",
+    "stream_late": """with b as (select max(ts) - interval 24 hour as bound from events where extract(minute from ts) < 30)
+        select event_id, ts, false as late from events, b where extract(minute from ts) < 30 or ts >= bound
+        union all select event_id, ts, true from events, b where ts < bound""",
     "stream_first_seen": "select event_id, ts, user_id, event_type, value from events",
     "stream_upsert": f"with {_MERGED} select * from merged",
 }

@@ -615,6 +615,21 @@ def stream_first_seen(spark, sf_dir):
     return spark.read.schema(events.schema).parquet(out)
 
 
+def stream_late(spark, sf_dir):
+    """Events of the first half of each hour, then all events: repeated ones are kept once, those
+    too far behind come as late."""
+    landing, out, late = (scratch_path(spark, name) for name in ("landing", "seen", "late"))
+    progress = scratch_path(spark, "progress")
+    events = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    for part in (events.filter(F.minute("ts") < 30), events):
+        part.write.mode("append").parquet(landing)
+        stream = ingest.landed_stream(spark, landing, events.schema)
+        ingest.first_seen_stream(stream, ["event_id"], "ts", out, late, progress).awaitTermination()
+    kept, behind = spark.read.parquet(out), spark.read.schema(events.schema).parquet(late)
+    rows = kept.select("event_id", "ts", F.lit(False).alias("late"))
+    return rows.unionByName(behind.select("event_id", "ts", F.lit(True).alias("late")))
+
+
 def stream_upsert(spark, sf_dir):
     """Items, then the batch, landed as files and merged into the item table."""
     landing, path = scratch_path(spark, "landing"), scratch_path(spark, "items")
@@ -698,6 +713,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_texts": profile_texts,
     "run_funnel": run_funnel,
     "stream_first_seen": stream_first_seen,
+    "stream_late": stream_late,
     "stream_upsert": stream_upsert,
     "stream_feeds": stream_feeds,
 }

@@ -6,12 +6,17 @@ from the zone-less column keeps its meaning.
 
 from __future__ import annotations
 
+from datetime import timedelta
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from gleanery import schemas
+from gleanery.operators.latest import first_per_key
 from gleanery.session import cutoff
 from gleanery.sources.feeds import rss_rows
 from gleanery.sources.store import upsert_items
@@ -47,6 +52,54 @@ def first_seen(
     )
 
 
+def first_seen_stream(
+    rows: DataFrame, keys: list[str], event_time: str, path: str, late: str, checkpoint: str, late_hours: int = 24
+) -> StreamingQuery:
+    """As `first_seen`, with rows that come too late kept apart in ``late`` instead of dropped;
+    takes everything landed so far, then stops. Both tables have a column ``batch``.
+
+    A row is late if its time is more than ``late_hours`` before the newest one kept in earlier
+    batches. Of the others the first of each key is kept, unless a row with that key and a time
+    inside those hours is kept already; a missing time is never late, missing keys are equal.
+    A batch reads the kept keys of the last ``late_hours`` and the newest time of the batch
+    before it. A batch that is retried replaces what it wrote.
+    """
+    spark = rows.sparkSession
+    newest_path = f"{checkpoint}-newest"
+    kept_schema = StructType([*rows.schema.fields, StructField("batch", LongType())])
+    newest_schema = StructType([StructField("newest", rows.schema[event_time].dataType), StructField("batch", LongType())])
+    time = F.col(event_time)
+
+    def put(df: DataFrame, number: int, folder: str) -> None:
+        writer = df.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(folder)
+
+    def take(batch: DataFrame, number: int) -> None:
+        if number == 0:
+            known, bound = batch.limit(0).select(keys), None
+            newest = None
+        else:
+            before = spark.read.schema(newest_schema).parquet(newest_path).filter(F.col("batch") == number - 1)
+            newest = before.first()["newest"]
+            bound = None if newest is None else newest - timedelta(hours=late_hours)
+            known = spark.read.schema(kept_schema).parquet(path).filter(F.col("batch") < number)
+            if bound is not None:
+                known = known.filter((time >= F.lit(bound)) | time.isNull())
+            known = known.select(keys)
+        is_late = F.lit(False) if bound is None else F.coalesce(time < F.lit(bound), F.lit(False))
+        put(batch.filter(is_late), number, late)
+        order = [F.asc_nulls_last(event_time), F.asc(F.xxhash64(*batch.columns))]
+        fresh = first_per_key(batch.filter(~is_late), keys, order)
+        held = known.distinct().toDF(*[f"_known{i}" for i in range(len(keys))])
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_known{i}")) for i, k in enumerate(keys)])
+        put(fresh.join(held, same, "left_anti"), number, path)
+        now = spark.read.schema(kept_schema).parquet(path).filter(F.col("batch") == number)
+        latest = F.greatest(F.max(time), F.lit(newest).cast(newest_schema["newest"].dataType))
+        put(now.agg(latest.alias("newest")), number, newest_path)
+
+    return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def append_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append everything landed so far to the table at ``path``, then stop."""
     return (
