@@ -20,7 +20,7 @@ from gleanery.llm.words import single_spaced, whole
 from gleanery.session import freeze_table
 
 LEAST, MOST = 512, 4096
-SALTS = 32  # tasks that a group of equal texts is looked up from
+SALTS = 32  # most tasks that a group of equal texts is looked up from
 CUT = rf"(?s).{{{LEAST},{MOST - 2}}}?[.!?;:] |.{{1,{MOST}}}"
 
 
@@ -80,12 +80,17 @@ def exact_groups(
     rows = spaced.select("_id", chunks(F.col("_text"), cut).alias("chunks"), F.sha2("_text", 256).alias("text_sha256"))
     recipes = with_recipes(rows, freeze_table(clashing_digests(rows, digest), "clashing"), digest)
     recipes = freeze_table(recipes, "recipes")
-    groups = recipes.groupBy("recipe").agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
-    # Only groups of two or more are looked up, each from `SALTS` tasks: a group with a third
-    # of all rows is not one task, and rows alone in their group meet nothing.
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    several = groups.filter("group_size > 1").select("*", salts)
     salted = recipes.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+    groups = salted.groupBy("recipe").agg(
+        F.min("_id").alias("keep_id"),
+        F.count("*").alias("group_size"),
+        F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("_salts"),
+    )
+    # Only groups of two or more are looked up, each from the tasks that its rows are dealt to:
+    # a group with a third of all rows is not one task, a pair is there twice at most, and rows
+    # alone in their group meet nothing.
+    asked = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit("_salts", s) == 1)
+    several = groups.filter("group_size > 1").select("recipe", "keep_id", "group_size", F.explode(asked).alias("_salt"))
     joined = salted.join(several, ["recipe", "_salt"], "left").withColumns(
         {"keep_id": F.coalesce("keep_id", "_id"), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))}
     )

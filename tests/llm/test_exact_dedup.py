@@ -48,3 +48,17 @@ def test_dropping_copies(spark):
     # 2 and 3 equal 1, 6 equals 5; the repeated row 12 stays twice; the row without id stays.
     assert ids == sorted(["1", "4", "5", "7", "8", "9", "None", "11", "12", "12", "13", "14"])
     assert exact_dedup.exact_groups(docs.limit(0)).collect() == []
+
+
+def test_megabytes_without_white_space(spark):
+    long_ = "xy" * 1_500_000
+    rows = [(1, long_, "en", "a"), (2, long_ + "z", "en", "a"), (3, long_, "en", "b"), (4, " " + long_, "en", "b")]
+    got = exact_dedup.exact_groups(fixture(spark, rows)).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute_force(rows)
+
+
+def test_a_hot_group_and_pairs(spark):
+    # One group in every salt, pairs, and rows alone.
+    rows = [(i, "hot text" if i % 3 == 0 else f"pair {i // 6}" if i % 3 == 1 else f"alone {i}", "en", "a") for i in range(600)]
+    got = exact_dedup.exact_groups(fixture(spark, rows)).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute_force(rows)

@@ -50,3 +50,29 @@ def test_filter_and_empty_table(spark):
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in Q.quality_columns(docs).collect() if r.kept}
     assert Q.quality_columns(docs.limit(0)).collect() == []
+
+
+def test_dear_rule_comes_last(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    text = F.col("text")
+    burnt = F.aggregate(F.sequence(F.lit(1), F.lit(400)), F.lit(0), lambda s, x: s + F.length(F.sha2(F.concat(text, x.cast("string")), 512)))
+    rules = [Q.Rule("dear", burnt > 0), Q.Rule("cheap", F.length(text) > 0), Q.Rule("idle", F.length(text) < 0)]
+    report = Q.cascade_report(docs, rules, rows=10_000).orderBy("place").collect()
+    assert [r.rule for r in report] == ["cheap", "dear", "idle"]
+    assert [(r.rejected, r.sampled, r.selectivity) for r in report] == [(400, 400, 1.0), (400, 400, 1.0), (0, 400, 0.0)]
+    assert report[1].seconds > report[0].seconds
+
+
+def test_sample_follows_the_rows(spark):
+    docs = spark.range(0, 20_000, numPartitions=7).selectExpr("id AS doc_id", "'a' AS text")
+    assert 1700 < Q.sample_of(docs, "text").count() < 2300
+    assert Q.sample_of(docs.limit(0), "text").count() == 0
+
+
+def test_megabytes_without_white_space(spark):
+    long_ = "xy" * 1_500_000
+    docs = fixture(spark, [(1, long_, "en", "a"), (2, long_ + "z", "en", "a"), (3, "w " * 400_000, "en", "a")])
+    got = {r.doc_id: r for r in Q.quality_columns(docs).collect()}
+    for i, text in ((1, long_), (2, long_ + "z")):
+        assert (got[i].n_words, got[i].word_chars, got[i].n_repeat_words, got[i].kept) == (1, len(text), 0, False)
+    assert (got[3].n_words, got[3].n_repeat_words, got[3].base_failed) == (400_000, 400_000, True)
