@@ -13,18 +13,18 @@ All labelled rows are used; both fits are distributed.
 from __future__ import annotations
 
 import math
-import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions.once import bound
 from gleanery.llm.quality_rules import lines_with_words
 from gleanery.llm.words import ink_only, single_spaced, unused, whole, word_count
-from gleanery.session import freeze_table
+from gleanery.session import freeze_table, scratch_path
 
 STATISTICS = (
     "words",
@@ -39,7 +39,6 @@ STATISTICS = (
 )
 TREES, DEPTH, SEED = 12, 4, 20240104
 PENALTY = 1e-3
-_CONDITION = re.compile(r"^( *)(?:If|Else) \(feature (\d+) (<=|>) (\S+)\)$")
 
 
 def statistics(docs: DataFrame, keep: list[str], text_column: str = "text") -> DataFrame:
@@ -88,27 +87,36 @@ class Rule:
         return " and ".join(f"{above:g} < {name} <= {upto:g}" for name, above, upto in self.bounds)
 
 
-def tree_rules(printed: str, names: tuple[str, ...] = STATISTICS) -> list[Rule]:
-    """The rules of all paths in a forest's printed form, each once, in a fixed order."""
-    found: dict[Rule, None] = {}
-    path: list[tuple[int, str, str, float]] = []
-    for line in printed.splitlines():
-        match = _CONDITION.match(line)
-        if match is None:
-            if line.lstrip().startswith("Tree "):
-                path = []
+def forest_nodes(forest: RandomForestClassificationModel, spark: SparkSession) -> DataFrame:
+    """``tree, node, low, high, feature, threshold`` of a forest, as the model is saved: up to the
+    threshold the child ``low`` follows, beyond it ``high``. Both are negative at a leaf."""
+    path = scratch_path(spark, "forest")
+    forest.save(path)
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"),
+        F.col("nodeData.id").alias("node"),
+        F.col("nodeData.leftChild").alias("low"),
+        F.col("nodeData.rightChild").alias("high"),
+        F.col("nodeData.split.featureIndex").alias("feature"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
+    )
+
+
+def tree_rules(nodes: Iterable[tuple[int, int, int, int, int, float]], names: tuple[str, ...] = STATISTICS) -> list[Rule]:
+    """The rules of all paths of a forest's nodes, each once, in a fixed order."""
+    by_key = {(tree, node): split for tree, node, *split in nodes}
+    found: set[Rule] = set()
+    pending = [(key, {}) for key in by_key if key[1] == 0]
+    while pending:
+        (tree, node), bounds = pending.pop()
+        if bounds:
+            found.add(Rule(tuple((n, *bounds[n]) for n in sorted(bounds))))
+        low, high, feature, threshold = by_key[tree, node]
+        if low < 0:
             continue
-        depth = len(match[1])
-        path = [p for p in path if p[0] < depth]
-        path.append((depth, names[int(match[2])], match[3], float(match[4])))
-        bounds: dict[str, list[float]] = {}
-        for _, name, sign, value in path:
-            low_high = bounds.setdefault(name, [-math.inf, math.inf])
-            if sign == ">":
-                low_high[0] = max(low_high[0], value)
-            else:
-                low_high[1] = min(low_high[1], value)
-        found[Rule(tuple((n, *bounds[n]) for n in sorted(bounds)))] = None
+        above, upto = bounds.get(names[feature], (-math.inf, math.inf))
+        pending.append(((tree, low), {**bounds, names[feature]: (above, min(upto, threshold))}))
+        pending.append(((tree, high), {**bounds, names[feature]: (max(above, threshold), upto)}))
     return sorted(found, key=lambda r: r.bounds)
 
 
@@ -138,7 +146,8 @@ def fit(labelled: DataFrame, label: str = "label", trees: int = TREES, depth: in
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, seed=SEED, subsamplingRate=0.7, featureSubsetStrategy="onethird"
     ).fit(vectors)
-    rules = tree_rules(forest.toDebugString)
+    # At most `trees` times 2 ** (depth + 1) nodes.
+    rules = tree_rules(tuple(n) for n in forest_nodes(forest, labelled.sparkSession).collect())
     if not rules:
         return Ensemble(math.log(ones / (rows - ones)))
     flags = labelled.select("label", *[r.column().cast("double").alias(f"r{i}") for i, r in enumerate(rules)])

@@ -2,9 +2,12 @@
 
 import itertools
 import math
+import re
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from gleanery.llm import lang_id, quality_model, queries
@@ -74,23 +77,19 @@ def test_held_out_language(spark, small):
     assert 20 < len(held) < 80 and np.mean(held) > 0.95
 
 
-def test_rules_of_printed_trees():
-    printed = """RandomForestClassificationModel
-  Tree 0 (weight 1.0):
-    If (feature 1 <= 0.5)
-     If (feature 0 <= 10.0)
-      Predict: 0.0
-     Else (feature 0 > 10.0)
-      Predict: 1.0
-    Else (feature 1 > 0.5)
-     Predict: 0.0
-  Tree 1 (weight 1.0):
-    If (feature 1 <= 0.5)
-     Predict: 1.0
-    Else (feature 1 > 0.5)
-     Predict: 0.0
-"""
-    rules = quality_model.tree_rules(printed)
+def test_rules_of_trees():
+    nodes = [
+        (0, 0, 1, 4, 1, 0.5),
+        (0, 1, 2, 3, 0, 10.0),
+        (0, 2, -1, -1, -1, None),
+        (0, 3, -1, -1, -1, None),
+        (0, 4, -1, -1, -1, None),
+        (1, 0, 1, 2, 1, 0.5),
+        (1, 1, -1, -1, -1, None),
+        (1, 2, -1, -1, -1, None),
+        (2, 0, -1, -1, -1, None),
+    ]
+    rules = quality_model.tree_rules(nodes)
     inf = math.inf
     assert {r.bounds for r in rules} == {
         (("symbols", -inf, 0.5),),
@@ -100,6 +99,22 @@ def test_rules_of_printed_trees():
     }
 
 
+def test_nodes_are_those_of_the_forest(spark):
+    rows = spark.range(400).selectExpr(
+        "id % 7 + 0.123456789 AS a", "CAST(id % 11 AS double) AS b", "CAST(id % 7 > 3 AND id % 11 < 6 AS double) AS label"
+    )
+    vectors = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+    forest = RandomForestClassifier(numTrees=3, maxDepth=3, seed=1).fit(vectors)
+    nodes = [tuple(n) for n in quality_model.forest_nodes(forest, spark).collect()]
+    assert len(nodes) == forest.totalNumNodes
+    # Every threshold of the model, once per tree and split.
+    stated = re.findall(r"If \(feature (\d+) <= (\S+)\)", forest.toDebugString)
+    assert sorted((n[4], n[5]) for n in nodes if n[2] >= 0) == sorted((int(f), float(t)) for f, t in stated)
+    names = ("a", "b")
+    paths = quality_model.tree_rules(nodes, names)
+    assert len(paths) == len(set(paths)) and all(low < high for r in paths for _, low, high in r.bounds)
+
+
 @pytest.mark.parametrize("labels,lowest,highest", [([], 0.5, 0.5), ([(1, 1), (4, 1)], 0.5, 1.0), ([(1, None)], 0.5, 0.5)])
 def test_scores_without_both_labels(spark, labels, lowest, highest):
     known = spark.createDataFrame(labels, "doc_id long, quality int")
