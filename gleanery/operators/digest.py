@@ -15,6 +15,8 @@ from gleanery.session import freeze_table, ntz
 TITLE = "News Daily Summary"
 HEADING = "News Articles"
 NO_NAME = "there"
+# Characters of texts that are broadcast to the rows that want them: 32 million.
+TEXTS_SENT = 32_000_000
 
 
 def record_json(**fields: Column) -> Column:
@@ -26,6 +28,18 @@ def record_json(**fields: Column) -> Column:
     return F.to_json(F.struct(*values), {"ignoreNullFields": "false"})
 
 
+def with_texts(rows: DataFrame, texts: DataFrame, size: Column) -> DataFrame:
+    """``rows`` joined by id with the few ``texts`` they refer to, each of ``size`` characters.
+
+    Stored tables say how large they are packed, so a table of many short or repeated values
+    passes for a small one: without a word Spark would broadcast the rows. Texts up to
+    `TEXTS_SENT` are sent to the rows, which then stay where they are; others meet them by id.
+    """
+    texts = freeze_table(texts, "texts")
+    total = texts.agg(F.sum(size + 200)).first()[0] or 0
+    return rows.join(F.broadcast(texts) if total <= TEXTS_SENT else texts.hint("merge"), "id")
+
+
 def ranked_records(ranked: DataFrame, summaries: DataFrame, items: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """Top-n rows (profile_id, id, rank, relevance_score[, reasoning]) with summary and URL.
 
@@ -33,24 +47,29 @@ def ranked_records(ranked: DataFrame, summaries: DataFrame, items: DataFrame, pr
     A source without a stored item has the URL ``""``. With ``profiles`` the
     reasoning names the phrases found.
     """
-    told = summaries.select(
+    ranked = freeze_table(ranked, "ranked")
+    told = summaries.join(ranked.select("id").distinct(), "id", "left_semi").select(
         "id", "title", F.col("summary_text").alias("summary"), "source_id", "source_type", "article_created_at"
     )
+    size = F.length("title") + F.length("summary")
     if profiles is not None:
         # Once per summary, before the join repeats it for each profile that ranks it.
         told = told.withColumn("padded", padded_form(F.col("title"), F.col("summary")))
-    # Ranked rows are few beside the item table: the items are cut to the sources that are
+        size = size + F.length("padded")
+        # Phrases come before the texts, so that rows are dealt by profile without them.
+        asked = profiles.select("profile_id", all_phrases().alias("phrases"))
+        ranked = ranked.join(asked.hint("merge"), "profile_id")
+    # Ranked summaries are few beside the item table: the items are cut to the sources that are
     # wanted (a broadcast where that side is small) before the join that keeps missing ones.
-    ranked = freeze_table(ranked, "ranked")
+    told = freeze_table(told, "told")
     source = ["source_type", "source_id"]
-    wanted = summaries.join(ranked.select("id"), "id", "left_semi").select(*source).distinct()
+    wanted = told.select(*source).distinct()
     urls = items.select("source_type", F.col("id").alias("source_id"), "url").join(wanted, source, "left_semi")
-    full = ranked.join(told, "id").join(urls, source, "left")
-    full = full.withColumn("url", F.coalesce("url", F.lit("")))
+    texts = told.join(urls, source, "left").withColumn("url", F.coalesce("url", F.lit("")))
+    full = with_texts(ranked, texts, size + F.length("url"))
     if profiles is not None:
-        asked = profiles.select("profile_id", all_phrases().alias("phrases"))
         found = found_phrases(F.col("phrases"), F.col("padded"))
-        full = full.join(asked, "profile_id").withColumn("reasoning", bound(found, reasoning))
+        full = full.withColumn("reasoning", bound(found, reasoning))
     return full.select(*RANKED_COLUMNS)
 
 
@@ -118,7 +137,9 @@ def digests(
     grouped = records.groupBy("profile_id").agg(
         F.sort_array(F.collect_list(item)).alias("listed"), F.count("*").cast("int").alias("n_items")
     )
-    named = grouped.join(profiles.select("profile_id", "name"), "profile_id", "left").select(
+    # Both sides are dealt by profile; names of many profiles are not broadcast.
+    names = profiles.select("profile_id", "name").hint("merge")
+    named = grouped.join(names, "profile_id", "left").select(
         "profile_id",
         "name",
         "listed",

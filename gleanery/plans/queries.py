@@ -469,7 +469,8 @@ def rank_all(spark, sf_dir):
 def _records(spark, sf_dir):
     """Top-n with URLs; sources that lack a label row count as not stored."""
     known = _table(spark, sf_dir, "labels").select(F.concat(F.lit("d"), "doc_id").alias("id"))
-    stored = views.items(spark, sf_dir).join(known, "id", "left_semi")
+    # The label file says how large it is packed; as rows it is too many to broadcast.
+    stored = views.items(spark, sf_dir).join(known.hint("merge"), "id", "left_semi")
     made, people = _stored_summaries(spark, sf_dir), views.profiles(spark, sf_dir)
     ranked = rank.rank_for_profiles(made, people, AS_OF)
     return digest.ranked_records(ranked, made, stored, people)

@@ -144,3 +144,31 @@ def test_digest(spark):
     assert got["body_html"].count("<hr>") == 2 and got["body_html"].count("Read more") == 1
     unnamed = digests(records, profiles(spark, [("p", None, [], [], [])]), AS_OF).first()
     assert "Hi there - happy" in unnamed["body_text"]
+
+
+def broadcast_parts(df):
+    """What stands below each broadcast in the plan that was chosen before any row was read."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-*()0123456789")) for line in lines]
+    for at, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next((i for i in range(at + 1, len(lines)) if depth[i] <= depth[at]), len(lines))
+            yield "\n".join(lines[at:below])
+
+
+def test_nothing_of_the_size_of_the_profiles_is_broadcast(spark):
+    people = spark.range(5_000).select(
+        F.concat(F.lit("p"), "id").alias("profile_id"), F.lit("n").alias("name"),
+        *[F.array(F.lit("x")).alias(c) for c in ("teams", "players", "interests")],
+    )
+    made = spark.range(20).select(
+        F.concat(F.lit("s"), "id").alias("id"), F.lit("x").alias("title"), F.lit("y").alias("summary_text"),
+        F.concat(F.lit("d"), "id").alias("source_id"), F.lit("rss").alias("source_type"),
+        F.expr("timestamp_ntz'2024-01-03 00:00:00'").alias("article_created_at"),
+    )
+    items = made.select("source_type", F.col("source_id").alias("id"), F.lit("u").alias("url"))
+    ranked = people.select("profile_id").join(made.select("id")).withColumns({"rank": F.lit(1), "relevance_score": F.lit(2.0)})
+    rows = digests(ranked_records(ranked, made, items, people), people, "2024-01-04 00:00:00")
+    parts = list(broadcast_parts(rows))
+    assert parts and not [p for p in parts if "profile_id" in p]
+    assert {(r["n_items"], r["n"]) for r in rows.groupBy("n_items").agg(F.count("*").alias("n")).collect()} == {(20, 5_000)}
