@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gleanery.functions.html import read_links
 from gleanery.functions.jsonld import listed_urls, writable
@@ -19,21 +18,20 @@ from gleanery.functions.urls import (
     normalise_url,
 )
 
-_FOUND = T.StructType(
-    [T.StructField("listed", T.ArrayType(T.StringType())), T.StructField("anchors", T.ArrayType(T.StringType()))]
-)
+# Pages of which a task holds what it read; their links go on before the next are read.
+PAGES_HELD = 64
 
 
-@F.pandas_udf(_FOUND)
-def found_urls(html: pd.Series) -> pd.DataFrame:
-    """URLs in a page's structured data, and ``href`` of its anchors, in page order."""
-    pages = [read_links(text) for text in html]
-    return pd.DataFrame(
-        {
-            "listed": [listed_urls(page.scripts) for page in pages],
-            "anchors": [[writable(url) for url in page.anchors] for page in pages],
-        }
-    )
+def found_urls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """URLs in a page's structured data, and ``href`` of its anchors, in page order; of (url, html)."""
+    lists = pa.list_(pa.string())
+    for batch in batches:
+        for at in range(0, batch.num_rows, PAGES_HELD):
+            piece = batch.slice(at, PAGES_HELD)
+            pages = [read_links(text) for text in piece.column("html").to_pylist()]
+            listed = pa.array([listed_urls(page.scripts) for page in pages], lists)
+            anchors = pa.array([[writable(url) for url in page.anchors] for page in pages], lists)
+            yield pa.RecordBatch.from_arrays([piece.column("url"), listed, anchors], ["url", "listed", "anchors"])
 
 
 def page_links(
@@ -60,8 +58,9 @@ def page_links(
 
     found = (
         pages.filter(F.col("html").isNotNull())
-        .select("url", found_urls("html").alias("found"))
-        .select("url", F.col("found.anchors").alias("anchors"), usable(F.col("found.listed")).alias("listed"))
+        .select("url", "html")
+        .mapInArrow(found_urls, "url string, listed array<string>, anchors array<string>")
+        .select("url", "anchors", usable(F.col("listed")).alias("listed"))
     )
     urls = F.when(F.size("listed") > 0, F.col("listed")).otherwise(usable(F.col("anchors")))
     # The outer form, as for the plain one Spark would find the links once more to filter on them.

@@ -13,6 +13,9 @@ from gleanery.functions import jsonld
 from gleanery.functions.html import PageRules, read_page
 from gleanery.functions.jsonld import writable
 
+# Pages whose fields a task holds; they go on before the next pages are read.
+PAGES_HELD = 64
+
 _TEXTS = T.ArrayType(T.StringType())
 
 PAGE_FIELDS = T.StructType(
@@ -75,7 +78,9 @@ def page_fields(pages: DataFrame, rules: PageRules = PageRules()) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [fields(u, h) for u, h in zip(batch["url"], batch["html"])]
-            yield pd.DataFrame(rows, columns=PAGE_FIELDS.names)
+            for at in range(0, len(batch), PAGES_HELD):
+                piece = batch.iloc[at : at + PAGES_HELD]
+                rows = [fields(u, h) for u, h in zip(piece["url"], piece["html"])]
+                yield pd.DataFrame(rows, columns=PAGE_FIELDS.names)
 
     return landed_pages(pages).mapInPandas(read, PAGE_FIELDS)

@@ -194,3 +194,15 @@ def test_unclosed_markup_takes_linear_time():
 
     seconds(2000)
     assert seconds(40_000) < 40 * max(seconds(4000), 0.02)
+
+
+def test_a_task_holds_what_it_read_of_few_pages():
+    from gleanery.operators import links
+    import pyarrow as pa
+
+    html = [f'<a href="/news/{i}">x</a>' for i in range(1_000)]
+    batch = pa.RecordBatch.from_pydict({"url": [str(i) for i in range(1_000)], "html": html})
+    pieces = list(links.found_urls(iter([batch])))
+    assert max(p.num_rows for p in pieces) <= links.PAGES_HELD
+    rows = [r for p in pieces for r in p.to_pylist()]
+    assert rows == [{"url": str(i), "listed": [], "anchors": [f"/news/{i}"]} for i in range(1_000)]
