@@ -159,13 +159,14 @@ def _set_hits(wishes: DataFrame, item_phrases: DataFrame, top_n: int) -> DataFra
     ).select("wish", "id", "published", "fresh", "points")
 
 
-def rank_for_profiles(
+def rank_for_wishes(
     summaries: DataFrame,
     profiles: DataFrame,
     as_of=None,
     top_n: int = TOP_N,
-) -> DataFrame:
-    """(profile_id, id, rank, relevance_score): the ``top_n`` best summaries of each profile."""
+) -> tuple[DataFrame, DataFrame]:
+    """(profile_id, wish) and (wish, id, rank, relevance_score): what each profile asks for, and
+    the ``top_n`` best summaries of each wish, once for all profiles that share it."""
     items = summaries.select(
         "id",
         "title",
@@ -204,6 +205,17 @@ def rank_for_profiles(
     )
     ranked = first_per_key(best, ["wish"], _best_first(), top_n, number="rank")
     of_profile = asked.join(numbered, "phrases").select("profile_id", "wish")
+    return of_profile, ranked.select("wish", "id", "rank", "relevance_score")
+
+
+def rank_for_profiles(
+    summaries: DataFrame,
+    profiles: DataFrame,
+    as_of=None,
+    top_n: int = TOP_N,
+) -> DataFrame:
+    """(profile_id, id, rank, relevance_score): the ``top_n`` best summaries of each profile."""
+    of_profile, ranked = rank_for_wishes(summaries, profiles, as_of, top_n)
     return of_profile.join(ranked, "wish").select("profile_id", "id", "rank", "relevance_score")
 
 
