@@ -1,4 +1,4 @@
-"""Upsert of a batch into the item table, as a plain join."""
+"""Upsert of a batch into the item table, as plain joins."""
 
 from __future__ import annotations
 
@@ -21,23 +21,22 @@ def merge_items(
     as_of=None,
     keys: list[str] = ITEM_KEYS,
     values: list[str] = ITEM_VALUES,
-    position: str = "batch_pos",
+    position: str | None = "batch_pos",
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """The table after the batch: listed values overwritten, ``created_at`` kept, new keys added.
 
-    A value that is null in the batch overwrites too, as the batch row decides alone.
+    A value that is null in the batch overwrites too, as the batch row decides alone. Without a
+    ``position`` the batch has one row per key. ``known``, (keys, created_at) of the rows of
+    ``target`` that the batch overwrites, may be given where it has been looked up: rows of
+    ``target`` stay where they are if it is small.
     """
-    new = last_in_batch(batch, keys, position).select(
-        *keys, F.struct(*values).alias("new"), F.lit(True).alias("in_batch")
-    )
-    old = target.select(*keys, F.struct(*values).alias("old"), "created_at")
-    both = old.join(new, keys, "full_outer")
-    value = F.when(F.col("in_batch"), F.col("new")).otherwise(F.col("old"))
-    return both.select(
-        *keys,
-        *[value[name].alias(name) for name in values],
-        F.coalesce("created_at", ntz(as_of)).alias("created_at"),
-    )
+    new = batch if position is None else last_in_batch(batch, keys, position)
+    if known is None:
+        known = target.select(*keys, "created_at").join(new.select(*keys), keys, "left_semi")
+    kept = target.join(known.select(*keys), keys, "left_anti").select(*keys, *values, "created_at")
+    dated = new.select(*keys, *values).join(known, keys, "left")
+    return kept.unionByName(dated.withColumn("created_at", F.coalesce("created_at", ntz(as_of))))
 
 
 def upsert_counts(target: DataFrame, batch: DataFrame, keys: list[str] = ITEM_KEYS) -> DataFrame:

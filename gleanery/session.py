@@ -86,7 +86,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gleanery/{name}-{uuid.uuid4().hex}"
 
 
-def freeze_table(df: DataFrame, name: str) -> DataFrame:
+def freeze_table(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and go on from there.
 
     This cuts the lineage. Values that may differ when a lost task is run again
@@ -94,5 +94,5 @@ def freeze_table(df: DataFrame, name: str) -> DataFrame:
     on them; results that several jobs read are frozen so as to be computed once.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,11 +13,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery import schemas
-from gleanery.operators.latest import latest_per_key
 from gleanery.operators.merge import last_in_batch, merge_items, upsert_counts
 from gleanery.session import as_of_time, cutoff, freeze_table, ntz
 
@@ -26,6 +25,10 @@ BUCKET = "key_bucket"
 BUCKETS = 64
 # Key hashes that are broadcast to the scan of the key table: at most 2 million, 16 MB.
 HASHES_SENT = 2_000_000
+# Rows (a file and a place in it, or the keys of an item) that are broadcast to a scan of texts.
+ROWS_SENT = 200_000
+# Items are mostly text and are written more often than read.
+PACKED = {"compression": "zstd"}
 _NO_DAY = "__HIVE_DEFAULT_PARTITION__"  # the folder name of a missing day
 
 
@@ -88,18 +91,37 @@ def stored_days(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
     return entries.join(asked, keys, "left_semi").select(*keys, "stored_day").distinct()
 
 
+def _sent(few: DataFrame) -> DataFrame:
+    """A frozen table with a word to Spark whether it goes to the rows that it is joined with."""
+    return F.broadcast(few) if few.count() <= ROWS_SENT else few.hint("merge")
+
+
+def _first_per_key(rows: DataFrame, keys: list[str], order: list[Column], *ordered_by: str) -> DataFrame:
+    """The first row of each key in ``order``, an order by the columns ``ordered_by``.
+
+    ``rows`` are read from files that stay as they are. The rows to leave out are found by keys and
+    place in their files, so texts are moved only if these are many.
+    """
+    placed = rows.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    numbered = placed.select(*keys, *ordered_by, "_file", "_row").withColumn("_number", number)
+    others = freeze_table(numbered.filter("_number > 1").select("_file", "_row"), "others")
+    return placed.join(_sent(others), ["_file", "_row"], "left_anti").drop("_file", "_row")
+
+
 def upsert_items(spark: SparkSession, path: str, batch: DataFrame, as_of=None) -> DataFrame:
     """Merge ``batch`` (item columns and ``batch_pos``) into the table; returns the counts.
 
-    Keys are looked up in the key table; item texts are read and written for the touched days.
+    Keys are looked up in the key table; item texts are read and written for the touched days,
+    and those of the batch are moved once to their days.
     A run that dies before its commit changes no item. One that dies within may leave days of
     before beside new ones; applying the batch again gives the same table as an undisturbed run,
     as does applying it twice. The table takes one writer at a time.
     """
     as_of = as_of_time(as_of)
     keys = schemas.ITEM_KEYS
-    batch = freeze_table(batch.select(*schemas.ITEM_BATCH.names, "batch_pos"), "batch")
-    last = last_in_batch(batch)
+    batch = freeze_table(batch.select(*schemas.ITEM_BATCH.names, "batch_pos"), "batch", **PACKED)
+    last = _first_per_key(batch, keys, [F.desc("batch_pos")], "batch_pos")
     placed = last.select(*keys, F.to_date("published_date").alias("stored_day"))
     found = freeze_table(stored_days(spark, path, batch), "found")
     both = placed.select("stored_day").unionByName(found.select("stored_day")).distinct().collect()
@@ -111,11 +133,13 @@ def upsert_items(spark: SparkSession, path: str, batch: DataFrame, as_of=None) -
     here = F.col(DAY).isin(days) if days else F.lit(False)
     old = items.filter(here | F.col(DAY).isNull() if None in touched else here).drop(DAY)
     # Of a key left in two days by a run that died, the first stored row counts.
-    old = freeze_table(latest_per_key(old, keys, [F.asc("created_at"), F.asc("published_date")]), "old")
-    known = old.select(*keys).join(found.select(*keys).distinct(), keys, "left_semi")
+    old = _first_per_key(old, keys, [F.asc("created_at"), F.asc("published_date")], "created_at", "published_date")
+    known = old.select(*keys, "created_at").join(found.select(*keys).distinct(), keys, "left_semi")
+    known = freeze_table(known, "known")
     counts = freeze_table(upsert_counts(known, batch), "counts")
-    merged = merge_items(old, batch, as_of).withColumn(DAY, F.to_date("published_date"))
-    merged = freeze_table(merged.hint("rebalance", DAY).sortWithinPartitions(DAY, "published_date"), "merged")
+    dealt = last.withColumn(DAY, F.to_date("published_date")).hint("rebalance", DAY)
+    merged = merge_items(old, dealt, as_of, keys, schemas.ITEM_VALUES, None, _sent(known))
+    merged = merged.withColumn(DAY, F.to_date("published_date"))
 
     # Entries first: one that tells of a day without the item does no harm.
     fresh = placed.join(found, [*keys, "stored_day"], "left_anti").withColumn("key_hash", key_hash())
@@ -126,9 +150,13 @@ def upsert_items(spark: SparkSession, path: str, batch: DataFrame, as_of=None) -
 
 
 def _replace_days(spark: SparkSession, merged: DataFrame, path: str, touched: set[dt.date | None]) -> None:
-    """Put ``merged`` in place of its days; touched days that it leaves empty are dropped."""
+    """Put ``merged`` in place of its days; touched days that it leaves empty are dropped.
+
+    ``merged`` reads these days. Spark writes the new ones beside them and drops the old at its commit.
+    """
     filled = {r[DAY] for r in merged.select(DAY).distinct().collect()}
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
+    in_order = merged.sortWithinPartitions(DAY, "published_date").write.options(**PACKED)
+    in_order.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
     for day in touched - filled:
         files, folder = _folder(spark, f"{path}/{DAY}={_NO_DAY if day is None else day.isoformat()}")
         files.delete(folder, True)

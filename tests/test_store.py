@@ -2,6 +2,7 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from gleanery import schemas
@@ -149,3 +150,43 @@ def test_pending(spark):
     assert {r[0]: r[1] for r in source_counts(got, ["rss", "page", "video", "none"]).collect()} == {
         "rss": 2, "page": 1, "video": 1, "none": 0,
     }
+
+
+def test_texts_of_stored_items_stay_where_they_are(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "items")
+    store.upsert_items(spark, path, batch(spark, *[("rss", str(n), "t", n % 3 + 1) for n in range(300)]), "2024-03-08")
+    plans = []
+    write = DataFrameWriter.parquet
+
+    def seen(self, where, *args, **options):
+        if "content" in self._df.columns:
+            plans.append(self._df._jdf.queryExecution().executedPlan().toString().split("\n"))
+        return write(self, where, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    again = batch(spark, ("rss", "7", "x", 3), ("rss", "new", "x", 2), ("rss", "7", "y", 1))
+    assert counts(store.upsert_items(spark, path, again, "2024-03-09")) == {"rss": (1, 2)}
+    # Texts are written twice: the batch, and the days.
+    assert len(plans) == 2
+    scan = next(n for n, line in enumerate(plans[1]) if "FileScan" in line and "content#" in line and "published_day" in line)
+    depth = [len(line) - len(line.lstrip(" :+-*()0123456789")) for line in plans[1]]
+    above, low = [], depth[scan]
+    for n in range(scan - 1, -1, -1):  # from the scan to the root
+        if depth[n] < low:
+            above, low = [*above, plans[1][n]], depth[n]
+    assert above and not [line for line in above if "Exchange" in line]
+    assert titles(spark, path)[("rss", "7")] == ("y", 8) and len(titles(spark, path)) == 301
+
+
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_copies_and_missing_keys(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(store, "ROWS_SENT", sent, raising=False)
+    path = str(tmp_path / "items")
+    first = batch(spark, ("rss", "a", "a1", 1), ("rss", None, "n1", 1), ("rss", "a", "a2", 2), ("rss", None, "n2", 2), ("rss", "b", "b", 1))
+    # A missing key is no key that an item could be found by: it counts as new each time.
+    assert counts(store.upsert_items(spark, path, first, "2024-03-03")) == {"rss": (3, 2)}
+    more = batch(spark, ("rss", "a", "a3", 1), ("rss", "a", "a4", 3), ("rss", None, "n3", 2), ("rss", "c", "c", 1))
+    for _ in range(2):
+        store.upsert_items(spark, path, more, "2024-03-05")
+        got = sorted((str(r.id), r.title, r.published_date.day, r.created_at.day) for r in store.read_items(spark, path).collect())
+        assert got == [("None", "n2", 2, 3), ("None", "n3", 2, 5), ("a", "a4", 3, 3), ("b", "b", 1, 3), ("c", "c", 1, 5)]
