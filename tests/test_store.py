@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery import schemas
 from gleanery.operators.pending import pending_items, source_counts
 from gleanery.sources import store
+from gleanery.streaming import ingest
 
 SCHEMA = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.ITEM_BATCH.fields) + ", batch_pos long"
 
@@ -190,3 +191,25 @@ def test_copies_and_missing_keys(spark, tmp_path, monkeypatch, sent):
         store.upsert_items(spark, path, more, "2024-03-05")
         got = sorted((str(r.id), r.title, r.published_date.day, r.created_at.day) for r in store.read_items(spark, path).collect())
         assert got == [("None", "n2", 2, 3), ("None", "n3", 2, 5), ("a", "a4", 3, 3), ("b", "b", 1, 3), ("c", "c", 1, 5)]
+
+
+def test_a_stream_writes_texts_twice(spark, tmp_path, monkeypatch):
+    landing, path, progress = (str(tmp_path / name) for name in ("landing", "items", "progress"))
+    written = []
+    write = DataFrameWriter.parquet
+
+    def seen(self, where, *args, **options):
+        if "content" in self._df.columns:
+            written.append(where)
+        return write(self, where, *args, **options)
+
+    for rows in ([("rss", "a", "a", 1), ("rss", "b", "b", 2)], [("rss", "a", "a2", 3)]):
+        batch(spark, *rows).write.mode("append").parquet(landing)
+        with monkeypatch.context() as patch:
+            patch.setattr(DataFrameWriter, "parquet", seen)
+            stream = ingest.landed_stream(spark, landing, batch(spark, *rows).schema)
+            ingest.upsert_stream(stream, path, progress, "2024-03-05").awaitTermination()
+        # The batch, and its days.
+        assert len(written) == 2 and written[1] == f"{path}/items"
+        written.clear()
+    assert titles(spark, path) == {("rss", "a"): ("a2", 5), ("rss", "b"): ("b", 5)}
