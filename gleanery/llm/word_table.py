@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import string
+from collections.abc import Callable, Iterable, Sequence
+from itertools import chain
 
 import regex
 
@@ -13,7 +15,10 @@ LONGEST_KEPT = 64
 # str.split() parts at these four, which are no white space to tokenizers.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
-MARKS = ".,;:!?"
+# ASCII characters that are no letter, digit or white space.
+MARKS = string.punctuation
+# Letters up to here are composed, and have one lower case, in every version of Unicode.
+LAST_PLAIN = "\xff"
 
 
 def words_of(text: str) -> list[str]:
@@ -24,13 +29,18 @@ def words_of(text: str) -> list[str]:
 
 
 def letters_apart(spec: dict) -> bool:
-    """Whether a tokenizer file lower-cases text and parts letters from the marks behind them."""
+    """Whether a tokenizer file lower-cases text and parts letters from the marks behind them,
+    with accents left on their letters and no added token of letters and such marks."""
     normalizer, splitter = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
-    steps = normalizer.get("normalizers", [normalizer])
+    steps = {s.get("type") for s in normalizer.get("normalizers", [normalizer])}
     splits = [s for s in splitter.get("pretokenizers", [splitter]) if s.get("type") == "Split"]
     patterns = [s["pattern"].get("Regex", "").split("|") for s in splits]
-    return any(s.get("type") == "Lowercase" for s in steps) and any(
-        r"[\p{L}]+" in parts and r"[^\s\p{L}\p{N}]+" in parts for parts in patterns
+    added = [token["content"] for token in spec.get("added_tokens") or []]
+    return (
+        "Lowercase" in steps
+        and not steps & {"NFD", "NFKD", "StripAccents"}
+        and any(r"[\p{L}]+" in parts and r"[^\s\p{L}\p{N}]+" in parts for parts in patterns)
+        and not any(regex.fullmatch(r"\p{L}+[^\s\p{L}\p{N}]*", content) for content in added)
     )
 
 
@@ -58,10 +68,10 @@ def words_apart(spec: dict) -> bool:
 
 
 def core_and_mark(word: str) -> tuple[str, str]:
-    """A plain word in lower case and the one mark behind it, if that is all there is."""
-    body, mark = (word[:-1], word[-1]) if word[-1] in MARKS else (word, "")
-    if body.isascii() and body.isalpha():
-        return body.lower(), mark
+    """A plain word in lower case and the marks behind it, if that is all there is."""
+    body = word.rstrip(MARKS)
+    if body.isalpha() and (body.isascii() or max(body) <= LAST_PLAIN):
+        return body.lower(), word[len(body) :]
     return word, ""
 
 
@@ -70,7 +80,7 @@ class WordTable:
     before is let go, so frequent words stay known and memory is bounded on any text.
 
     With ``apart``, for files of which `letters_apart` holds, the forms of a word that differ
-    in case or by a mark at the end share its ids.
+    in case or by marks at the end share its ids.
     """
 
     def __init__(self, encode: Callable[[list[str]], Sequence[bytes]], apart: bool = False, kept: int = WORDS_KEPT):
@@ -80,32 +90,37 @@ class WordTable:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _known(self, words: Iterable[str]) -> tuple[dict[str, bytes | None], list[str]]:
+        """Ids of ``words``, with nothing for those that no generation holds; and these."""
+        young, old = self.young, self.old
+        found = {word: young.get(word) for word in words}
+        unknown = []
+        for word in [w for w, ids in found.items() if ids is None]:
+            ids = old.get(word)
+            if ids is None:
+                unknown.append(word)
+            else:
+                found[word] = young[word] = ids
+        return found, unknown
+
+    def _add(self, found: dict[str, bytes | None], words: list[str], coded: Sequence[bytes]) -> None:
+        found.update(zip(words, coded))
+        self.young.update((w, ids) for w, ids in zip(words, coded) if len(w) <= LONGEST_KEPT)
+
     def _new(self, words: list[str]) -> Sequence[bytes]:
         if not self.apart:
             return self.encode(words)
         parts = list(map(core_and_mark, words))
-        known = {**{c: self.young.get(c) or self.old.get(c) for c, _ in parts}, **dict.fromkeys(m for _, m in parts)}
+        known, unknown = self._known(set(chain.from_iterable(parts)) - {""})
+        self._add(known, unknown, self.encode(unknown))
         known[""] = b""
-        unknown = [w for w, ids in known.items() if ids is None]
-        known.update(zip(unknown, self.encode(unknown)))
-        self.young.update((w, known[w]) for w in unknown if len(w) <= LONGEST_KEPT)
         return [known[c] + known[m] for c, m in parts]
 
     def ids(self, texts: Sequence[str]) -> list[bytes]:
         split = [words_of(t) for t in texts]
         if len(self.young) > self.kept:
             self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = []
-        for word in set().union(*split).difference(young):
-            known = old.get(word)
-            if known is None:
-                new.append(word)
-            else:
-                young[word] = known
-        young.update(zip(new, self._new(new)))
-        out = [b"".join(map(young.__getitem__, words)) for words in split]
-        for word in new:
-            if len(word) > LONGEST_KEPT:
-                del young[word]
-        return out
+        # The words of these texts in a table of their own, as looking up in a large one takes longer.
+        found, new = self._known(set().union(*split))
+        self._add(found, new, self._new(new))
+        return [b"".join(map(found.__getitem__, words)) for words in split]

@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -6,6 +7,7 @@ from tokenizers import Tokenizer
 
 from gleanery.llm import token_files as T
 from gleanery.llm.queries import TOKENIZER
+from gleanery.llm.word_table import letters_apart
 from gleanery.session import scratch_path
 from tests.llm.helpers import TEXTS, fixture
 
@@ -71,3 +73,22 @@ def test_files_tell_whether_words_can_be_encoded_apart(spark):
     library = Tokenizer.from_file(byte_level)
     got = {r.doc_id: np.frombuffer(r.token_ids, "<u4").tolist() for r in T.read_tokens(spark, folder).collect()}
     assert got == {i: library.encode(t or "", add_special_tokens=False).ids for i, t in texts}
+
+
+def test_forms_of_a_word_are_encoded_once():
+    one, other = T.Encoder(TOKENIZER, True), T.Encoder(TOKENIZER, False)
+    library, calls = one.words.encode, []
+    one.words.encode = lambda words: calls.extend(words) or library(words)
+    forms = ["été", "Été,", "ÉTÉ***", "été...", "été&&&", "house", "House'", "HOUSE$|", "house_"]
+    marks = ["'s", "house's***", "ªµß!", "İ***", "ΑΣ.", "e\u0301***", "x<|endoftext|>", "endoftext|>", "a1***", "***", "_", "ﬁ!?"]
+    texts = [*forms, *marks, " ".join([*forms, *marks])]
+    assert one.encode(texts) == other.encode(texts)
+    assert calls.count("été") == calls.count("house") == 1
+    assert not {"Été,", "ÉTÉ***", "été&&&", "HOUSE$|"} & set(calls)
+
+
+def test_files_that_take_letters_apart_from_their_accents_share_no_forms():
+    spec = json.loads(Tokenizer.from_file(TOKENIZER).to_str())
+    assert letters_apart(spec)
+    assert not letters_apart({**spec, "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFD"}, {"type": "Lowercase"}]}})
+    assert not letters_apart({**spec, "added_tokens": [{"content": "word!"}]})
