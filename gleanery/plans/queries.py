@@ -637,7 +637,7 @@ def stream_upsert(spark, sf_dir):
     progress = scratch_path(spark, "progress")
     first = views.stored_items(spark, sf_dir).drop("created_at").withColumn("batch_pos", F.lit(0).cast("long"))
     for batch, as_of in ((first, "2024-01-03 12:00:00"), (views.upsert_batch(spark, sf_dir), AS_OF)):
-        batch.select(*first.columns).write.mode("append").parquet(landing)
+        batch.select(*first.columns).write.mode("append").options(**store.PACKED).parquet(landing)
         stream = ingest.landed_stream(spark, landing, first.schema)
         ingest.upsert_stream(stream, path, progress, as_of).awaitTermination()
     return store.read_items(spark, path).select(*_ITEM_OUT)

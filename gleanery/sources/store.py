@@ -27,6 +27,9 @@ BUCKETS = 64
 HASHES_SENT = 2_000_000
 # Rows (a file and a place in it, or the keys of an item) that are broadcast to a scan of texts.
 ROWS_SENT = 200_000
+# Smallest files, on average, that a batch is written to its days in from where its rows lie: what Spark takes to
+# be the cost of opening a file (`spark.sql.files.openCostInBytes`).
+FILE_BYTES = 4 << 20
 # Items are mostly text and are written more often than read.
 PACKED = {"compression": "zstd"}
 _NO_DAY = "__HIVE_DEFAULT_PARTITION__"  # the folder name of a missing day
@@ -109,11 +112,23 @@ def _first_per_key(rows: DataFrame, keys: list[str], order: list[Column], *order
     return placed.join(_sent(others), ["_file", "_row"], "left_anti").drop("_file", "_row")
 
 
+def _dealt(batch: DataFrame, last: DataFrame, days: int) -> DataFrame:
+    """``last``, the rows of the frozen ``batch`` that count, with their `DAY`.
+
+    Each task writes a file for each of its days. Rows are moved to their days only if these files
+    would be small, as with a small batch or one of many days.
+    """
+    files = batch.select(F.col("_metadata.file_path"), F.col("_metadata.file_size").alias("size")).distinct()
+    size = files.agg(F.sum("size").alias("size")).first()["size"]
+    dealt = last.withColumn(DAY, F.to_date("published_date"))
+    return dealt if size >= FILE_BYTES * days * batch.rdd.getNumPartitions() else dealt.hint("rebalance", DAY)
+
+
 def upsert_items(spark: SparkSession, path: str, batch: DataFrame, as_of=None) -> DataFrame:
     """Merge ``batch`` (item columns and ``batch_pos``) into the table; returns the counts.
 
     Keys are looked up in the key table; item texts are read and written for the touched days,
-    and those of the batch are moved once to their days.
+    and those of a small batch or one of many days are moved once to their days.
     A run that dies before its commit changes no item. One that dies within may leave days of
     before beside new ones; applying the batch again gives the same table as an undisturbed run,
     as does applying it twice. The table takes one writer at a time.
@@ -137,8 +152,7 @@ def upsert_items(spark: SparkSession, path: str, batch: DataFrame, as_of=None) -
     known = old.select(*keys, "created_at").join(found.select(*keys).distinct(), keys, "left_semi")
     known = freeze_table(known, "known")
     counts = freeze_table(upsert_counts(known, batch), "counts")
-    dealt = last.withColumn(DAY, F.to_date("published_date")).hint("rebalance", DAY)
-    merged = merge_items(old, dealt, as_of, keys, schemas.ITEM_VALUES, None, _sent(known))
+    merged = merge_items(old, _dealt(batch, last, len(touched)), as_of, keys, schemas.ITEM_VALUES, None, _sent(known))
     merged = merged.withColumn(DAY, F.to_date("published_date"))
 
     # Entries first: one that tells of a day without the item does no harm.

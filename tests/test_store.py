@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery import schemas
 from gleanery.operators.pending import pending_items, source_counts
+from gleanery.plans import queries
 from gleanery.sources import store
 from gleanery.streaming import ingest
 
@@ -213,3 +214,47 @@ def test_a_stream_writes_texts_twice(spark, tmp_path, monkeypatch):
         assert len(written) == 2 and written[1] == f"{path}/items"
         written.clear()
     assert titles(spark, path) == {("rss", "a"): ("a2", 5), ("rss", "b"): ("b", 5)}
+
+
+@pytest.mark.parametrize("least", [1, 1 << 40])
+def test_a_batch_of_large_files_is_written_to_its_days_from_where_it_lies(spark, tmp_path, monkeypatch, least):
+    monkeypatch.setattr(store, "FILE_BYTES", least, raising=False)
+    path, plans = str(tmp_path / "items"), []
+    write = DataFrameWriter.parquet
+
+    def seen(self, where, *args, **options):
+        if where == f"{path}/items":
+            plans.append(self._df._jdf.queryExecution().executedPlan().toString().split("\n"))
+        return write(self, where, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    first = [("rss", str(n), "t", n % 3 + 1) for n in range(300)]
+    store.upsert_items(spark, path, batch(spark, *first, ("rss", "7", "u", 4)), "2024-03-08")
+    more = batch(spark, ("rss", "7", "x", 3), ("rss", "new", "x", 2), ("rss", "7", "y", 1))
+    assert counts(store.upsert_items(spark, path, more, "2024-03-09")) == {"rss": (1, 2)}
+    got = titles(spark, path)
+    assert len(got) == store.read_items(spark, path).count() == 301
+    assert got[("rss", "7")] == ("y", 8) and got[("rss", "new")] == ("x", 9) and got[("rss", "8")] == ("t", 8)
+    assert days(path) == {"2024-03-01", "2024-03-02", "2024-03-03"}
+    moved = [line for plan in plans for line in plan if "Exchange" in line and "REBALANCE" in line]
+    assert len(plans) == 2 and bool(moved) == (least > 1)
+
+
+def test_a_landed_batch_is_packed(spark, tmp_path, monkeypatch):
+    landed = []
+    write = DataFrameWriter.parquet
+
+    def seen(self, where, *args, **options):
+        write(self, where, *args, **options)
+        if "/landing" in where:
+            landed.extend(name for name in os.listdir(where) if name.startswith("part-"))
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    for name, rows in {
+        "documents": spark.createDataFrame([(n, f"text {n}", "en", "a") for n in range(5)], "doc_id long, text string, lang string, source string"),
+        "benchmark": spark.createDataFrame([(4, "new")], "item_id long, text string"),
+    }.items():
+        write(rows.write, str(tmp_path / f"{name}.parquet"))
+    got = {(r["id"], r["title"], r["content"]) for r in queries.stream_upsert(spark, str(tmp_path)).collect()}
+    assert got == {*((f"d{n}", f"text {n}", f"text {n}") for n in range(4)), ("d4", "version 1", "new"), ("b4", "version 1", "new")}
+    assert landed and all(name.endswith(".zstd.parquet") for name in landed)
